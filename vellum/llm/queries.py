@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, packing, secrets, toxicity
+from . import ann, exact_dedup, licenses, line_dedup, minhash, mixing, packing, secrets, toxicity, warc
+from .scratch import Scratch
 
 #: Where the public vocabularies are; every executor must see the same path.
 TOKENIZERS = os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers")
@@ -20,6 +21,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(_table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "archives").path("warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path, least_bytes=0)
+    found = warc.resolve_revisits(warc.captures(warc.read_records(spark, path, with_payload=False)))
+    refers_to = F.when(F.col("capture.type") == "revisit", F.col("response_page"))
+    return found.select(F.col("metadata.page_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), refers_to.alias("refers_to"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_key_points=1))
@@ -39,6 +56,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -49,10 +70,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
+        "op2_warc": op2_warc,
+        "op3_ann": op3_ann,
         "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,
+        "op8_licenses": op8_licenses,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_secrets": op10_secrets,
     }
@@ -78,6 +103,22 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
+_OP2 = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes::BIGINT AS payload_bytes, hex,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest
+  FROM hashed
+), first AS (
+  SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM coded
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM first
+"""
+
 _OP9 = r"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
@@ -90,4 +131,4 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS ke
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _OP4, "op9_exact_dedup": _OP9}
+    return {"op2_warc": _OP2, "op4_line_dedup": _OP4, "op9_exact_dedup": _OP9}

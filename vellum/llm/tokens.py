@@ -32,7 +32,7 @@ _powers: list[np.ndarray] = []
 def _tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) <= n:
         size = max(n + 1, SLICE_BYTES * 2)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size, x, np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (_BASE, _INVERSE)]
+        _powers[:] = [np.cumprod(np.array([1] + [x] * size, np.uint64), dtype=np.uint64) for x in (_BASE, _INVERSE)]
     return _powers
 
 
@@ -68,9 +68,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and where each text's words begin among them."""
-    word = _IS_WORD[raw]
+def word_spans(raw: np.ndarray, at: np.ndarray, table: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and where each text's words begin among them. table: the bytes of words."""
+    word = table[raw]
     if not len(word):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
     before = np.concatenate([[False], word[:-1]])

@@ -26,9 +26,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "archives").path("warc")
-    warc.write_archives(_table(spark, sf_dir, "pages"), path, least_bytes=0)
-    found = warc.resolve_revisits(warc.captures(warc.read_records(spark, path, with_payload=False)))
+    scratch = Scratch(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), scratch.path("warc"), least_bytes=0)
+    records = scratch.cut(warc.read_records(spark, scratch.path("warc"), with_payload=False), "records")
+    found = warc.resolve_revisits(warc.captures(records))
     refers_to = F.when(F.col("capture.type") == "revisit", F.col("response_page"))
     return found.select(F.col("metadata.page_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("capture.digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), refers_to.alias("refers_to"))
 

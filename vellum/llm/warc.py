@@ -70,7 +70,7 @@ def _clean(url: str | None) -> str:
 
 
 def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, copy: int, refers_copy: int = 0) -> list[bytes]:
-    """The three records of one capture."""
+    """The three records of one capture. copy: which of the rows with this page id and payload it is."""
     own = record_id("response", page_id, digest, copy)
     uri = _clean(url)
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
@@ -120,22 +120,30 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     shared = (F.col("n") > 1) & (F.col("bytes") >= least_bytes)
     known = digests.join(firsts, "digest").select(F.col("page_id").alias("known_id"), F.col("thash").alias("known_hash"), "digest", "first_id", shared.alias("shared")).distinct()
-    joined = rows.join(known, F.col("page_id").eqNullSafe(F.col("known_id")) & (F.col("thash") == F.col("known_hash"))).select("page_id", "url", "payload", "digest", "first_id", "shared")
+    # One shuffle of payloads, by row identity, gives both the join and the files.
     parts = max(shuffle_partitions(spark), -(-total // FILE_BYTES))
-    files = joined.repartition(parts, "page_id").sortWithinPartitions("page_id", "digest").mapInArrow(_write, "value binary")
+    identity = rows.withColumn("k", F.xxhash64("page_id", "thash")).repartition(parts, "k")
+    known = known.withColumn("known_k", F.xxhash64("known_id", "known_hash")).repartition(parts, "known_k")
+    meet = (F.col("k") == F.col("known_k")) & F.col("page_id").eqNullSafe(F.col("known_id")) & (F.col("thash") == F.col("known_hash"))
+    joined = identity.join(known.hint("merge"), meet).select("page_id", "url", "payload", "digest", "first_id", "shared")
+    files = joined.mapInArrow(_write, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).text(path)
     scratch.drop("digests")
 
 
-def members(raw: bytes) -> Iterator[bytes]:
-    """The content of each gzip member, empty ones left out."""
-    while raw:
+def members(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The content of each gzip member, empty ones left out. Input goes in by steps, as what follows a member is copied."""
+    at = 0
+    while at < len(raw):
         open_ = zlib.decompressobj(31)
-        content = open_.decompress(raw) + open_.flush()
-        if not open_.eof:
-            raise ValueError("archive ends inside a gzip member")
-        raw = open_.unused_data
-        if content:
+        parts = []
+        while not open_.eof:
+            piece = raw[at : at + step]
+            if not piece:
+                raise ValueError("archive ends inside a gzip member")
+            parts.append(open_.decompress(piece))
+            at += len(piece) - len(open_.unused_data)
+        if content := b"".join(parts):
             yield content
 
 

@@ -348,7 +348,7 @@ def _order_graph(spark, d):
     edges = edges.unionByName(lines.select(F.concat(F.lit("section:"), line).alias("from_id"), _node("part", "l_partkey").alias("to_id"), F.when(F.col("l_returnflag") == "R", "DEFINES").otherwise("REFERENCES").alias("kind")))
     edges = edges.unionByName(lines.where("l_linestatus = 'F'").select(F.concat(F.lit("chunk:"), line).alias("from_id"), _node("supplier", "l_suppkey").alias("to_id"), F.lit("LINKS_TO").alias("kind")))
     edges = edges.withColumn("id", F.concat_ws(">", "from_id", "kind", "to_id"))
-    return edges, owner, orders.select(F.col("o_orderkey").cast("string").alias("id"))
+    return edges.distinct(), owner.distinct(), orders.select(F.col("o_orderkey").cast("string").alias("id"))
 
 
 @query
@@ -506,7 +506,7 @@ def tag_format(spark, d):
 
 @query
 def posix_link(spark, d):
-    rows = _hrefs(spark, d).select(F.col("page_id").cast("string").alias("path"), F.col("pos").alias("line"), F.concat(F.regexp_replace("href", "/", r"\\\\"), F.lit(".md")).alias("url"))
+    rows = _hrefs(spark, d).select(F.col("page_id").cast("string").alias("path"), F.col("pos").alias("line"), F.concat(F.regexp_replace("href", "/", r"\\"), F.lit(".md")).alias("url"))
     return health.backslash_links(rows).select("path", F.col("line").cast("long").alias("line"), "url")
 
 
@@ -543,7 +543,7 @@ def _warnings(spark, d):
 @query
 def warnings_union_sorted(spark, d):
     rows = _warnings(spark, d)
-    return rows.select(F.row_number().over(Window.orderBy(health.sort_key())).cast("long").alias("place"), "code", "path", F.col("line").cast("long").alias("line"), "message")
+    return rows.select(F.row_number().over(Window.orderBy(health.sort_key())).cast("long").alias("place"), "code", "path", F.coalesce("line", F.lit(0)).cast("long").alias("line"), "message")
 
 
 @query
@@ -564,9 +564,13 @@ def khop_neighbors(spark, d):
 @query
 def bfs_trace(spark, d):
     edges = _star(spark, d).where("kind in ('DEPENDS_ON', 'CONTAINS')")
-    first = _t(spark, d, "customer").orderBy("c_custkey").limit(1).collect()[0].c_custkey
-    target = _t(spark, d, "supplier").orderBy(F.col("s_suppkey").desc()).limit(1).collect()[0].s_suppkey
-    found = traverse.trace(edges, f"customer:{first}", f"supplier:{target}", 6)
+    nation = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    first = _t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey").limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "step long, kind string")
+    near = nation.where((F.col("n_regionkey") == first[0].n_regionkey) & (F.col("n_nationkey") != first[0].c_nationkey))
+    target = _t(spark, d, "supplier").join(near, F.col("s_nationkey") == F.col("n_nationkey")).agg(F.min("s_suppkey").alias("k")).first().k
+    found = traverse.trace(edges, f"customer:{first[0].c_custkey}", f"supplier:{target}", 6)
     return found.select(F.col("step").cast("long").alias("step"), F.col("kind"))
 
 
@@ -673,7 +677,7 @@ def _page_markdown(spark, d):
     """Pages as Markdown files with front matter, headings and links."""
     links = _hrefs(spark, d).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat(F.lit("- [x](/"), F.lower(F.regexp_replace("href", "^/", "")), F.lit(".md) and `API_KEY_"), F.col("pos").cast("string"), F.lit("`")).alias("line")))).alias("lines"))
     rows = _pages(spark, d).join(links, "page_id", "left")
-    text = F.concat(F.lit("---\ntitle: "), F.to_json(F.col("word")), F.lit("\ntype: design\ndepends_on: p/0\nimplements: src/"), F.col("host"), F.lit(".ts\n---\n# "), F.col("h1"), F.lit("\n\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"])), F.lit("\n\n## Defines\n- `"), F.col("host"), F.lit("`\n"))
+    text = F.concat(F.lit("---\ntitle: '"), F.regexp_replace("word", "'", ""), F.lit("'\ntype: design\ndepends_on: p/0\nimplements: src/"), F.col("host"), F.lit(".ts\n---\n# "), F.col("h1"), F.lit("\n\n"), F.concat_ws("\n", F.transform("lines", lambda x: x["line"])), F.lit("\n\n## Defines\n- `"), F.col("host"), F.lit("`\n"))
     return rows.select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("text"))
 
 

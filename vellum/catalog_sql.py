@@ -177,8 +177,8 @@ SELECT id, count(DISTINCT o) AS documents FROM e WHERE starts_with(o, 'order:')
     "link_stats_exact": f"""WITH {_ORDER_EDGES}, own AS (
   SELECT split_part(split_part(f, ':', 2), '-', 1) AS document_id, kind FROM edges)
 SELECT o_orderkey::VARCHAR AS document_id, count(own.kind) AS links, count(*) FILTER (own.kind = 'DEFINES') AS definitions FROM orders LEFT JOIN own ON own.document_id = o_orderkey::VARCHAR GROUP BY o_orderkey""",
-    "link_stats_fanout": f"""WITH {_ORDER_EDGES}, cells AS (
-  SELECT o.o_orderkey AS k, a.ln AS s, b.ln AS c FROM orders o LEFT JOIN line a ON a.l_orderkey = o.o_orderkey LEFT JOIN line b ON b.l_orderkey = o.o_orderkey
+    "link_stats_fanout": f"""WITH {_ORDER_EDGES}, spot AS (SELECT DISTINCT l_orderkey, ln FROM line), cells AS (
+  SELECT o.o_orderkey AS k, a.ln AS s, b.ln AS c FROM orders o LEFT JOIN spot a ON a.l_orderkey = o.o_orderkey LEFT JOIN spot b ON b.l_orderkey = o.o_orderkey
 ), met AS (
   SELECT k, s, c, e.* FROM cells JOIN edges e ON e.f = 'order:' || k
   UNION SELECT k, s, c, e.* FROM cells JOIN edges e ON e.f = 'section:' || s
@@ -230,7 +230,7 @@ w AS (
   SELECT 'link.dead' AS code, '0' AS rank, 'p/' || page_id AS path, pos::BIGINT AS line, 'Dead link in p/' || page_id AS message FROM linked WHERE target IS NULL
   UNION ALL SELECT 'index.stale', '0', path, NULL, 'Indexed document is ' || reason FROM stale WHERE reason IS NOT NULL
   UNION ALL SELECT 'tag.invalid_format', '1', path, NULL, 'Tag ' || tag FROM tags WHERE NOT regexp_full_match(tag, '[a-z0-9][a-z0-9._/-]*'))
-SELECT row_number() OVER (ORDER BY concat_ws('|', rank, code, coalesce(path, ''), coalesce(line, 0), message)) AS place, code, path, line, message FROM w""",
+SELECT row_number() OVER (ORDER BY concat_ws('|', rank, code, coalesce(path, ''), coalesce(line, 0), message)) AS place, code, path, coalesce(line, 0) AS line, message FROM w""",
     "warning_top5": f"""WITH {_ALIASES}, {_SNAPS}, {_STALE}, tags AS (SELECT DISTINCT page_id, regexp_replace(href, '^/', '') AS tag FROM hrefs),
 w AS (SELECT 'link.dead' AS code FROM linked WHERE target IS NULL UNION ALL SELECT 'index.stale' FROM stale WHERE reason IS NOT NULL UNION ALL SELECT 'tag.invalid_format' FROM tags WHERE NOT regexp_full_match(tag, '[a-z0-9][a-z0-9._/-]*'))
 SELECT code, count(*) AS n FROM w GROUP BY code ORDER BY n DESC, code LIMIT 5""",
@@ -239,7 +239,8 @@ hop AS (SELECT 'nation:3' AS node_id, 0 AS depth UNION SELECT e.b, depth + 1 FRO
 SELECT node_id, min(depth)::BIGINT AS depth FROM hop GROUP BY node_id""",
     "bfs_trace": f"""WITH RECURSIVE {_STAR}, e AS (
   SELECT from_id AS a, to_id AS b, kind, weight, confidence, from_id || to_id AS k FROM star WHERE kind IN ('DEPENDS_ON', 'CONTAINS') UNION SELECT to_id, from_id, kind, weight, confidence, from_id || to_id FROM star WHERE kind IN ('DEPENDS_ON', 'CONTAINS')
-), ends AS (SELECT (SELECT 'customer:' || min(c_custkey) FROM customer) AS s, (SELECT 'supplier:' || max(s_suppkey) FROM supplier) AS t),
+), who AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 1),
+ends AS (SELECT (SELECT 'customer:' || c_custkey FROM who) AS s, (SELECT 'supplier:' || min(s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN who ON nation.n_regionkey = who.n_regionkey AND s_nationkey <> c_nationkey) AS t),
 walk AS (
   SELECT s AS node, 0 AS depth, [s] AS seen, []::VARCHAR[] AS kinds FROM ends
   UNION ALL SELECT e.b, depth + 1, list_append(seen, e.b), list_append(kinds, e.kind) FROM walk JOIN e ON e.a = walk.node

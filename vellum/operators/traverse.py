@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_entity, normalize_path, slugify, trimmed
+from ..plans import storage
 from ..plans.graph import Graph
 from .stats import undirected
 
@@ -66,29 +67,26 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int, skip: tuple[str, ...] =
     return reached
 
 
-def trace(edges: DataFrame, start: str, target: str, depth: int = 6, materialise=None) -> DataFrame:
+def trace(edges: DataFrame, start: str, target: str, depth: int = 6) -> DataFrame:
     """The shortest undirected path as steps: step, from_id, to_id, edge_id, edge_from, edge_to, kind, direction, confidence, provenance.
 
     Levels are joined with the edges once each; a new node keeps the parent that was found
     first, then the better edge. Empty if there is no path of at most depth edges, or if start
-    is the target. materialise writes a level and reads it back, so that plans don't grow.
+    is the target. Levels are checkpointed, so that plans don't grow and none is computed twice.
     """
     spark = edges.sparkSession
     schema = "node_id string, parent string, place long, edge_id string, level int"
-    keep = materialise or (lambda df, name: df)
     ends = undirected(edges)
     seen = spark.createDataFrame([(start, None, 0, None, 0)], schema)
     frontier = seen
     for level in range(1, depth + 1):
-        if start == target or not frontier.where(F.col("node_id") != target).limit(1).collect():
-            break
-        if seen.where(F.col("node_id") == target).limit(1).collect():
+        if start == target or frontier.isEmpty() or not frontier.where(F.col("node_id") == target).isEmpty():
             break
         step = frontier.select(F.col("node_id").alias("parent"), F.col("place").alias("parent_place")).join(ends, F.col("parent") == F.col("node_id")).drop("node_id")
         first = Window.partitionBy("other_id").orderBy("parent_place", F.col("weight").desc(), F.col("confidence").desc(), "id")
         new = step.withColumn("turn", F.row_number().over(first)).where("turn = 1").join(seen.select(F.col("node_id").alias("other_id")), "other_id", "left_anti")
         rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("parent_place", F.col("weight").desc(), F.col("confidence").desc(), "id")).cast("long")
-        frontier = keep(new.select(F.col("other_id").alias("node_id"), "parent", rank.alias("place"), F.col("id").alias("edge_id"), F.lit(level).alias("level")), f"level-{level}")
+        frontier = storage.cut(new.select(F.col("other_id").alias("node_id"), "parent", rank.alias("place"), F.col("id").alias("edge_id"), F.lit(level).alias("level")))
         seen = seen.unionByName(frontier)
     steps = []
     node = target

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut through the checkpoint folder that the session names, or one of our own where it names none."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vellum-checkpoint-"))
+    return df.checkpoint()
 
 
 def _fs(spark: SparkSession, path: str):

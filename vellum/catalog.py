@@ -271,7 +271,7 @@ def vector_stats(spark, d):
 @query
 def hash_embedding(spark, d):
     rows = vectors.embed_tokens(_t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text"), "turn_id", "text", 64)
-    return rows.select("turn_id", F.col("i").cast("long").alias("i"), F.round("w", 4).alias("w"))
+    return rows.select("turn_id", F.col("at").cast("long").alias("at"), F.round("weight", 4).alias("weight"))
 
 
 # Links and resolution.

@@ -28,19 +28,23 @@ def embed(content: Column, dimensions: int) -> Column:
     return unit.cast("array<float>")
 
 
+def _coordinates(rows: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
+    tokens = rows.select(F.col(id_col).alias("__id"), F.explode(query_tokens(F.col(text_col))).alias("__token")).groupBy("__id", "__token").agg(F.count("*").alias("__n"))
+    spread = tokens.select("__id", (fnv1a(F.col("__token")) % dimensions).cast("int").alias("__at"), (F.col("__n") * _token_weight(F.col("__token"))).alias("__w"))
+    return spread.groupBy("__id", "__at").agg(F.sum("__w").alias("__w"))
+
+
 def embed_tokens(rows: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
-    """id, i, w: the non-zero coordinates of embed() as rows; sums by shuffle, for long texts and many dimensions."""
-    tokens = rows.select(F.col(id_col), F.explode(query_tokens(F.col(text_col))).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    spread = tokens.select(id_col, (fnv1a(F.col("token")) % dimensions).cast("int").alias("i"), (F.col("n") * _token_weight(F.col("token"))).alias("w"))
-    return spread.groupBy(id_col, "i").agg(F.sum("w").alias("w"))
+    """id, at, weight: the non-zero coordinates of embed() before scaling, as rows."""
+    return _coordinates(rows, id_col, text_col, dimensions).select(F.col("__id").alias(id_col), F.col("__at").alias("at"), F.col("__w").alias("weight"))
 
 
 def embed_rows(rows: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
     """id, vector: embed() of every row, summed by coordinate so that a long text doesn't cost its length times the dimensions."""
-    coordinates = embed_tokens(rows, id_col, text_col, dimensions).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    joined = rows.select(id_col).distinct().join(coordinates, id_col, "left")
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.round(F.try_element_at("m", i) / F.nullif("norm", F.lit(0.0)), 6), F.lit(0.0)))
-    return joined.select(id_col, unit.cast("array<float>").alias("vector"))
+    gathered = _coordinates(rows, id_col, text_col, dimensions).groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__w"))).alias("__m"), F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
+    joined = rows.select(F.col(id_col).alias("__id")).distinct().join(gathered, "__id", "left")
+    unit = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.round(F.try_element_at("__m", i) / F.nullif("__norm", F.lit(0.0)), 6), F.lit(0.0)))
+    return joined.select(F.col("__id").alias(id_col), unit.cast("array<float>").alias("vector"))
 
 
 def embed_text(text: str, dimensions: int) -> list[float]:

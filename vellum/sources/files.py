@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config, Limits
+from ..plans import storage
 
 
 class BoundsError(ValueError):
@@ -59,11 +60,9 @@ def ignore_globs(lines: Iterable[str]) -> list[str]:
 
 
 def _read_ignores(spark: SparkSession, root: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return ignore_globs(r.value for r in spark.read.text(f"{root}/.gitignore").collect())
+    """Globs of the root's .gitignore, read past Spark's listing, which leaves out hidden files."""
+    path = f"{root}/.gitignore"
+    return ignore_globs(storage.read_text(spark, path).splitlines()) if storage.exists(spark, path) else []
 
 
 def qualified(spark: SparkSession, root: str) -> str:

@@ -149,10 +149,10 @@ def _blocks(body: list[str]) -> _Found:
     for n, line in enumerate(body, 1):
         content, depth = line, 0
         if fence:
-            mark, start, language, kept, quoted = fence
-            for _ in range(quoted):
+            mark, start, language, kept, quotes = fence
+            for _ in range(quotes):
                 content = _QUOTE.sub("", content, count=1)
-            close = _FENCE.match(content.lstrip() if quoted < 0 else re.sub(r"^\s+(?=[`~])", "", content))
+            close = _FENCE.match(re.sub(r"^\s+(?=[`~])", "", content))
             if close and close[1][0] == mark[0] and len(close[1]) >= len(mark) and not close[2].strip():
                 found.blocks.append({"language": language or None, "value": "\n".join(kept), "line": start, "end": n})
                 found.count()
@@ -160,13 +160,14 @@ def _blocks(body: list[str]) -> _Found:
             else:
                 kept.append(content)
             continue
-        column = 1
+        column, quoted = 1, False
         while True:
             m = _QUOTE.match(content)
+            quoted = quoted or bool(m)
             if not m and not paragraph and not _RULE.match(content):
                 m = _ITEM.match(content)
                 if m:
-                    in_list = True
+                    in_list = in_list or not quoted
                     found.count(2)
             if not m or not m.end():
                 break
@@ -203,7 +204,7 @@ def _blocks(body: list[str]) -> _Found:
         if opened := _FENCE.match(content):
             if opened[1][0] == "~" or "`" not in opened[2]:
                 end_paragraph()
-                fence = (opened[1], n, opened[2].strip().split(" ")[0], [], len(re.findall(r"^(?: {0,3}> ?)+", line)) and line[: len(line) - len(content)].count(">"))
+                fence = (opened[1], n, opened[2].strip().split(" ")[0], [], line[: len(line) - len(content)].count(">"))
                 continue
         if m := _ATX.match(content):
             end_paragraph()

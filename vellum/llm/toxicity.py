@@ -232,7 +232,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = [k for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 score = score_texts(part.column("text"), model)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(score, pa.float64())], names=[*(batch.schema.names[k] for k in others), "score"])
 

@@ -91,9 +91,12 @@ def test_near_empty(spark):
     assert minhash.near_components(frame(spark, [])).collect() == []
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    """Tiny blocks: pairs of a bucket meet across many of them."""
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+@pytest.mark.parametrize("blocks", [0, 100])
+def test_blocks_lose_no_link(spark, monkeypatch, blocks):
+    """Tiny blocks: texts of a family meet across many of them."""
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "LOAD", 1000)
+    monkeypatch.setattr(minhash, "BLOCKS", blocks)
     base = words(200, 5)
     chain = [(0, " ".join(base))]
     for i in range(1, 40):

@@ -6,11 +6,12 @@ one node from the start. Nodes that share a band are compared by two bits of eac
 pairs that may reach the similarity are verified on their full sets.
 
 No bucket is expanded into all its pairs. First each node is verified against one node that
-opens a bucket of its; copies then hang together. After that only pairs across components are
-left: the nodes outside a bucket's largest component meet the bucket in blocks of bounded size,
-a pair leaves that join only if its bits allow the similarity, and nodes take their most
-promising partners first. Rounds go on until no undecided pair is left, so no link between two
-components is lost; pairs within a component can't change the result.
+opens a bucket of its; copies then hang together, and only pairs across components matter, as
+pairs within one can't change the result. Buckets of up to `SMALL` nodes give what is left as
+pairs, a bounded number for each node. Nodes of larger buckets that still have a possible
+partner are gathered in families, which share buckets; a family's texts meet in blocks of
+bounded size, where one matrix product counts all intersections and only links that join
+components leave the task. So every possible pair of every bucket is decided on full sets.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing. A text of fewer
 than five words has its whole sequence as its one shingle. Rows with the same doc_id count as
@@ -23,10 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .components import components
 from .scratch import Scratch
@@ -38,9 +39,12 @@ BANDS, ROWS = 18, 5
 COORDINATES = BANDS * ROWS
 #: Of COORDINATES pairs of bits, as many may differ: five deviations above what a pair at the similarity shows.
 MOST_DIFFERENT = 26
-BLOCK = 2048
-#: Partners per node in each round; every round after these takes all that are left.
-PARTNERS = (2, 16)
+#: Nodes of a bucket whose pairs are written out, and of one whose nodes are all taken as having a partner.
+SMALL, LARGE = 8, 4096
+#: Shingles of a block of texts, and blocks of a family beyond which its blocks follow buckets.
+LOAD, BLOCKS = 600_000, 8
+#: Columns of the incidence matrix that are held at once.
+COLUMNS = 8192
 
 _SIGNED = "doc_id long, n int, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long"
 
@@ -172,35 +176,116 @@ def _first_pairs(members: DataFrame, similarity: int) -> DataFrame:
     return best.select(F.col("best.first_rep").alias("a"), F.col("rep").alias("b"))
 
 
-def _active(members: DataFrame, similarity: int) -> DataFrame:
-    """Nodes with a possible partner in some bucket; of buckets beyond 2 * BLOCK nodes, all."""
-    side = members.select("key", "size", "rep", "n", "s0", "s1", "s2").where(F.col("size") <= 2 * BLOCK)
-    other = _as(side.drop("size"), "o_")
-    paired = side.join(other, (side.key == other.key) & (F.col("rep") != F.col("o_rep")) & _possible("", "o_", similarity), "left_semi")
-    return paired.select("rep").unionByName(members.where(F.col("size") > 2 * BLOCK).select("rep")).distinct()
-
-
-def _across(members: DataFrame, belongs: DataFrame, decided: DataFrame, similarity: int, partners: int | None) -> DataFrame:
-    """Undecided possible pairs (a, b) of nodes in one bucket but different components."""
-    own = members.select("key", "rep", "n", "s0", "s1", "s2").join(belongs, F.col("rep") == F.col("node"), "left")
-    own = own.withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    inside = own.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = inside.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.max(F.struct("c", "comp")).alias("main")).where("kinds > 1")
-    mixed = mixed.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("total") / BLOCK).alias("blocks"), F.ceil((F.col("total") - F.col("main.c")) / BLOCK).alias("chunks"))
-    rows = own.join(mixed, "key")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    chunk = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks"))
-    resident = rows.withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    visitor = rows.where("comp <> main").withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    columns = ["key", "block", "chunk", "rep", "n", "s0", "s1", "s2", "comp"]
-    r, v = _as(resident.select(*columns), "r_"), _as(visitor.select(*columns), "v_")
-    meet = (r.key == v.key) & (r.block == v.block) & (r.chunk == v.chunk) & (F.col("r_comp") != F.col("v_comp")) & _possible("r_", "v_", similarity)
-    pairs = r.join(v, meet).select(F.least("r_rep", "v_rep").alias("a"), F.greatest("r_rep", "v_rep").alias("b"), _different("r_s", "v_s").alias("different")).distinct()
-    pairs = pairs.join(decided.select("a", "b"), ["a", "b"], "left_anti")
-    if partners:
-        best = Window.partitionBy("b").orderBy("different", "a")
-        pairs = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= partners)
-    return pairs.select("a", "b")
+def _active(members: DataFrame, similarity: int, across: bool = False) -> DataFrame:
+    """Rows of members with a possible partner in their bucket; of buckets beyond LARGE nodes, all.
+
+    across: only partners of another component (column comp) count.
+    """
+    side = members.where(F.col("size") <= LARGE)
+    other = _as(side.select("key", "rep", "n", "s0", "s1", "s2", *(["comp"] if across else [])).withColumnRenamed("key", "o_key"), "o_").withColumnRenamed("o_o_key", "o_key")
+    differ = F.col("comp") != F.col("o_comp") if across else F.col("rep") != F.col("o_rep")
+    paired = side.join(other, (F.col("key") == F.col("o_key")) & differ & _possible("", "o_", similarity), "left_semi")
+    return paired.unionByName(members.where(F.col("size") > LARGE))
+
+
+def _in_components(members: DataFrame, belongs: DataFrame) -> DataFrame:
+    """members of buckets that hold more than one component, with comp."""
+    own = members.join(belongs, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    mixed = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return own.join(mixed, "key", "left_semi")
+
+
+def _written_pairs(members: DataFrame, decided: DataFrame, similarity: int) -> DataFrame:
+    """Undecided possible pairs (a, b) across components in small buckets: SMALL - 1 per node and bucket at most."""
+    side = members.select("key", "rep", "n", "s0", "s1", "s2", "comp")
+    other = _as(side.withColumnRenamed("key", "o_key"), "o_").withColumnRenamed("o_o_key", "o_key")
+    meet = (F.col("key") == F.col("o_key")) & (F.col("rep") < F.col("o_rep")) & (F.col("comp") != F.col("o_comp")) & _possible("", "o_", similarity)
+    pairs = side.join(other, meet).select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
+    done = decided.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets of one with those of two."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (one, two)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    if not len(shared):
+        return out
+    placed = []
+    for codes, rows in zip(flat, owner, strict=True):
+        at = np.minimum(np.searchsorted(shared, codes), len(shared) - 1)
+        hit = shared[at] == codes
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], rows[hit][order]))
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        parts = []
+        for (at, rows), n in zip(placed, (len(one), len(two)), strict=True):
+            a, b = np.searchsorted(at, [low, low + width])
+            dense = np.zeros((n, width), np.float32)
+            dense[rows[a:b], at[a:b] - low] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(similarity: int):
+    """Links that join components between the two sides of a pair of blocks, or within one block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["side"] == k] for k in (0, 1)]
+        same = not len(sides[1])
+        if same:
+            sides[1] = sides[0]
+        sets = []
+        for side in sides[: 1 if same else 2]:
+            flat, offsets = shingle_sets(pa.array(side["text"], pa.large_string()))
+            sets.append([flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        sets = sets * 2 if same else sets
+        sizes = [np.array([len(x) for x in s]) for s in sets]
+        both = intersections(*sets)
+        reps, comps = ([side[c].to_numpy() for side in sides] for c in ("rep", "comp"))
+        linked = (both > 0) & (100 * both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)) & (comps[0][:, None] != comps[1][None, :])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(linked):
+            x, y = root(comps[0][i]), root(comps[1][j])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((reps[0][i], reps[1][j]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return run
+
+
+def _family_links(members: DataFrame, texts: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+    """u, v of links across components among nodes of large buckets. members: rows with a partner, and comp."""
+    opener = members.groupBy("key").agg(F.min("rep").alias("opener"))
+    families = components(members.join(opener, "key").select(F.col("rep").alias("u"), F.col("opener").alias("v")), scratch, "families")
+    nodes = members.select("rep", "comp", "n").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep")
+    nodes = scratch.cut(nodes, "family-nodes")
+    loads = nodes.groupBy("family").agg(F.sum("n").alias("load"))
+    of_bucket = members.groupBy("key").agg(F.sum("n").alias("bucket_load"))
+    home = members.select("key", "rep").join(of_bucket, "key").groupBy("rep").agg(F.max(F.struct("bucket_load", "key")).alias("home"))
+    placed = nodes.join(loads, "family").join(home, "rep")
+    compact = F.col("load") <= LOAD * BLOCKS
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.when(compact, F.col("load")).otherwise(F.col("home.bucket_load")) / LOAD))
+    block = F.xxhash64(compact, F.when(compact, F.col("family")).otherwise(F.col("home.key")), part)
+    placed = scratch.cut(placed.select("rep", "comp", block.alias("block")), "blocks")
+    met = members.select("key", "rep").join(placed, "rep").select("key", "block").distinct()
+    pairs = met.join(met.select("key", F.col("block").alias("other")), "key").where("block <= other").select("block", "other").distinct()
+    full = placed.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "comp", "block", "text")
+    one = pairs.join(full, "block").select("block", "other", F.lit(0).alias("side"), "rep", "comp", "text")
+    two = pairs.where("block < other").join(full.withColumnRenamed("block", "other"), "other").select("block", "other", F.lit(1).alias("side"), "rep", "comp", "text")
+    return one.unionByName(two).groupBy("block", "other").applyInPandas(_block_links(similarity), "u long, v long")
 
 
 def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,19 +296,22 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     nodes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1", "s2")))
     nodes = scratch.cut(nodes, "nodes")
     members = scratch.cut(_members(nodes), "members")
-    active = _active(members, similarity)
+    active = _active(members, similarity).select("rep").distinct()
     texts = scratch.cut(rows.join(active, F.col("doc_id") == F.col("rep"), "left_semi"), "texts")
 
-    verified = scratch.cut(_verified(_first_pairs(members, similarity), texts, similarity), "verified-0")
-    decided, turn = verified, 0
-    while True:
-        links = decided.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        belongs = scratch.cut(components(links, scratch, f"stars-{turn}"), f"belongs-{turn}")
-        undecided = scratch.cut(_across(members, belongs, decided, similarity, PARTNERS[turn] if turn < len(PARTNERS) else None), f"pairs-{turn}")
-        if undecided.isEmpty():
-            break
-        turn += 1
-        decided = decided.unionByName(scratch.cut(_verified(undecided, texts, similarity), f"verified-{turn}"))
+    first = scratch.cut(_verified(_first_pairs(members, similarity), texts, similarity), "first")
+    links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    belongs = scratch.cut(components(links, scratch, "stars-0"), "belongs-0")
+    large = _active(_in_components(members.where(F.col("size") > SMALL), belongs), similarity, across=True)
+    large = scratch.cut(large.select("key", "rep", "comp", "n"), "large")
+    if not large.isEmpty():
+        links = links.unionByName(scratch.cut(_family_links(large, texts, similarity, scratch), "family-links"))
+        belongs = scratch.cut(components(links, scratch, "stars-1"), "belongs-1")
+    written = scratch.cut(_written_pairs(_in_components(members.where(F.col("size") <= SMALL), belongs), first, similarity), "written")
+    if not written.isEmpty():
+        last = scratch.cut(_verified(written, texts, similarity), "last")
+        links = links.unionByName(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        belongs = scratch.cut(components(links, scratch, "stars-2"), "belongs-2")
     scratch.drop("texts", "members")
 
     sets = nodes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "rep").join(belongs, F.col("rep") == F.col("node"), "left").select("x1", "x2", F.coalesce("component", "rep").alias("component_id"))

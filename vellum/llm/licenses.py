@@ -79,6 +79,8 @@ class Index:
     def __init__(self, templates: Mapping[str, str]):
         self.names = list(templates)
         self.words = [words(pa.array([t], pa.large_string()))[0] for t in templates.values()]
+        # A short template may follow itself, so its band is a part of its length.
+        self.bands = np.array([min(BAND, max(2, len(w) // 3)) for w in self.words])
         entries = []
         for t, hashes in enumerate(self.words):
             codes = grams(hashes)
@@ -102,8 +104,11 @@ def _index() -> Index:
     return Index(TEMPLATES)
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Most template words matched in order near the diagonal text = template + shift, and the first and last place in text."""
+def align(template: np.ndarray, text: list[int], shift: int, band: int = BAND) -> tuple[int, int, int]:
+    """Most template words matched in order near the diagonal text = template + shift, and the first and last place in text.
+
+    Of equal counts, the match that starts last and then ends first: the tightest span.
+    """
     none = (0, 0, 0)
     row: list[tuple[int, int, int]] = [none] * (2 * band + 3)
     best = none
@@ -114,12 +119,11 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
             top = max(row[d + 1], new[d - 1])
             if 0 <= j < len(text) and text[j] == word:
                 n, first, _ = row[d]
-                top = max(top, (n + 1, first if n else -j, j), key=lambda x: (x[0], x[1], -x[2]))
+                top = max(top, (n + 1, first if n else j, -j))
             new[d] = top
-            if top[0] > best[0]:
-                best = top
         row = new
-    return best[0], -best[1], best[2]
+        best = max(best, *row)
+    return best[0], best[1], -best[2]
 
 
 def matches(index: Index, hashes: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
@@ -130,14 +134,14 @@ def matches(index: Index, hashes: np.ndarray, least: float) -> list[tuple[int, f
         return found
     order = np.lexsort((at, at - place, template))
     at, template, diagonal = at[order], template[order], (at - place)[order]
-    opens = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (np.diff(diagonal) > BAND)]))
+    opens = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (np.diff(diagonal) > index.bands[template[1:]])]))
     for a, b in zip(opens, [*opens[1:], len(at)], strict=True):
         t = int(template[a])
-        own = index.words[t]
+        own, band = index.words[t], int(index.bands[t])
         shift = int(np.median(diagonal[a:b]))
-        low = max(0, shift - BAND)
-        text = hashes[low : shift + len(own) + BAND].tolist()
-        n, first, last = align(own, text, shift - low)
+        low = max(0, shift - band)
+        text = hashes[low : max(0, shift + len(own) + band)].tolist()
+        n, first, last = align(own, text, shift - low, band)
         if n >= least * len(own):
             found.append((t, n / len(own), low + first, low + last))
     return sorted(set(found), key=lambda x: (x[2], -x[1], x[0]))

@@ -82,12 +82,13 @@ def test_near_components(spark, rows):
         assert r.n_shingles in texts[r.doc_id]
         assert r.component_id == (None if r.doc_id is None else want[r.doc_id])
         assert r.kept == (r.doc_id is not None and r.component_id == r.doc_id)
-    kept = minhash.drop_near(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "uid"]
-    assert {r.doc_id for r in kept.collect()} == {None, *want.values()}
 
 
-def test_near_empty(spark):
+def test_drop_near(spark, rows):
+    few = [*rows[:4], *rows[-3:], (400, "one two"), (401, "ONE  two")]
+    kept = minhash.drop_near(frame(spark, few))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "uid"]
+    assert {r.doc_id for r in kept.collect()} == {None, *brute_components(few, 85).values()}
     assert minhash.near_components(frame(spark, [])).collect() == []
 
 

@@ -14,7 +14,8 @@ class CuckooIndex:
     Buckets of four 16-bit fingerprints answer most misses without touching a key. A
     fingerprint that matches is only a hit once the digest stored for that slot is equal, so
     there are no false positives. When an insertion finds no place after `_KICKS` moves, the
-    table doubles and is filled again from the stored keys.
+    table doubles and is filled again from the stored keys; a table that is less than half full
+    holds too many equal fingerprints for that to help, and the key goes to a plain overflow.
     """
 
     def __init__(self, capacity: int = 1024):
@@ -24,6 +25,7 @@ class CuckooIndex:
         self.mask = (1 << (buckets - 1).bit_length()) - 1
         self.prints = array("H", bytes(2 * _SLOTS * (self.mask + 1)))
         self.held: list = [None] * (_SLOTS * (self.mask + 1))
+        self.overflow: dict = {}
         self.live = 0
         self.turn = 0
 
@@ -50,7 +52,7 @@ class CuckooIndex:
     def get(self, digest: bytes):
         """The value of a live digest, else None."""
         slot = self._slot(digest)
-        return None if slot < 0 else self.held[slot][1]
+        return self.overflow.get(digest) if slot < 0 else self.held[slot][1]
 
     def put(self, digest: bytes, value) -> bool:
         """Set a digest's value; True if it was not live before."""
@@ -58,6 +60,9 @@ class CuckooIndex:
         if slot >= 0:
             self.held[slot] = (digest, value)
             return False
+        if digest in self.overflow:
+            self.overflow[digest] = value
+            return False
         self._insert(digest, value)
         return True
 
@@ -65,13 +70,15 @@ class CuckooIndex:
         """Delete a digest; False if it was not live."""
         slot = self._slot(digest)
         if slot < 0:
-            return False
+            self.live -= digest in self.overflow
+            return self.overflow.pop(digest, None) is not None
         self.prints[slot], self.held[slot] = 0, None
         self.live -= 1
         return True
 
     def items(self):
-        return (x for x in self.held if x is not None)
+        yield from (x for x in self.held if x is not None)
+        yield from self.overflow.items()
 
     def _insert(self, digest: bytes, value) -> None:
         entry = (digest, value)
@@ -88,7 +95,11 @@ class CuckooIndex:
             bucket = self._other(bucket, mark)
             if self._settle(bucket, mark, entry):
                 return
-        self._grow(entry)
+        if 2 * self.live < len(self.held):
+            self.overflow[entry[0]] = entry[1]
+            self.live += 1
+        else:
+            self._grow(entry)
 
     def _settle(self, bucket: int, mark: int, entry: tuple) -> bool:
         for slot in range(bucket * _SLOTS, bucket * _SLOTS + _SLOTS):

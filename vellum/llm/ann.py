@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, shuffle_partitions
 
 SHARD_POINTS = 4000
 QUERY_BLOCK = 2000
@@ -181,13 +181,16 @@ def nearest(rows: DataFrame, query: Column, k: int = 5, id_col: str = "vec_id",
     points = scratch.cut(points, "points")
     sizes = points.groupBy("dim").agg(F.ceil(F.count("*") / SHARD_POINTS).alias("shards"))
     sharded = points.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")))
-    graph = sharded.select("shard", "dim", "ids", "vector").groupBy("dim", "shard").applyInPandas(_build, "shard long, dim int, local int, ids array<long>, vector array<double>, edges array<int>, start boolean")
+    # Shards are few and costly, so their number of tasks is fixed and not merged by size.
+    tasks = max(shuffle_partitions(spark), -(-points.count() // SHARD_POINTS))
+    graph = sharded.select("shard", "dim", "ids", "vector").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, "shard long, dim int, local int, ids array<long>, vector array<double>, edges array<int>, start boolean")
     graph = scratch.cut(graph, "graph")
     asked = usable.where("asks").select("vec_id", "vector", F.size("vector").alias("dim")).distinct()
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))
     asked = asked.join(blocks.join(sizes, "dim"), "dim").withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select("dim", "shard", "block", "vec_id", "vector")
     served = graph.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    served, asked = (side.repartition(tasks, "dim", "shard", "block") for side in (served, asked))
     found = served.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(_search(k), "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

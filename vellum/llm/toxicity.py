@@ -213,14 +213,20 @@ def _steps(texts: list[str]) -> list[tuple]:
     return steps
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """The training rows: at most MAX_POSITIVE and MAX_NEGATIVE, spread by hash, of ids that are not held out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """id, y, text of the training rows: at most MAX_POSITIVE and MAX_NEGATIVE, spread by hash, of ids that are not held out."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("id")).groupBy("id").agg(F.min("y").alias("y"), F.min(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
-    return [r.text for r in rows], [int(r.y) for r in rows]
+    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("id"))
+    return rows.groupBy("id").agg(F.min("y").cast("long").alias("y"), F.min(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "text")), strict=True)]
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+    model = train([r[2] for r in rows], [r[1] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["value", "bias"])
 
 
 def held_out(id_column):
@@ -247,7 +253,11 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    return train(*sample(docs, labels, id_col, text_col, label_col))
+    """A model trained in one task on the bounded sample; the driver gets the finished numbers only."""
+    found = sample(docs, labels, id_col, text_col, label_col).repartition(1).mapInArrow(_train_task, "value binary, bias double").first()
+    if found is None:
+        return train([], [])
+    return Model(np.frombuffer(bytes(found["value"]), "<f4").astype(np.float32), float(found["bias"]))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -116,6 +116,25 @@ def test_signatures_estimate_jaccard():
     assert abs((one == two).mean() - 0.6) < 0.18
 
 
+def test_lower_similarity_keeps_its_pairs(spark):
+    """Pairs of Jaccard 0.80 that 18 bands, enough for 0.85, let go."""
+    rows = []
+    for k, seed in enumerate([969, 3402, 3550, 5845, 8083, 8196, 8282, 9266]):
+        base = [f"w{seed}x{i}" for i in range(49)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:24], "changed", *base[25:]]))]
+    kept = {r.doc_id for r in minhash.drop_near(frame(spark, rows), 80).collect()}
+    assert kept == set(brute_components(rows, 80).values()) == {0, 2, 4, 6, 8, 10, 12, 14}
+
+
+def test_bands_follow_similarity():
+    assert (minhash.bands_of(85), minhash.most_different(85)) == (18, 26)
+    for similarity in (80, 85, 90):
+        bands = minhash.bands_of(similarity)
+        assert (1 - (similarity / 100) ** minhash.ROWS) ** bands <= minhash.MOST_MISSED
+        n, p = min(minhash.ROWS * bands, minhash.SKETCHED), 0.75 * (1 - similarity / 100)
+        assert minhash.most_different(similarity) >= n * p + 5 * (n * p * (1 - p)) ** 0.5
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (12, 11), (3, 3), (20, 5), (5, 2), (30, 31), (31, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()}

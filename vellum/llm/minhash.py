@@ -21,6 +21,7 @@ one document. Rows of null doc_id take no part: they have a null component and s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +36,10 @@ from .tokens import mix64, shingle_sets, slices
 
 #: Links need 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
-BANDS, ROWS = 18, 5
-COORDINATES = BANDS * ROWS
-#: Of COORDINATES pairs of bits, as many may differ: five deviations above what a pair at the similarity shows.
-MOST_DIFFERENT = 26
+#: Coordinates of a band, and the most likely a pair at the similarity may share no band.
+ROWS, MOST_MISSED = 5, 3e-5
+#: Coordinates whose bits fit in a sketch.
+SKETCHED = 96
 #: Nodes of a bucket whose pairs are written out, and of one whose nodes are all taken as having a partner.
 SMALL, LARGE = 8, 4096
 #: Shingles of a block of texts, and blocks of a family beyond which its blocks follow buckets.
@@ -49,6 +50,18 @@ COLUMNS = 8192
 _SIGNED = "doc_id long, n int, h1 long, h2 long, bands array<long>, s0 long, s1 long, s2 long"
 
 
+def bands_of(similarity: int) -> int:
+    """Bands by which a pair at the similarity is missed with a chance of MOST_MISSED at most: 18 at 85, 27 at 80."""
+    apart = 1 - (similarity / 100) ** ROWS
+    return 1 if apart <= 0 else math.ceil(math.log(MOST_MISSED) / math.log(apart))
+
+
+def most_different(similarity: int) -> int:
+    """Of the sketched pairs of bits, as many may differ: five deviations above what a pair at the similarity shows."""
+    n, p = min(bands_of(similarity) * ROWS, SKETCHED), 0.75 * (1 - similarity / 100)
+    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+
+
 def _scatter(x: np.ndarray) -> np.ndarray:
     """The first permutation of 32-bit ids."""
     x = x ^ (x >> np.uint32(16))
@@ -59,16 +72,16 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def signatures(sets: np.ndarray, offsets: np.ndarray, bands: int = bands_of(SIMILARITY)) -> np.ndarray:
     """Coordinate k of a set is the least value of the second permutation, shifted by k, on its scattered ids."""
     has = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(offsets) - 1, COORDINATES), np.uint32)
+    out = np.zeros((len(offsets) - 1, bands * ROWS), np.uint32)
     if not len(has):
         return out
     ids = _scatter((sets >> np.uint64(32)).astype(np.uint32))
     at = offsets[:-1][has]
     x, y = np.empty_like(ids), np.empty_like(ids)
-    for k in range(COORDINATES):
+    for k in range(bands * ROWS):
         np.subtract(ids, np.uint32(k), out=x)
         for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
             np.right_shift(x, np.uint32(shift), out=y)
@@ -82,33 +95,38 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def band_keys(signed: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each signature."""
-    rows = signed.reshape(len(signed), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    bands = signed.shape[1] // ROWS
+    rows = signed.reshape(len(signed), bands, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2]).copy()
     for r in range(ROWS):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return key.view(np.int64)
 
 
 def _sketch(signed: np.ndarray) -> np.ndarray:
-    """Two bits of each coordinate in three 64-bit integers."""
-    bits = np.zeros((len(signed), 96), np.uint64)
-    bits[:, :COORDINATES] = signed & np.uint32(3)
+    """Two bits of each of the first SKETCHED coordinates in three 64-bit integers."""
+    bits = np.zeros((len(signed), SKETCHED), np.uint64)
+    kept = signed[:, :SKETCHED]
+    bits[:, : kept.shape[1]] = kept & np.uint32(3)
     shifts = 2 * np.arange(32, dtype=np.uint64)
     return np.bitwise_or.reduce(bits.reshape(-1, 3, 32) << shifts, axis=2).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets, offsets = shingle_sets(part.column("text"))
-            signed = signatures(sets, offsets)
-            totals = np.zeros((2, len(sets) + 1), np.uint64)
-            np.cumsum(sets, out=totals[0, 1:])
-            np.cumsum(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), out=totals[1, 1:])
-            sums = (totals[:, offsets[1:]] - totals[:, offsets[:-1]]).view(np.int64)
-            keys, bits = band_keys(signed), _sketch(signed)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), bands, *(pa.array(bits[:, k].copy()) for k in range(3))], names=["doc_id", "n", "h1", "h2", "bands", "s0", "s1", "s2"])
+def _sign(n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, offsets = shingle_sets(part.column("text"))
+                signed = signatures(sets, offsets, n_bands)
+                totals = np.zeros((2, len(sets) + 1), np.uint64)
+                np.cumsum(sets, out=totals[0, 1:])
+                np.cumsum(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)), out=totals[1, 1:])
+                sums = (totals[:, offsets[1:]] - totals[:, offsets[:-1]]).view(np.int64)
+                keys, bits = band_keys(signed), _sketch(signed)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_bands), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), bands, *(pa.array(bits[:, k].copy()) for k in range(3))], names=["doc_id", "n", "h1", "h2", "bands", "s0", "s1", "s2"])
+
+    return run
 
 
 def _verify(similarity: int):
@@ -143,7 +161,7 @@ def _different(a: str, b: str) -> Column:
 def _possible(a: str, b: str, similarity: int) -> Column:
     """Whether two nodes may reach the similarity, by their set sizes and bits."""
     small, large = F.least(f"{a}n", f"{b}n").cast("long"), F.greatest(f"{a}n", f"{b}n").cast("long")
-    return (100 * small >= similarity * large) & (_different(f"{a}s", f"{b}s") <= MOST_DIFFERENT)
+    return (100 * small >= similarity * large) & (_different(f"{a}s", f"{b}s") <= most_different(similarity))
 
 
 def _as(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -292,7 +310,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.cut(rows.mapInArrow(_sign, _SIGNED), "signed")
+    signed = scratch.cut(rows.mapInArrow(_sign(bands_of(similarity)), _SIGNED), "signed")
     nodes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "s0", "s1", "s2")))
     nodes = scratch.cut(nodes, "nodes")
     members = scratch.cut(_members(nodes), "members")

@@ -70,6 +70,25 @@ def test_identifiers_are_known():
     assert not secrets.is_known("q8Zr2LxV0pTn5WkYc7Hd9JfB3sGm")
 
 
+def test_ratio_decides_on_short_and_lettered_runs(spark):
+    keys = ["kQzXvBnMwPLrTyHsDfGj", "aGVsbG93b3JsZA", "kQzXvBnMwPLrTyHsDfGj12345678", "x7Kq9ZtW2mVb", "Zk3-Qw8_Lp5xTn1r"]
+    plain = ["getElementById", "internationalization", "Donaudampfschifffahrt", "PostgreSQL2024", "python3-numpy-1", "covid19-vaccine", "src/main/java/Foo2", "XK-12345678-QZR", "state-of-the-art", "2024-01-01T00:00:00Z", "00-1A-2B-3C-4D-5E", "4111-1111-1111-1111", "a" + "-" * 5000, "x " * 100]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(frame(spark, [(i, f"see {t} end") for i, t in enumerate(keys + plain)]), VOCABULARY).collect()}
+    for i, t in enumerate(keys + plain):
+        assert got[i] == (f"random:4:{4 + len(t)}" if i < len(keys) else ""), t
+
+
+def test_random_keys_are_found():
+    """Shares of random keys found at each length and alphabet."""
+    rng = random.Random(3)
+    encoding = secrets.encoder(VOCABULARY)
+    efficient = lambda run: len(run) / len(encoding.encode_ordinary(run))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n, least in ((letters + letters.upper() + "0123456789", 12, 0.95), (letters + letters.upper() + "0123456789", 16, 0.98), (letters + letters.upper() + "0123456789", 20, 0.99), (letters + letters.upper(), 24, 0.99)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(1000)]
+        assert sum(secrets.is_random(k, efficient) for k in keys) / len(keys) >= least
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     loose = mit.replace(",", "").replace("software", "SOFTWARE\n *").replace("copies", "copy-ies of")

@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and strings that a token vocabulary compresses badly.
 
 Ordinary words are few tokens of a byte-pair vocabulary; random strings fall apart into short
-ones. A run of `[A-Za-z0-9+/_=-]` is a candidate if it is long enough and mixes letters and
-digits. It is reported as kind `random` when it has few characters per token, unless it is a
-known digest (a hexadecimal run of a digest's length, or `algorithm-base64` as integrity
-attributes have it) or an identifier (UUID, ISO time, version-like or dashed words). Base spans
-stay whatever they look like, and a random span inside a base span is not reported again.
+ones. A run of `[A-Za-z0-9+/_=-]` of 12 characters or more is a candidate. It is reported as kind
+`random` when it has few characters per token, unless it is a known digest (a hexadecimal run of a
+digest's length, or `algorithm-base64` as integrity attributes have it) or an identifier (UUID,
+hardware address, ISO time, or words and short numbers whose words have many characters per
+token). Short runs and runs of letters alone, which words may be, must have fewer. Base spans stay
+whatever they look like, and a random span inside a base span is not reported again.
 
 Cases: a null or empty text has no span. Offsets are code points, end exclusive. Ties in start
 are ordered assign, access, hex, random. Rows are independent, so repeated rows, null ids and
@@ -34,17 +35,25 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LONG = 20
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _IDENTIFIER = re.compile(
     r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"
+    r"|(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}"
     r"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"
+    r"|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2,6}(?:[+-][0-9]{2,4}|Z)?"
     r"|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]+[-_/+=]+)*[A-Za-z]*[-_/+=]*[0-9]{1,8}(?:[-_/+=]+(?:[A-Za-z]+|[0-9]{1,8}))*[-_/+=]*"
 )
-#: Characters per token at or under which a candidate is random.
-MOST_RATIO = 2.2
+#: Words and short numbers, joined by marks; one number may follow a word at once.
+_WORDED = re.compile(r"(?:[A-Za-z]++[-_/+=]++)*+[A-Za-z]*+[-_/+=]*+(?:[0-9]{1,8}+(?:[-_/+=]++(?:[A-Za-z]++|[0-9]{1,8}+))*+[-_/+=]*+)?")
+_WORD = re.compile(r"[A-Za-z]{3,}")
+#: Fewer letters in words than these don't tell an identifier from a random string.
+LETTERS = 8
+#: Characters per token at or under which a candidate is random: a long one with digits; a long one
+#: of letters; a short one with digits or of both cases; a short one of letters of one case.
+MOST_RATIO, MOST_LETTERS, MOST_SHORT, MOST_WORD = 2.2, 2.0, 1.8, 1.5
 
 _encoders: dict[str, object] = {}
 
@@ -65,6 +74,27 @@ def is_known(run: str) -> bool:
     return (len(run) in DIGEST_LENGTHS and bool(_DIGEST.fullmatch(run))) or bool(_IDENTIFIER.fullmatch(run))
 
 
+def bound(run: str, most_ratio: float = MOST_RATIO) -> float:
+    """Characters per token at or under which a run is random."""
+    digits = any(c.isdigit() for c in run)
+    if len(run) >= LONG:
+        return most_ratio if digits else min(most_ratio, MOST_LETTERS)
+    two_cases = run[1:].upper() != run[1:] != run[1:].lower()
+    return min(most_ratio, MOST_SHORT if digits or two_cases else MOST_WORD)
+
+
+def is_random(run: str, efficient, most_ratio: float = MOST_RATIO) -> bool:
+    """Whether a vocabulary compresses a run badly, and its words too if it looks like an identifier."""
+    most = bound(run, most_ratio)
+    if is_known(run) or efficient(run) > most:
+        return False
+    if not _WORDED.fullmatch(run):
+        return True
+    found = _WORD.findall(run)
+    letters = sum(map(len, found))
+    return letters >= LETTERS and letters <= most * sum(len(w) / efficient(w) for w in found)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in order."""
     found = []
@@ -84,7 +114,7 @@ def random_spans(text: str, efficient, base: list[tuple[int, int, int]], most_ra
         a, b = m.span()
         if any(s <= a and b <= e for s, _, e in base):
             continue
-        if not is_known(m[0]) and efficient(m[0]) <= most_ratio:
+        if is_random(m[0], efficient, most_ratio):
             found.append((a, 3, b))
     return found
 

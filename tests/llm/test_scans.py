@@ -107,6 +107,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).collect() == []
 
 
+def test_short_templates_stand_one_change(spark):
+    """One word changed, dropped or added at every place leaves what the coverage allows."""
+    texts, want = ["Released under MIT License", "Released under an MIT License", "Licensed under the Apache License 2.0"], [("MIT-line", 0.8), ("MIT-line", 0.8), ("Apache-2.0-line", 0.875)]
+    for name, template in licenses.TEMPLATES.items():
+        own = re.findall("[A-Za-z0-9]+", template)
+        if len(own) < licenses.SHORT:
+            for k in range(len(own)):
+                for put in ([], ["zebra"], [own[k], "zebra"]):
+                    texts.append("He said so twice " + " ".join([*own[:k], *put, *own[k + 1 :]]) + " and left of the house")
+                    want.append((name, 1.0 if len(put) == 2 else (len(own) - 1) / len(own)))
+    assert len({n for n, _ in want}) == 8
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, list(enumerate(texts)))).collect():
+        got.setdefault(r.doc_id, []).append((r.license, round(r.coverage, 6)))
+    for i, (name, coverage) in enumerate(want):
+        assert got.get(i, []).count((name, round(coverage, 6))) == 1, texts[i]
+    line = "Released under the MIT License. "
+    close = [r for r in licenses.scan_licenses(frame(spark, [(0, line * 5)])).collect() if r.license == "MIT-line"]
+    assert [r.coverage for r in close] == [1.0] * 5
+
+
 def test_alignment_is_longest_common_subsequence():
     """Within the band, the count is that of a plain dynamic program."""
     rng = random.Random(8)

@@ -6,6 +6,10 @@ small and fixed. Every k-word hash of a text is looked up in it; hits on near di
 candidate, and only there template and text are aligned within a band. A match reports the
 share of the template's words found in order, and the span in code points.
 
+A template of fewer than `SHORT` words has all its pairs of words in an index of their own, as
+coverage may leave no longer run whole. Texts are aligned on each diagonal of these hits, if the
+words around hold enough of the template's, and of matches that overlap the best stays.
+
 Cases: null, empty and blank texts have no match. Every occurrence in a text is a row, the
 templates of one place are told apart by coverage, and ties go to the earlier template. Rows
 are independent, so repeated rows and null ids give repeated rows. An empty table gives an
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .tokens import mix64, slices, text_bytes, word_hashes, word_spans
 
 GRAM, WINNOW = 4, 3
+#: Templates of fewer words are found by pairs of words.
+SHORT, PAIR = 20, 2
 BAND = 12
 LEAST_COVERAGE = 0.8
 
@@ -74,17 +80,21 @@ def winnow(codes: np.ndarray, window: int = WINNOW) -> np.ndarray:
 
 
 class Index:
-    """Winnowed fingerprints of templates: code -> (template, place)."""
+    """Fingerprints of templates: code -> (template, place). Winnowed runs, or all pairs of the short templates."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], short: bool = False):
         self.names = list(templates)
         self.words = [words(pa.array([t], pa.large_string()))[0] for t in templates.values()]
         # A short template may follow itself, so its band is a part of its length.
         self.bands = np.array([min(BAND, max(2, len(w) // 3)) for w in self.words])
+        self.size = PAIR if short else GRAM
+        self.short = None if short else Index(templates, short=True)
         entries = []
         for t, hashes in enumerate(self.words):
-            codes = grams(hashes)
-            entries += [(int(codes[i]), t, int(i)) for i in winnow(codes)]
+            if (len(hashes) < SHORT) != short:
+                continue
+            codes = grams(hashes, self.size)
+            entries += [(int(codes[i]), t, int(i)) for i in (range(len(codes)) if short else winnow(codes))]
         entries.sort()
         self.codes = np.array([e[0] for e in entries], np.uint64)
         self.template = np.array([e[1] for e in entries], np.int64)
@@ -130,23 +140,41 @@ def matches(index: Index, hashes: np.ndarray, least: float) -> list[tuple[int, f
     """(template, coverage, first word, last word) of every occurrence in one text's words."""
     at, template, place = index.hits(grams(hashes))
     found: list[tuple[int, float, int, int]] = []
-    if not len(at):
-        return found
-    order = np.lexsort((at, at - place, template))
-    at, template, diagonal = at[order], template[order], (at - place)[order]
-    opens = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (np.diff(diagonal) > index.bands[template[1:]])]))
-    for a, b in zip(opens, [*opens[1:], len(at)], strict=True):
-        t = int(template[a])
-        own, band = index.words[t], int(index.bands[t])
-        shift = int(np.median(diagonal[a:b]))
-        low = max(0, shift - band)
-        text = hashes[low : max(0, shift + len(own) + band)].tolist()
-        n, first, last = align(own, text, shift - low, band)
-        if n >= least * len(own):
-            found.append((t, n / len(own), low + first, low + last))
+    if len(at):
+        order = np.lexsort((at, at - place, template))
+        at, template, diagonal = at[order], template[order], (at - place)[order]
+        opens = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (np.diff(diagonal) > index.bands[template[1:]])]))
+        for a, b in zip(opens, [*opens[1:], len(at)], strict=True):
+            found += _aligned(index, int(template[a]), hashes, int(np.median(diagonal[a:b])), least)
+    found += _short_matches(index.short, hashes, least)
     return sorted(set(found), key=lambda x: (x[2], -x[1], x[0]))
 
 
+def _aligned(index: Index, t: int, hashes: np.ndarray, shift: int, least: float) -> list[tuple[int, float, int, int]]:
+    """The match of a template near a diagonal, if it covers enough."""
+    own, band = index.words[t], int(index.bands[t])
+    low = max(0, shift - band)
+    text = hashes[low : max(0, shift + len(own) + band)]
+    if np.isin(own, text).sum() < least * len(own):
+        return []
+    n, first, last = align(own, text.tolist(), shift - low, band)
+    return [(t, n / len(own), low + first, low + last)] if n >= least * len(own) else []
+
+
+def _short_matches(index: Index, hashes: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+    at, template, place = index.hits(grams(hashes, PAIR))
+    seen = sorted(set(zip(template.tolist(), (at - place).tolist(), strict=True)))
+    near = [x for t, shift in seen for x in _aligned(index, t, hashes, shift, least)]
+    found: list[tuple[int, float, int, int]] = []
+    taken: dict[int, np.ndarray] = {}
+    for t, coverage, first, last in sorted(set(near), key=lambda x: (x[0], -x[1], x[3] - x[2], x[2])):
+        free = taken.setdefault(t, np.ones(len(hashes), bool))
+        if free[first : last + 1].all():
+            free[first : last + 1] = False
+            found.append((t, coverage, first, last))
+    return found
+
+
 def _scan(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index()
@@ -154,7 +182,8 @@ def _scan(least: float):
             for part in slices(batch, "text"):
                 texts = part.column("text")
                 hashes, starts, ends, first, at = words(texts)
-                hit = np.unique(np.searchsorted(first, index.hits(grams(hashes))[0], "right") - 1)
+                places = np.concatenate([i.hits(grams(hashes, i.size))[0] for i in (index, index.short)])
+                hit = np.unique(np.searchsorted(first, places, "right") - 1)
                 ids = part.column("doc_id").to_pylist()
                 rows = []
                 for d in hit.tolist():

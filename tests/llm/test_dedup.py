@@ -73,7 +73,7 @@ def brute_components(rows, similarity):
 
 def test_near_components(spark, rows):
     want = brute_components(rows, 85)
-    got = minhash.near_components(frame(spark, rows)).collect()
+    got = minhash.near_components(frame(spark, rows), 85).collect()
     assert len(got) == len(rows)
     texts = {}
     for i, t in rows:
@@ -86,15 +86,27 @@ def test_near_components(spark, rows):
 
 def test_drop_near(spark, rows):
     few = [*rows[:4], *rows[-3:], (400, "one two"), (401, "ONE  two")]
-    kept = minhash.drop_near(frame(spark, few))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "uid"]
-    assert {r.doc_id for r in kept.collect()} == {None, *brute_components(few, 85).values()}
-    assert minhash.near_components(frame(spark, [])).collect() == []
+    docs = clashing(spark, few)
+    kept = minhash.drop_near(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {None, *brute_components(few, 80).values()}
+    assert minhash.near_components(frame(spark, [])).collect() == [] and minhash.drop_near(frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("blocks", [0, 100])
-def test_blocks_lose_no_link(spark, monkeypatch, blocks):
-    """Tiny blocks: texts of a family meet across many of them."""
+#: Names that operators use themselves, or that need quotes.
+CLASHES = ["__id", "__thash", "__thash_own", "__copy", "__gone", "gone", "row", "id", "hash", "thash", "uid", "my col", "a.b", "a-b", "q`t", "score"]
+
+
+def clashing(spark, rows):
+    """doc_id and text with many more columns; the added ones hold the place of the row."""
+    schema = ", ".join(f"`{c.replace('`', '``')}` long" for c in CLASHES)
+    return spark.createDataFrame([(i, t, *[k] * len(CLASHES)) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, {schema}")
+
+
+@pytest.mark.parametrize(("blocks", "large"), [(0, 4096), (100, 4096), (0, 3)])
+def test_blocks_lose_no_link(spark, monkeypatch, blocks, large):
+    """Tiny blocks: texts of a family meet across many of them. large: buckets whose nodes are all taken as having a partner."""
+    monkeypatch.setattr(minhash, "LARGE", large)
     monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "LOAD", 1000)
     monkeypatch.setattr(minhash, "BLOCKS", blocks)
@@ -104,7 +116,7 @@ def test_blocks_lose_no_link(spark, monkeypatch, blocks):
         base = list(base)
         base[(i * 5) % 200] = f"y{i}"
         chain.append((i, " ".join(base)))
-    got = {r.doc_id: r.component_id for r in minhash.near_components(frame(spark, chain)).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_components(frame(spark, chain), 85).collect()}
     assert got == brute_components(chain, 85)
 
 
@@ -135,6 +147,28 @@ def test_bands_follow_similarity():
         assert minhash.most_different(similarity) >= n * p + 5 * (n * p * (1 - p)) ** 0.5
 
 
+def test_bits_and_bands_lose_few_pairs():
+    """Pairs at the similarity itself: how many share no band, and how many differ in too many bits."""
+    rng = np.random.default_rng(4)
+    for similarity in (80, 85):
+        n, size = 4000, 180
+        shared = round(2 * size * similarity / (100 + similarity))
+        ids = rng.integers(0, 1 << 63, (n, 2 * size - shared)).astype(np.uint64)
+        one, two = ids[:, :size], np.concatenate([ids[:, :shared], ids[:, size:]], 1)
+        offsets = np.arange(2 * n + 1) * size
+        signed = minhash.signatures(np.concatenate([one, two]).ravel(), offsets, minhash.bands_of(similarity))
+        keys, bits = minhash.band_keys(signed), minhash._sketch(signed).view(np.uint64)
+        apart = ~(keys[:n] == keys[n:]).any(1)
+        x = bits[:n] ^ bits[n:]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+        assert apart.sum() <= 2 and (differ > minhash.most_different(similarity)).sum() == 0
+
+
+def test_counts_are_exact_beyond_single_precision():
+    flat = np.arange(3_000_000, dtype=np.uint64)
+    assert minhash.intersections([flat], [flat[1:]]).tolist() == [[2_999_999]]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (12, 11), (3, 3), (20, 5), (5, 2), (30, 31), (31, 30)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "t")).collect()}
@@ -158,10 +192,21 @@ def test_exact_groups(spark, rows):
         best, n = by_hash[r.text_sha256]
         assert (r.keep_id, r.group_size) == (best[4], n)
     assert sum(r.kept for r in got) == len(want)
-    left = exact_dedup.drop_exact(frame(spark, rows))
-    assert left.columns == ["doc_id", "text", "lang", "source", "uid"]
+    docs = clashing(spark, rows)
+    left = exact_dedup.drop_exact(docs)
+    assert left.columns == docs.columns
     assert sorted(re.sub(WHITE, "", r.text or "") for r in left.collect()) == sorted(want)
-    assert exact_dedup.exact_groups(frame(spark, [])).collect() == []
+    keepers = {(k, best[4]) for k, (best, _) in want.items()}
+    assert {(re.sub(WHITE, "", r.text or ""), r.doc_id) for r in left.collect()} == keepers
+    assert exact_dedup.exact_groups(frame(spark, [])).collect() == [] and exact_dedup.drop_exact(frame(spark, [])).collect() == []
+
+
+def test_equal_rows_leave_one(spark):
+    """Many rows of one id and text: the least by all its columns stays, however the rows are dealt."""
+    rows = [(5, "a b", 9 - k % 7) for k in range(500)] + [(None, " ", 3), (None, "", 2), (None, "", 4), (8, "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long").repartition(6)
+    got = sorted((r["doc_id"] or 0, r["text"], r["a.b"]) for r in exact_dedup.drop_exact(docs).collect())
+    assert got == [(0, " ", 3), (5, "a b", 3), (8, "c", 1)]
 
 
 def test_cuckoo_grows_and_deletes():
@@ -186,6 +231,7 @@ def test_update_index(spark):
 
 
 def brute_lines(rows, least):
+    """Lines that stay in each (doc_id, text): a line goes if distinct ids, null not counted, make it frequent."""
     documents = {}
     for i, t in rows:
         documents.setdefault((i, t), (t or "").split("\n"))
@@ -193,7 +239,7 @@ def brute_lines(rows, least):
     seen = {}
     for k, lines in documents.items():
         for line in lines:
-            seen.setdefault(key(line), set()).add(k)
+            seen.setdefault(key(line), set()).update({k[0]} - {None})
     gone = {k for k, v in seen.items() if k and len(v) >= least}
     return {k: [line for line in lines if key(line) not in gone] for k, lines in documents.items()}
 
@@ -203,11 +249,14 @@ def line_rows():
     rng = random.Random(3)
     common = ["Cookie notice", " cookie NOTICE\t", "Álvaro", "x", "~~"]
     out = [(i, "\n".join(rng.choice([*common, f"line {rng.randrange(60)}", f"own {i} {k}", "", "  "]) for k in range(rng.randrange(1, 12)))) for i in range(300)]
-    return [*out, (1000, None), (1001, ""), (1002, "\n"), (1003, "a\r\nb\r"), (5, out[5][1]), (None, "x\nzz"), (None, "x\nzz")]
+    repeated = [(2000, f"same id {k}\none id only\nnearly\nalmost") for k in range(40)] + [(None, f"null {k}\nno id\nnearly\nalmost") for k in range(40)]
+    few = [(2100 + k, "nearly\nalmost" if k < 9 else "nearly") for k in range(8, 16)] + [(2100 + k, "nearly\nalmost") for k in range(1, 8)]
+    return [*out, (1000, None), (1001, ""), (1002, "\n"), (1003, "a\r\nb\r"), (5, out[5][1]), (None, "x\nzz"), (None, "x\nzz"), *repeated, *few]
 
 
-@pytest.mark.parametrize("parts", [1, 7, 60])
-def test_lines(spark, line_rows, parts):
+@pytest.mark.parametrize(("parts", "held"), [(1, 2000), (1, 11), (7, 30), (60, 2000)])
+def test_lines(spark, line_rows, parts, held, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", held)
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         docs = frame(spark, line_rows)
@@ -229,10 +278,11 @@ def test_first_occurrences_stay(spark, line_rows, parts):
         maps = line_dedup.keep_bitmaps(docs, min_docs=1, keep_first=True).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
-    texts = dict(line_rows)
+    texts = {(r.doc_id, r.thash): r.text for r in docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").collect()}
     left = []
     for r in maps:
-        lines = (texts[r.doc_id] or "").split("\n")
+        lines = (texts[r.doc_id, r.thash] or "").split("\n")
         left += [line_dedup.line_key(x.encode()) for x, k in zip(lines, line_dedup.kept_flags(r.keep, r.n_lines), strict=True) if k and line_dedup.line_key(x.encode())]
     every = {line_dedup.line_key(x.encode()) for t in texts.values() for x in (t or "").split("\n")} - {b""}
-    assert sorted(left) == sorted(every)
+    counted = {line_dedup.line_key(x.encode()) for (i, _), t in texts.items() if i is not None for x in (t or "").split("\n")} - {b""}
+    assert sorted(x for x in left if x in counted) == sorted(counted) and set(left) == every

@@ -5,10 +5,15 @@ table reaches its shard as one row a task. Shards index what is left. Memory of
 bounded: a map-side index is emptied downstream at `MAP_ENTRIES` digests, and the number of
 shards follows the number of rows.
 
+A filter's hit is verified against what its bucket holds: the SHA-256 of the whole normalised
+text. Comparing the texts byte by byte would shuffle every copy to say the same.
+
 Cases: a null text counts as empty; empty texts are equal to each other and to texts of white
 space only. Null doc_ids come last in the choice of the row that stays. Rows equal in text and
-doc_id are a tie: one of them stays. Columns other than id and text pass through untouched
-where rows are filtered, whatever their names. An empty table gives an empty result.
+doc_id are a tie: one of them stays, in `drop_exact` the one whose whole row is the least as
+JSON. Very long texts are hashed whole, one at a time. Columns other than id and text pass
+through untouched where rows are filtered, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cuckoo import CuckooIndex
-from .scratch import Scratch, shuffle_partitions
+from .scratch import Scratch, shuffle_partitions, whole_row
 from .tokens import WHITE
 
 MAP_ENTRIES = 200_000
@@ -124,11 +129,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row stands for; columns unchanged."""
     rows, found = _resolve(docs, id_col, text_col)
-    keepers = found.join(rows.select("uid", "thash"), "uid").select(F.col("doc_id").alias("__id"), F.col("thash").alias("__thash"))
-    marked = docs.withColumn("__thash_own", F.xxhash64(text_col))
-    kept = marked.join(keepers, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__thash_own") == F.col("__thash")), "left_semi")
-    once = Window.partitionBy(id_col, "__thash_own").orderBy(F.lit(1))
-    return kept.withColumn("__copy", F.row_number().over(once)).where("__copy = 1").drop("__thash_own", "__copy")
+    marks = Scratch(docs.sparkSession, "exact-marks").cut(_marks(rows, found), "marks")
+    held = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    marked = held.join(marks, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("thash")), "left")
+    kept = marked.where("repeated is null").select("row.*")
+    if marks.where("repeated").isEmpty():
+        return kept
+    once = marked.where("repeated").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.unionByName(once.select("row.*"))
+
+
+def _marks(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, thash, repeated of rows that go (repeated false), and of rows that stay and come more than once (true)."""
+    many = found.where("members > 1").select("digest", F.col("uid").alias("keep_uid"))
+    keys = rows.join(many, "digest").groupBy("doc_id", "thash").agg(F.max(F.col("uid") == F.col("keep_uid")).alias("stays"), F.count("*").alias("n"))
+    return keys.where("not stays or n > 1").select("doc_id", "thash", F.col("stays").alias("repeated"))
 
 
 def update_index(index: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:

@@ -4,13 +4,18 @@ Each document gives one row per distinct line key: its 128-bit hash and the posi
 stands. Rows are range-partitioned by (hash, document) and sorted within partitions, so a line
 that a third of all documents share is spread over many tasks. A task streams its rows and
 holds a handful of them: a run of equal hashes is decided as soon as it has enough documents,
-and only a partition's first and last runs, of which fewer than that many rows are kept open,
-are settled with the neighbours' counts. What comes back is a compressed bitmap of kept lines
-for each document, not text.
+and only a partition's first and last runs are settled with the neighbours' counts. Rows of a
+run that stays undecided beyond `HELD` of them, as rows of one doc_id may, are written out and
+settled likewise. What comes back is a compressed bitmap of kept lines for each document, not
+text.
 
 Cases: a null or empty text is one empty line, which is kept. Keys of fewer than
-`min_key_points` code points never count. Rows equal in doc_id and text are one document and
-share a bitmap. Null doc_ids take part. An empty table gives an empty result.
+`min_key_points` code points never count. Documents are counted by distinct doc_id: rows of one
+doc_id count once, whatever their texts, and rows of null doc_id count as none, but lose lines
+that others make frequent. Rows equal in doc_id and text share a bitmap. Of a line to keep once,
+the first occurrence by doc_id (null first) and text hash stays. A very long text is split by
+itself; its lines are rows like others. Columns other than id and text are never read, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from .scratch import Scratch, shuffle_partitions
 from .tokens import WHITE
 
 LINES_PER_PARTITION = 2_000_000
+#: Rows of an undecided run that a task holds.
+HELD = 2000
 
 _LINES = "hi long, lo long, doc_id long, thash long, at binary, n_lines int"
 _FOUND = "hi long, lo long, doc_id long, thash long, at binary, state int"
@@ -98,22 +105,21 @@ def _stream(min_docs: int, keep_first: bool):
         key = None
         held: list[tuple] = []
         docs = 0
-        last_doc = head = None
+        last_id = last_row = head = None
         decided = first_run = True
+        written = False
 
         def decide() -> None:
             nonlocal decided
             decided = True
-            if keep_first and first_run:
-                out.append((*key, *held[0][:3], OPEN))
-                out.append((*key, None, None, None, DECIDED))
-                out.extend((*key, *row[:3], DROP) for row in held[1:])
-                return
-            if first_run:
+            elsewhere = first_run or written  # the settlement finds the run's first row
+            if elsewhere:
                 out.append((*key, None, None, None, DECIDED))
             for i, row in enumerate(held):
-                where = row[2][4:] if keep_first and not i else row[2]
-                if where:
+                head_row = keep_first and not i and not written
+                if head_row and elsewhere:
+                    out.append((*key, *row, OPEN))
+                elif where := row[2][4:] if head_row else row[2]:
                     out.append((*key, row[0], row[1], where, DROP))
 
         def close(final: bool) -> None:
@@ -121,7 +127,7 @@ def _stream(min_docs: int, keep_first: bool):
             if key is not None:
                 edge = first_run or final
                 if not decided and edge:
-                    out.extend((*key, *row[:3], OPEN) for row in held)
+                    out.extend((*key, *row, OPEN) for row in held)
                 elif decided and final and not first_run:
                     out.append((*key, *(head if keep_first else (None, None)), None, DECIDED))
                 first_run = False
@@ -146,14 +152,15 @@ def _stream(min_docs: int, keep_first: bool):
                     close(False)
                     if i:
                         first_run = False
-                    key, docs, last_doc, decided, head = (h, lw), 0, None, False, (doc_id, thash)
+                    key, docs, last_id, last_row, decided, written, head = (h, lw), 0, None, None, False, False, (doc_id, thash)
                     if not seen:
                         first_run = seen = True
-                if (doc_id, thash) != last_doc:
-                    docs += 1
-                    last_doc = (doc_id, thash)
-                else:
+                if (doc_id, thash) == last_row:
                     continue
+                last_row = (doc_id, thash)
+                if doc_id is not None and doc_id != last_id:
+                    docs += 1
+                    last_id = doc_id
                 if decided:
                     out.append((h, lw, doc_id, thash, where, DROP))
                 else:
@@ -161,6 +168,10 @@ def _stream(min_docs: int, keep_first: bool):
                     if docs >= min_docs:
                         decide()
                         held.clear()
+                    elif len(held) >= HELD:
+                        out.extend((*key, *row, OPEN) for row in held)
+                        written = True
+                        held.clear()
             if len(out) > 20_000:
                 yield _found_rows(out)
                 out = []
@@ -177,10 +188,10 @@ def _found_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _settle(found: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:
-    """Rows of edge runs that are to be dropped. Each partition left fewer than min_docs rows of two runs at most, and two marks."""
+    """Rows of edge runs, and of runs that were written out undecided, that are to be dropped."""
     edge = found.where(F.col("state") != DROP)
     first = F.min(F.when(F.col("thash").isNotNull(), F.struct(F.col("doc_id").isNotNull(), "doc_id", "thash")))
-    runs = edge.groupBy("hi", "lo").agg(F.max((F.col("state") == DECIDED).cast("int")).alias("marked"), F.count_distinct(F.when(F.col("state") == OPEN, F.struct(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "thash"))).alias("open"), first.alias("first"))
+    runs = edge.groupBy("hi", "lo").agg(F.max((F.col("state") == DECIDED).cast("int")).alias("marked"), F.count_distinct(F.when(F.col("state") == OPEN, F.col("doc_id"))).alias("open"), first.alias("first"))
     runs = runs.where((F.col("marked") == 1) | (F.col("open") >= min_docs))
     gone = edge.where(F.col("state") == OPEN).join(runs, ["hi", "lo"])
     if keep_first:

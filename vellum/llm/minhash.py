@@ -13,10 +13,17 @@ partner are gathered in families, which share buckets; a family's texts meet in
 bounded size, where one matrix product counts all intersections and only links that join
 components leave the task. So every possible pair of every bucket is decided on full sets.
 
+Bounds: a task holds two blocks, of `LOAD` shingles or one text each. A bucket of L shingles
+gives (L / LOAD) ** 2 / 2 pairs of blocks at most, and that only for its nodes which still have
+a possible partner in another component; copies and chains of copies have none by then.
+A pair at the similarity is lost with a chance of `MOST_MISSED` by its bands, and of less than
+one in a million by its bits.
+
 Cases: a null, empty or blank text has an empty set and is linked with nothing. A text of fewer
-than five words has its whole sequence as its one shingle. Rows with the same doc_id count as
-one document. Rows of null doc_id take no part: they have a null component and stay in
-`drop_near`. An empty table gives an empty result. Other columns pass through untouched.
+than five words has its whole sequence as its one shingle. Very long texts are sets like others,
+held one at a time where they exceed a block. Rows with the same doc_id count as one document.
+Rows of null doc_id take no part: they have a null component and stay in `drop_near`. An empty
+table gives an empty result. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, unused_name
 from .tokens import mix64, shingle_sets, slices
 
-#: Links need 100 * intersection >= SIMILARITY * union.
-SIMILARITY = 85
+#: Links need 100 * intersection >= similarity * union.
+SIMILARITY = 80
 #: Coordinates of a band, and the most likely a pair at the similarity may share no band.
 ROWS, MOST_MISSED = 5, 3e-5
 #: Coordinates whose bits fit in a sketch.
@@ -178,12 +185,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """A row for each node in each bucket of two or more: its own and the bucket's first node's size and bits."""
+    """A row for each node in each bucket of two or more: its own and the bucket's first node's size and bits, and the bucket's size and load."""
     slim = nodes.select("rep", "n", "s0", "s1", "s2")
-    keyed = nodes.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first_rep")).where("size > 1")
+    keyed = nodes.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first_rep"), F.sum("n").alias("load")).where("size > 1")
     buckets = buckets.join(_as(slim, "first_"), "first_rep")
-    return keyed.join(buckets, "key").join(slim, "rep")
+    return keyed.select("rep", "key").join(buckets, "key").join(slim, "rep")
 
 
 def _first_pairs(members: DataFrame, similarity: int) -> DataFrame:
@@ -225,7 +232,7 @@ def _written_pairs(members: DataFrame, decided: DataFrame, similarity: int) -> D
 
 def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of sorted sets of one with those of two."""
-    out = np.zeros((len(one), len(two)), np.float32)
+    out = np.zeros((len(one), len(two)), np.int64)
     flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (one, two)]
     owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two)]
     shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
@@ -245,7 +252,7 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
             dense = np.zeros((n, width), np.float32)
             dense[rows[a:b], at[a:b] - low] = 1
             parts.append(dense)
-        out += parts[0] @ parts[1].T
+        out += (parts[0] @ parts[1].T).astype(np.int64)
     return out
 
 
@@ -285,17 +292,19 @@ def _block_links(similarity: int):
 
 
 def _family_links(members: DataFrame, texts: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
-    """u, v of links across components among nodes of large buckets. members: rows with a partner, and comp."""
-    opener = members.groupBy("key").agg(F.min("rep").alias("opener"))
-    families = components(members.join(opener, "key").select(F.col("rep").alias("u"), F.col("opener").alias("v")), scratch, "families")
-    nodes = members.select("rep", "comp", "n").distinct().join(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep")
+    """u, v of links across components among nodes of large buckets. members: rows with a partner, and comp.
+
+    A bucket's first node stands for it, so that no step needs all rows of a bucket in one task
+    but the joins by key, which Spark splits.
+    """
+    families = components(members.select(F.col("rep").alias("u"), F.col("first_rep").alias("v")), scratch, "families")
+    homes = members.groupBy("rep", "comp", "n").agg(F.max(F.struct("load", "key")).alias("home"))
+    nodes = homes.join(families.withColumnRenamed("node", "rep"), "rep", "left").withColumn("family", F.coalesce("component", "rep")).drop("component")
     nodes = scratch.cut(nodes, "family-nodes")
-    loads = nodes.groupBy("family").agg(F.sum("n").alias("load"))
-    of_bucket = members.groupBy("key").agg(F.sum("n").alias("bucket_load"))
-    home = members.select("key", "rep").join(of_bucket, "key").groupBy("rep").agg(F.max(F.struct("bucket_load", "key")).alias("home"))
-    placed = nodes.join(loads, "family").join(home, "rep")
-    compact = F.col("load") <= LOAD * BLOCKS
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.when(compact, F.col("load")).otherwise(F.col("home.bucket_load")) / LOAD))
+    loads = nodes.groupBy("family").agg(F.sum("n").alias("family_load"))
+    placed = nodes.join(loads, "family")
+    compact = F.col("family_load") <= LOAD * BLOCKS
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.when(compact, F.col("family_load")).otherwise(F.col("home.load")) / LOAD))
     block = F.xxhash64(compact, F.when(compact, F.col("family")).otherwise(F.col("home.key")), part)
     placed = scratch.cut(placed.select("rep", "comp", block.alias("block")), "blocks")
     met = members.select("key", "rep").join(placed, "rep").select("key", "block").distinct()
@@ -321,7 +330,7 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     belongs = scratch.cut(components(links, scratch, "stars-0"), "belongs-0")
     large = _active(_in_components(members.where(F.col("size") > SMALL), belongs), similarity, across=True)
-    large = scratch.cut(large.select("key", "rep", "comp", "n"), "large")
+    large = scratch.cut(large.select("key", "rep", "comp", "n", "first_rep", "load"), "large")
     if not large.isEmpty():
         links = links.unionByName(scratch.cut(_family_links(large, texts, similarity, scratch), "family-links"))
         belongs = scratch.cut(components(links, scratch, "stars-1"), "belongs-1")
@@ -340,5 +349,6 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
 
 def drop_near(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, the one of smallest id; columns unchanged."""
-    gone = near_components(docs, similarity, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused_name(docs, "gone")
+    gone = near_components(docs, similarity, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

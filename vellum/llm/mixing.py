@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, whole_row
 from .tokens import slices, text_bytes, word_spans
 
 BINS = 4096
@@ -155,7 +155,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float], share: float, max
     sizes = scratch.cut(word_counts(docs, id_col, text_col, source_col), "sizes")
     plan = mixing_plan(sizes, weights, share, max_ratio, seed, scratch)
     held = docs.select(
-        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("__row"),
+        whole_row(docs).alias("__row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text_col).alias("thash"),
         F.col(source_col).cast("string").alias("source"),

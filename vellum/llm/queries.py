@@ -13,6 +13,8 @@ from .scratch import Scratch
 
 #: Where the public vocabularies are; every executor must see the same path.
 TOKENIZERS = os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers")
+#: 100 * intersection over union from which op1 links documents.
+OP1_SIMILARITY = 85
 #: Weights in turn, share of all sizes, and most copies of a source.
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
@@ -22,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_components(_table(spark, sf_dir, "documents"))
+    return minhash.near_components(_table(spark, sf_dir, "documents"), OP1_SIMILARITY)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

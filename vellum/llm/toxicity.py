@@ -10,38 +10,50 @@ in a short one. Embeddings and softmax are trained together through the pooling.
 As everything before the pooling is linear, a trained model is one number per bucket, of fixed
 size whatever the corpus, and scoring reads each text once, with no shuffle.
 
-Training takes at most `MAX_POSITIVE` toxic and `MAX_NEGATIVE` other labelled rows, those of
-smallest hash of the id: a bounded sample, as a classifier may have. Scoring is over all rows.
+Buckets of fewer than `MIN_DOCS` training documents, or of more than `MOST_SHARE` of them, stay
+at zero: the first could only learn one document by heart, the second only what the bias says.
+
+Training takes a bounded sample of labelled rows, as a classifier may have: `MAX_ROWS` rows by
+hash of the id in the proportion of the classes, but `LEAST_POSITIVE` toxic ones where there are
+so many; the bias is then corrected by the log-odds of the sample against those of all labelled
+rows. Texts of over `MAX_TEXT` bytes are not trained on, and at most `MAX_BYTES` together are.
+Scoring is over all rows and whole texts.
 
 Cases: a null, empty or blank text scores by the bias alone. With no labelled rows, or rows of
 one class only, every score is that class's share (0.0 when there are none). Repeated rows score
-alike; null ids score and are never trained on. Other columns are never read.
+alike; null ids score and are never trained on. Very long texts are scored in one piece each, in
+memory in proportion to their length. Other columns are never read by a score, and pass through
+`drop_toxic` whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .scratch import whole_row
 from .tokens import mix64, slices, text_bytes, word_spans
 
 BUCKETS = 1 << 18
 DIM = 8
 WINDOW = 12
 SHARP = 2.0
-EPOCHS = 6
-#: A sample of fewer rows than FULL_SAMPLE gets more epochs, up to MAX_EPOCHS.
-FULL_SAMPLE, MAX_EPOCHS = 3000, 24
+EPOCHS = 10
+#: Documents of the sample that a bucket must be in, and the share of them that it may be in.
+MIN_DOCS, MOST_SHARE = 6, 0.2
 #: First step of Adagrad for embeddings; a window's mean shrinks what one word says by WINDOW.
 RATE = 4.0
-MAX_POSITIVE = 1500
-MAX_NEGATIVE = 3000
+#: Bounds of the training sample.
+MAX_ROWS, LEAST_POSITIVE = 8000, 500
+MAX_TEXT, MAX_BYTES = 4 << 20, 96 << 20
 #: Words of training windows at most in one step.
 STEP_WORDS = 60_000
 
@@ -160,12 +172,14 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
     random = np.random.default_rng(seed)
-    emb = random.normal(0, 0.01, (buckets, DIM)).astype(np.float32)
+    emb = random.normal(0, 1e-4, (buckets, DIM)).astype(np.float32)
     out = random.normal(0, DIM**-0.5, DIM).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     emb_sq, out_sq, bias_sq = np.full(buckets, 1e-6, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
     steps = _steps(texts)
-    epochs = min(MAX_EPOCHS, max(epochs, epochs * FULL_SAMPLE // len(y)))
+    in_docs = _document_counts(steps, buckets)
+    silent = (in_docs < MIN_DOCS) | (in_docs > max(2 * MIN_DOCS, MOST_SHARE * len(y)))
+    emb[silent] = 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for k in random.permutation(len(steps)):
@@ -185,6 +199,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
             per_window = g / sizes
             g_word = np.bincount(word, np.repeat(per_window, sizes.astype(int)), len(offsets) - 1).astype(np.float32) / per_word
             g_code = np.bincount(codes, np.repeat(g_word, per_word.astype(int)), buckets).astype(np.float32)
+            g_code[silent] = 0
             touched = np.flatnonzero(g_code)
             emb_sq[touched] += g_code[touched] ** 2
             move = (rate * g_code[touched] / np.sqrt(emb_sq[touched]))[:, None] * out
@@ -213,13 +228,42 @@ def _steps(texts: list[str]) -> list[tuple]:
     return steps
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """id, y, text of the training rows: at most MAX_POSITIVE and MAX_NEGATIVE, spread by hash, of ids that are not held out."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
-    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("id"))
-    return rows.groupBy("id").agg(F.min("y").cast("long").alias("y"), F.min(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
+def _document_counts(steps: list[tuple], buckets: int) -> np.ndarray:
+    """In how many training documents each bucket is."""
+    counts = np.zeros(buckets, np.int32)
+    for _, codes, offsets, word, first in steps:
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            own = np.unique(word[a:b])
+            if len(own):
+                counts[np.unique(np.concatenate([codes[offsets[w] : offsets[w + 1]] for w in own]))] += 1
+    return counts
+
+
+def sample_sizes(positive: int, negative: int) -> tuple[int, int, float]:
+    """Rows of each class to train on, and by how much the sample's log-odds of class 1 exceed those of all labelled rows."""
+    total = positive + negative
+    if not positive or not negative:
+        return min(positive, MAX_ROWS), min(negative, MAX_ROWS), 0.0
+    one = min(positive, max(LEAST_POSITIVE, round(MAX_ROWS * positive / total)))
+    zero = min(negative, max(1, MAX_ROWS - one))
+    return one, zero, math.log(one / zero) - math.log(positive / negative)
+
+
+def usable_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """id, y of labelled ids that are not held out."""
+    asked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    return asked.where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+
+
+def sample(docs: DataFrame, known: DataFrame, positive: int, negative: int, id_col: str, text_col: str) -> DataFrame:
+    """id, y, text of the training rows: as many of each class, spread by hash, within the bounds on bytes."""
+    order = (F.xxhash64("id"), F.col("id"))
+    parts = [known.where(F.col("y") == y).orderBy(*order).limit(n) for y, n in ((1, positive), (0, negative))]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # MAX_ROWS and LEAST_POSITIVE rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TEXT)
+    rows = texts.join(chosen, "id").groupBy("id").agg(F.min("y").cast("long").alias("y"), F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(*order))
+    return rows.withColumn("upto", upto).where(F.col("upto") <= MAX_BYTES).drop("upto")
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,16 +297,18 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model trained in one task on the bounded sample; the driver gets the finished numbers only."""
-    found = sample(docs, labels, id_col, text_col, label_col).repartition(1).mapInArrow(_train_task, "value binary, bias double").first()
-    if found is None:
+    """A model trained in one task on the bounded sample; the driver gets two counts and the finished numbers only."""
+    known = usable_labels(labels, id_col, label_col)
+    counts = {r["y"]: r["n"] for r in known.join(docs.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    positive, negative, shift = sample_sizes(counts.get(1, 0), counts.get(0, 0))
+    if not positive and not negative:
         return train([], [])
-    return Model(np.frombuffer(bytes(found["value"]), "<f4").astype(np.float32), float(found["bias"]))
+    found = sample(docs, known, positive, negative, id_col, text_col).repartition(1).mapInArrow(_train_task, "value binary, bias double").first()
+    return Model(np.frombuffer(bytes(found["value"]), "<f4").astype(np.float32), float(found["bias"]) - shift)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; columns unchanged."""
-    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = packed.select("row").schema
-    scored = packed.mapInArrow(_score(model), f"row {schema[0].dataType.simpleString()}, score double")
+    packed = docs.select(whole_row(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
+    scored = packed.mapInArrow(_score(model), T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
     return scored.where("score < 0.5").select("row.*")

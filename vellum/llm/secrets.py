@@ -9,8 +9,9 @@ token). Short runs and runs of letters alone, which words may be, must have fewe
 whatever they look like, and a random span inside a base span is not reported again.
 
 Cases: a null or empty text has no span. Offsets are code points, end exclusive. Ties in start
-are ordered assign, access, hex, random. Rows are independent, so repeated rows, null ids and
-other columns make no difference; an empty table gives an empty result.
+are ordered assign, access, hex, random. Very long texts and runs are scanned whole, in time in
+proportion to their length. Rows are independent, so repeated rows, null ids and other columns,
+whatever their names, make no difference; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -109,10 +112,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, efficient, base: list[tuple[int, int, int]], most_ratio: float) -> list[tuple[int, int, int]]:
+    """Candidates outside base spans that the vocabulary compresses badly; base is ordered by start."""
     found = []
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s <= a and b <= e for s, _, e in base):
+        before = bisect_right(starts, a)
+        if before and b <= reach[before - 1]:
             continue
         if is_random(m[0], efficient, most_ratio):
             found.append((a, 3, b))

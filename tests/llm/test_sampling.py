@@ -110,9 +110,65 @@ def test_pack_is_valid_and_cheap():
     assert all(c == packing.smallest(sorted(packing.SIZES), u) for u, c in zip(used, capacity, strict=True))
     cost = sum(packing.SIZES[c] for c in capacity)
     assert cost <= 1.1 * sum(lengths)
-    for limit in packing.SIZES:
-        _, used = packing._place(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), sorted(packing.SIZES), packing.SIZES, limit)
-        assert cost <= sum(packing.SIZES[packing.smallest(sorted(packing.SIZES), u)] for u in used)
+
+
+def plain_pack(lengths: list[int], cost: dict[int, float]) -> tuple[float, list[list[int]]]:
+    """Least cost over the limits, and the bins' lengths, by looking at every open bin for every piece."""
+    best = None
+    for limit in sorted(cost):
+        bins: list[list[int]] = []
+        room: list[int] = []
+        for need in sorted(lengths, reverse=True):
+            fits = [k for k, r in enumerate(room) if r >= need]
+            if fits:
+                at = min(fits, key=lambda k: (room[k], k))
+            else:
+                sizes = [c for c in cost if need <= c <= limit] or [min(c for c in cost if c >= need)]
+                at = len(bins)
+                bins.append([])
+                room.append(min(sizes, key=lambda c: (cost[c] / c, c)))
+            bins[at].append(need)
+            room[at] -= need
+        total = sum(cost[min(c for c in cost if c >= sum(b))] for b in bins)
+        if best is None or total < best[0]:
+            best = (total, bins)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pack_is_that_of_a_plain_program(seed):
+    rng = random.Random(seed)
+    cost = packing.SIZES if seed % 2 else {10: 12.0, 20: 21.0, 35: 40.0}
+    lengths = [rng.randrange(1, max(cost) + 1) if rng.random() < 0.4 else rng.randrange(1, max(cost) // 6 + 1) for _ in range(400)]
+    bin_of, capacity, used = packing.pack(lengths, cost)
+    total, bins = plain_pack(lengths, cost)
+    assert sum(cost[c] for c in capacity) == pytest.approx(total)
+    own = [[] for _ in used]
+    for n, b in zip(lengths, bin_of, strict=True):
+        own[b].append(n)
+    assert sorted(sorted(b) for b in own) == sorted(sorted(b) for b in bins)
+
+
+def test_packing_is_the_plain_one_in_each_block(spark):
+    """Whatever the input's split, a block holds the same pieces, packed as a plain program packs them."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 40, 700, 2000, 9000])), "s", "") for i in range(300)] + [(7000, "a b c", "s", "")] * 200
+    one = packing.pack_documents(frame(spark, rows).repartition(1), block=60).collect()
+    two = packing.pack_documents(frame(spark, rows[::-1]).repartition(9), block=60).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) > 500
+    bins, blocks = {}, {}
+    for r in one:
+        bins.setdefault(r.bin_id, []).append(r.length)
+        blocks.setdefault(r.bin_id >> 24, []).append(r.length)
+    assert max(map(len, blocks.values())) < 120, "copies of one row are spread"
+    for block, lengths in blocks.items():
+        assert sorted(sorted(b) for i, b in bins.items() if i >> 24 == block) == sorted(sorted(b) for b in plain_pack(lengths, packing.SIZES)[1])
+
+
+def test_many_copies_are_written_out_in_lots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT", 7)
+    got = packing.pack_documents(frame(spark, [(1, "a b", "s", "")] * 100 + [(2, None, "s", "")] * 20 + [(None, "c", "s", "")] * 3), block=10).collect()
+    assert sum(r.doc_id == 1 for r in got) == 100 and sum(r.doc_id == 2 and r.bin_id is None for r in got) == 20 and sum(r.doc_id is None for r in got) == 3
 
 
 def test_pack_documents(spark):

@@ -7,8 +7,10 @@ import glob
 import gzip
 import hashlib
 import math
+import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import ann, warc
@@ -123,6 +125,57 @@ def test_recall_and_scores(spark, monkeypatch):
     assert hits / (5 * len(by)) >= 0.9
 
 
+def plain_prune(points, p, candidates, degree, alpha):
+    kept = []
+    left = sorted({c for c in candidates if c >= 0 and c != p}, key=lambda c: (float(((points[c] - points[p]) ** 2).sum()), c))
+    while left and len(kept) < degree:
+        best = left.pop(0)
+        kept.append(best)
+        left = [c for c in left if alpha**2 * float(((points[c] - points[best]) ** 2).sum()) > float(((points[c] - points[p]) ** 2).sum())]
+    return kept
+
+
+def test_pruning_is_that_of_a_plain_program():
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(200, 12)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    owners = np.arange(60)
+    candidates = rng.integers(-1, 200, (60, 40)).astype(np.int32)
+    for degree, alpha in ((8, 1.2), (32, 1.0), (3, 2.0)):
+        got = ann.robust_prune(points, owners, candidates, degree, alpha)
+        for p in owners.tolist():
+            assert got[p][got[p] >= 0].tolist() == plain_prune(points, p, candidates[p].tolist(), degree, alpha)
+
+
+def test_graph_has_no_wide_or_broken_rows():
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(3000, 16)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    edges, starts = ann.build_graph(points)
+    assert edges.shape == (3000, ann.DEGREE) and edges.max() < 3000 and (edges != np.arange(3000)[:, None]).all()
+    assert all(len(set(e[e >= 0].tolist())) == (e >= 0).sum() > 0 for e in edges) and len(starts) <= 9
+    found, sims = ann.beam_search(points, edges, starts, points[:100], 40)
+    assert (found[:, 0] == np.arange(100)).mean() > 0.97 and (np.diff(sims, axis=1) <= 0).all()
+    whole, _ = ann.beam_search(points[:5], *ann.build_graph(points[:5]), points[:3], 5)
+    assert sorted(whole[0].tolist()) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("least", [10_000, 400])
+def test_recall_on_driver_table(spark, monkeypatch, least):
+    """Random vectors, the hardest case: one shard and several."""
+    folder = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("driver tables")
+    monkeypatch.setattr(ann, "LEAST_POINTS", least)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(folder).collect()]
+    want, _ = brute(rows, lambda q: q % 50 == 0, 5)
+    got = {}
+    for r in ann.nearest(spark.read.parquet(folder), F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {i for _, i in near}) for q, near in want.items())
+    assert set(got) == set(want) and hits / sum(map(len, want.values())) >= 0.95
+
+
 def test_edge_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(50 * i, v) for i in range(4)] + [(i, v) for i in range(1, 40)] + [(900, None), (901, [0.0, 0.0, 0.0]), (902, [1.0, None, 2.0]), (903, [float("nan"), 1.0, 1.0]), (904, [float("inf"), 1.0, 1.0]), (905, [1.0, 2.0]), (950, [2.0, 1.0]), (None, v), (3, v), (1000, [-1.0, -2.0, -3.0])]

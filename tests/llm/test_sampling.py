@@ -6,6 +6,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import mixing, packing
 from vellum.llm.scratch import Scratch
@@ -64,6 +65,62 @@ def test_mix(spark, rows):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def plain_mix(rows, targets: dict, most: float) -> dict:
+    """Words that each (doc_id, hash) gives, by one sort of each source. rows: doc_id, thash, source, size, propensity, u."""
+    out = {}
+    for source, target in targets.items():
+        own = [r for r in rows if r.source == source]
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            scale = (low + high) / 2
+            low, high = (scale, high) if sum(min(most, scale * r.propensity) * r.size for r in own) < target else (low, scale)
+        ranked, rest = [], target
+        for r in own:
+            expected = min(most, high * r.propensity)
+            expected = round(expected) if abs(expected - round(expected)) < 1e-9 else expected
+            whole, p = int(expected), expected - int(expected)
+            out[r.doc_id, r.thash] = whole * r.size
+            rest -= whole * r.size
+            if p > 0 and r.size:
+                odds = (r.u / (1 - r.u)) / (p / (1 - p))
+                ranked.append((odds, r.doc_id or 0, r.thash, r))
+        ranked.sort(key=lambda x: x[:3])
+        before, fits = 0, -1
+        for k, (*_, r) in enumerate(ranked):
+            if before + r.size / 2 <= rest:
+                fits = k
+            before += r.size
+            if before > rest and k > fits + 20:
+                break
+        for *_, r in ranked[: fits + 1]:
+            out[r.doc_id, r.thash] += r.size
+    return out
+
+
+@pytest.mark.parametrize("share", [0.4, 1.5])
+def test_draw_is_that_of_a_plain_program(spark, rows, share):
+    """Unequal propensities within each source; only hashes are taken from Spark."""
+    docs = frame(spark, [r for r in rows if r[0] is not None and r[0] != 7])
+    length = F.coalesce(F.length("text"), F.lit(0))
+    propensity = F.when(length > 100, 1.0).when(length > 20, 0.5).otherwise(0.125)
+    got = mixing.mix(docs, WEIGHTS, share, MOST, propensity=propensity)
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "thash", F.lit(7)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    table = mixing.word_counts(docs, propensity=propensity).withColumn("u", u).collect()
+    targets = {r.source: r.target for r in got.select("source", "target").distinct().collect()}
+    want = plain_mix(table, targets, MOST)
+    wrong = sum(r.taken != want[r.doc_id, r.thash] for r in got.collect())
+    assert wrong <= len(targets), "a document at the very edge of a source's histogram part may differ"
+    for source, target in targets.items():
+        own = [r for r in table if r.source == source]
+        assert abs(sum(want[r.doc_id, r.thash] for r in own) - target) <= max(r.size for r in own) / 2 + 1e-6
+
+
+def test_full_sources_take_all_whatever_the_propensity(spark):
+    docs = spark.createDataFrame([(i, "a b c" * (1 + i % 9), s) for i in range(60) for s in ["x"]] + [(100 + i, "word " * 200, "y") for i in range(50)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, (50.0, 1.0), 1.0, 2.0, propensity=F.col("doc_id") + 1).collect()
+    assert all(r.taken == 2 * r.size for r in got if r.source == "x")
+
+
 def test_mixed_documents_repeat_rows(spark, rows):
     docs = frame(spark, rows)
     out = mixing.mixed_documents(docs, WEIGHTS, SHARE, MOST)
@@ -83,8 +140,6 @@ def test_mixed_documents_repeat_rows(spark, rows):
 
 def test_inclusion_follows_propensity(spark):
     """Documents of twice the propensity are taken about twice as often."""
-    from pyspark.sql import functions as F
-
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("s").alias("source"))
     rich = F.col("doc_id") % 2 == 0
     out = mixing.mix(docs, (1.0,), 0.3, 2.0, propensity=F.when(rich, 2.0).otherwise(1.0))

@@ -2,18 +2,26 @@
 
 A source's target is its share by weight of the whole budget, but at most `max_ratio` times its
 own size; what a full source leaves is shared again by weight. A document's expected copies are
-the source's ratio of target to size, times its own propensity where a column gives one. Whole
-copies are certain. What is left of the expectation is an inclusion probability p: documents are
-ranked by random odds over inclusion odds, [u/(1-u)] / [p/(1-p)], and taken in that order until
-the source's remaining words are used up. So a sample has a fixed size in words, not in rows.
+in proportion to its propensity within its source, but `max_ratio` at most; the scale is solved
+so that the source's expected words are its target. Whole copies are certain. What is left of
+the expectation is an inclusion probability p: documents are ranked by random odds over
+inclusion odds, [u/(1-u)] / [p/(1-p)], and taken in that order until the source's remaining
+words are used up. So a sample has a fixed size in words, not in rows.
 
 The order is never sorted as a whole. A histogram of the rank over `BINS` equal parts finds the
 part where a source's target falls, and only the rows of that part are put in order; each source
 then has one threshold, and every document is decided by itself against its source's row.
 
+Bounds: windows over one source see its `BINS` + 1 histogram rows, its levels of propensity, or
+the rows of one histogram part, about one in `BINS` of its documents. Windows over all sources
+see one row of each.
+
 Cases: a null or empty text has size 0. The null source is a source of its own, the last one.
-Rows equal in doc_id and text share their random number and so their fate. Null doc_ids take
-part like others. An empty table gives an empty result; a source of size 0 has target 0.
+Propensities are rounded to eighths of octaves from 2**-8 to 2**8; null counts as 1. Rows equal
+in doc_id and text share their random number and so their fate. Null doc_ids take part like
+others. A very long text is counted by itself, and is taken if more than half of it fits. Columns
+other than those named pass through, whatever their names. An empty table gives an empty
+result; a source of size 0 has target 0.
 """
 
 from __future__ import annotations
@@ -44,14 +52,39 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text_col).alias("thash"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.lit(1.0) if propensity is None else propensity.cast("double"), F.lit(1.0)).alias("propensity"),
+        _rounded(propensity).alias("propensity"),
         F.col(text_col).cast("string").alias("text"),
     )
     return rows.mapInArrow(_count, "doc_id long, thash long, source string, propensity double, size long")
 
 
+def _rounded(propensity: Column | None) -> Column:
+    """One of a few thousand levels at most, so that a source's are few rows."""
+    if propensity is None:
+        return F.lit(1.0)
+    octaves = F.round(F.log2(propensity.cast("double")) * 8) / 8
+    return F.coalesce(F.pow(F.lit(2.0), F.least(F.lit(8.0), F.greatest(F.lit(-8.0), octaves))), F.lit(1.0))
+
+
+def source_scales(sizes: DataFrame, targets: DataFrame, max_ratio: float) -> DataFrame:
+    """place, scale of each source: expected copies are scale * propensity, max_ratio at most, and give the target in words.
+
+    Levels of propensity become full in falling order; with all levels above one full, the
+    scale is what is left over what the others weigh.
+    """
+    levels = sizes.join(targets.select(F.col("source").alias("of"), "place", "target"), sizes.source.eqNullSafe(F.col("of")))
+    levels = levels.groupBy("place", "target", "propensity").agg(F.sum("size").alias("words")).where("words > 0")
+    down = Window.partitionBy("place").orderBy(F.col("propensity").desc())
+    full = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(float(max_ratio))
+    weighs = F.sum(F.col("words") * F.col("propensity")).over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    solved = levels.withColumn("scale", (F.col("target") - full) / weighs)
+    fits = F.when(F.col("scale") * F.col("propensity") <= F.lit(float(max_ratio)) * (1 + 1e-12), F.struct(-F.col("propensity"), "scale"))
+    every = F.lit(float(max_ratio)) / F.min("propensity")
+    return solved.groupBy("place").agg(F.coalesce(F.min(fits).getField("scale"), every).alias("scale"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_ratio: float) -> DataFrame:
-    """source, place, source_size, pull and target: one row per source.
+    """source, place, source_size and target: one row per source.
 
     The windows run over one row per source, not over documents. Sources are filled in the
     order of the level at which they become full; the level of the first that doesn't is the
@@ -61,7 +94,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     found = (
         sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("propensity")).alias("pull"))
+        .agg(F.sum("size").alias("source_size"))
         .withColumn("place", F.row_number().over(every).cast("long"))
         .withColumn("weight", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")))
         .withColumn("most", F.col("source_size") * F.lit(float(max_ratio)))
@@ -77,12 +110,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
         .withColumn("full", F.col("level") * F.col("weight") >= F.col("most"))
     )
     common = F.min(F.when(~F.col("full"), F.struct(F.col("most") / F.col("weight"), "place", "level"))).over(whole).getField("level")
-    return leveled.withColumn("common", common).select("source", "place", "source_size", "pull", F.when(F.col("full"), F.col("most")).otherwise(F.col("common") * F.col("weight")).alias("target"))
+    return leveled.withColumn("common", common).select("source", "place", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("common") * F.col("weight")).alias("target"))
 
 
 def _ranked(rows: DataFrame, max_ratio: float, seed: int) -> DataFrame:
     """Adds whole (certain copies), v (the rank, in 0 to 1) and bin."""
-    expected = F.least(F.lit(float(max_ratio)), F.when(F.col("pull") > 0, F.col("target") * F.col("propensity") / F.col("pull")).otherwise(F.lit(0.0)))
+    expected = F.least(F.lit(float(max_ratio)), F.coalesce(F.col("scale") * F.col("propensity"), F.lit(0.0)))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "thash", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     return (
@@ -97,7 +130,8 @@ def _ranked(rows: DataFrame, max_ratio: float, seed: int) -> DataFrame:
 
 def mixing_plan(sizes: DataFrame, weights: Sequence[float], share: float, max_ratio: float, seed: int, scratch: Scratch) -> DataFrame:
     """One row per source: its target and the threshold that its documents are held against."""
-    targets = scratch.cut(source_targets(sizes, weights, share, max_ratio), "targets")
+    shares = scratch.cut(source_targets(sizes, weights, share, max_ratio), "shares")
+    targets = scratch.cut(shares.join(source_scales(sizes, shares, max_ratio), "place", "left"), "targets")
     rows = _ranked(sizes.join(targets, sizes.source.eqNullSafe(targets.source)).drop(targets.source), max_ratio, seed)
     bins = rows.groupBy("place", "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
     per_source = Window.partitionBy("place")
@@ -146,19 +180,19 @@ def mix(docs: DataFrame, weights: Sequence[float], share: float, max_ratio: floa
     return copies(sizes, plan, max_ratio, seed).select("doc_id", "thash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float], share: float, max_ratio: float, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float], share: float, max_ratio: float, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", propensity: Column | None = None) -> DataFrame:
     """docs as the mix takes them: a row is left out, kept, or repeated; columns unchanged.
 
     Texts aren't shuffled: each row is decided from its own id and its source's plan.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = scratch.cut(word_counts(docs, id_col, text_col, source_col), "sizes")
+    sizes = scratch.cut(word_counts(docs, id_col, text_col, source_col, propensity), "sizes")
     plan = mixing_plan(sizes, weights, share, max_ratio, seed, scratch)
     held = docs.select(
         whole_row(docs).alias("__row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text_col).alias("thash"),
         F.col(source_col).cast("string").alias("source"),
-        F.lit(1.0).alias("propensity"),
+        _rounded(propensity).alias("propensity"),
     )
     return copies(held, plan, max_ratio, seed).where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

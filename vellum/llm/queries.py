@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, exact_dedup, licenses, line_dedup, minhash, mixing, packing, secrets, toxicity, warc
@@ -19,6 +19,12 @@ OP1_SIMILARITY = 85
 MIX_WEIGHTS, MIX_SHARE, MIX_MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
+def mix_propensity(text_col: str = "text") -> Column:
+    """Of a source's documents, those of fewer than 400 and of fewer than 100 code points are drawn less often."""
+    length = F.coalesce(F.length(text_col), F.lit(0))
+    return F.when(length >= 400, 1.0).when(length >= 100, 0.5).otherwise(0.25)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +52,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST, propensity=mix_propensity())
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -329,17 +329,20 @@ def near_components(docs: DataFrame, similarity: int = SIMILARITY, id_col: str =
     first = scratch.cut(_verified(_first_pairs(members, similarity), texts, similarity), "first")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     belongs = scratch.cut(components(links, scratch, "stars-0"), "belongs-0")
-    large = _active(_in_components(members.where(F.col("size") > SMALL), belongs), similarity, across=True)
+    # Written first, so that the next join by key has nothing else to keep in place and Spark may split its hot keys.
+    mixed = scratch.cut(_in_components(members.where(F.col("size") > SMALL), belongs), "mixed-0")
+    large = _active(mixed, similarity, across=True)
     large = scratch.cut(large.select("key", "rep", "comp", "n", "first_rep", "load"), "large")
     if not large.isEmpty():
         links = links.unionByName(scratch.cut(_family_links(large, texts, similarity, scratch), "family-links"))
         belongs = scratch.cut(components(links, scratch, "stars-1"), "belongs-1")
-    written = scratch.cut(_written_pairs(_in_components(members.where(F.col("size") <= SMALL), belongs), first, similarity), "written")
+    mixed = scratch.cut(_in_components(members.where(F.col("size") <= SMALL), belongs), "mixed-1")
+    written = scratch.cut(_written_pairs(mixed, first, similarity), "written")
     if not written.isEmpty():
         last = scratch.cut(_verified(written, texts, similarity), "last")
         links = links.unionByName(last.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         belongs = scratch.cut(components(links, scratch, "stars-2"), "belongs-2")
-    scratch.drop("texts", "members")
+    scratch.drop("texts", "members", "mixed-0", "mixed-1")
 
     sets = nodes.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "rep").join(belongs, F.col("rep") == F.col("node"), "left").select("x1", "x2", F.coalesce("component", "rep").alias("component_id"))
     placed = signed.select("doc_id", "n", "h1", "h2").join(sets, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")

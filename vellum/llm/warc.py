@@ -12,7 +12,9 @@ member, which makes every file a gzip stream of one member per record. Files hol
 Cases: a null payload counts as empty; null urls become an empty target URI and read back as
 null. Null page ids come after all others in the choice of the response. Rows equal in page id
 and payload are a tie: one of them is the response. Payloads may hold any text, record
-separators included. An empty table gives archives without captures and an empty result.
+separators included; a very long one is a record like others, read by steps. Columns other than
+id, url and payload are never read, whatever their names. An empty table gives archives without
+captures and an empty result.
 """
 
 from __future__ import annotations

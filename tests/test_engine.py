@@ -134,7 +134,7 @@ def test_search_and_context(engine):
     rows = engine.search("Where is SessionStore defined?").collect()
     assert rows[0].path in ("docs/session.md", "docs/token.md")
     assert all("RRF fusion" in r.reason for r in rows)
-    assert any("definition matched" in r.reason for r in rows)
+    assert any("what is defined here" in r.reason for r in rows)
     tiers = {r.path: r.score for r in engine.search("billing sessions rotation", mode="keyword").collect()}
     assert tiers["docs/token.md"] > tiers["docs/billing.md"]
     explained = engine.explain("SessionStore rotation")

@@ -73,7 +73,8 @@ def test_embedding_agrees_with_the_driver(spark):
 def test_bm25(spark):
     texts = {"a": "red red fox", "b": "red foxes run far away", "c": "blue bird", "d": "会话 red"}
     chunks = spark.createDataFrame(list(texts.items()), "id string, content string")
-    index, lengths = search.postings(chunks), search.chunk_lengths(chunks)
+    index = search.postings(chunks)
+    lengths = search.chunk_lengths(chunks, index)
     got = {r.chunk_id: r["rank"] for r in search.bm25(index, lengths, ["red", "fox", "会话"]).collect()}
     words = {"a": ["red", "red", "fox"], "b": ["red", "foxes", "run", "far", "away"], "c": ["blue", "bird"], "d": ["会话", "red", "会话"]}
     mean = sum(map(len, words.values())) / 4

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from .catalog_sql import ORACLES
 from .config import Config
 from .functions import entities as E
-from .functions.text import content_hash, fold, index_terms, query_tokens, slugify, stable_id, token_estimate
+from .functions.text import content_hash, fold, index_terms, slugify, stable_id, token_counts, token_estimate
 from .operators import context, diff, evaluate, export, health, paired, risks, search, stats, traverse, vectors
 from .plans import graph as graphs
-from .plans import resolve, store
+from .plans import resolve, storage, store
 from .plans.parsed import parse_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,13 +127,12 @@ def chunk_lines(spark, d):
 
 @query
 def tokenize_terms(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(query_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return token_counts(_docs(spark, d), "doc_id", "text")
 
 
 @query
 def index_postings(spark, d):
-    found = search.postings(_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
-    return found.where("documents > 1")
+    return search.postings(_chunks(spark, d)).groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
 
 
 @query
@@ -182,14 +181,16 @@ def slug_dup_anchor(spark, d):
 @query
 def fts_bm25_topk(spark, d):
     chunks = _chunks(spark, d)
-    ranked = search.full_text(search.postings(chunks), search.chunk_lengths(chunks), FTS_QUERY, 10)
+    index = storage.cut(search.postings(chunks))
+    ranked = search.full_text(index, search.chunk_lengths(chunks, index), FTS_QUERY, 10)
     return ranked.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("rank", 6).alias("score"))
 
 
 @query
 def fts_prefix_or(spark, d):
     chunks = _chunks(spark, d)
-    ranked = search.bm25(search.postings(chunks), search.chunk_lengths(chunks), FTS_PREFIXES.split())
+    index = storage.cut(search.postings(chunks))
+    ranked = search.bm25(index, search.chunk_lengths(chunks, index), FTS_PREFIXES.split())
     return ranked.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("rank", 5).alias("score"))
 
 
@@ -231,7 +232,7 @@ def search_dedupe(spark, d):
 @query
 def search_full(spark, d):
     """The whole ranked search over documents as a graph of root sections."""
-    return search.search(search.build_search_index(_document_graph(spark, d)), FTS_QUERY, Config(search_limit=20)).select("path", F.round("score", 3).alias("score"), "reason")
+    return search.search(search.written_search_index(_document_graph(spark, d)), FTS_QUERY, Config(search_limit=20)).select("path", F.round("score", 3).alias("score"), "reason")
 
 
 def _document_graph(spark, d) -> graphs.Graph:
@@ -302,7 +303,7 @@ def dead_links(spark, d):
 
 @query
 def edge_build(spark, d):
-    return _star(spark, d).where("kind not in ('LINKS_TO', 'IMPLEMENTS')").select("id", "from_id", "to_id", "kind", "weight", F.round("confidence", 4).alias("confidence"))
+    return _star(spark, d).select("id", "from_id", "to_id", "kind", "weight", F.round("confidence", 4).alias("confidence"))
 
 
 @query
@@ -543,7 +544,8 @@ def _warnings(spark, d):
 @query
 def warnings_union_sorted(spark, d):
     rows = _warnings(spark, d)
-    return rows.select(F.row_number().over(Window.orderBy(health.sort_key())).cast("long").alias("place"), "code", "path", F.coalesce("line", F.lit(0)).cast("long").alias("line"), "message")
+    placed = storage.numbered(rows, [health.sort_key()], "place")
+    return placed.select("place", "code", "path", F.coalesce("line", F.lit(0)).cast("long").alias("line"), "message")
 
 
 @query
@@ -557,13 +559,12 @@ def warning_top5(spark, d):
 @query
 def khop_neighbors(spark, d):
     seeds = spark.createDataFrame([("nation:3",)], "node_id string")
-    edges = _star(spark, d).where("kind in ('DEPENDS_ON', 'REFERENCES', 'DEFINES', 'CONTAINS')")
-    return traverse.khop(edges, seeds, 2).select("node_id", F.col("depth").cast("long").alias("depth"))
+    return traverse.khop(storage.cut(_star(spark, d)), seeds, 2).select("node_id", F.col("depth").cast("long").alias("depth"))
 
 
 @query
 def bfs_trace(spark, d):
-    edges = _star(spark, d).where("kind in ('DEPENDS_ON', 'CONTAINS')")
+    edges = storage.cut(_star(spark, d))
     nation = _t(spark, d, "nation").select("n_nationkey", "n_regionkey")
     first = _t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey").limit(1).collect()
     if not first:

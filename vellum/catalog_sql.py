@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
 p AS (SELECT doc_id, unnest(string_split(w, '_')) AS token FROM t)
 SELECT doc_id, token, 2 * count(*) AS n FROM p WHERE length(token) > 1 AND token NOT IN ('and', 'or', 'not', 'near') GROUP BY doc_id, token""",
     "index_postings": rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '{_TERM}')) AS term FROM documents)
-SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 1""",
+SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM t GROUP BY term""",
     "caps_entities": rf"""WITH t AS (
   SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_./:{{}}-]+|/[A-Za-z0-9_./:{{}}-]+')) AS name FROM documents
   UNION SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:[A-Z][A-Za-z0-9]+Error|ERR_[A-Z0-9_]+|[A-Z]+_[0-9]{{3,}}|[A-Z]+_[A-Z0-9_]*ERROR[A-Z0-9_]*)\b')) FROM documents
@@ -164,7 +164,7 @@ SELECT vec_id, round(similarity, 5) AS similarity FROM s WHERE s.similarity > 0
     "link_resolution": f"WITH {_ALIASES} SELECT page_id, pos::BIGINT AS pos, href, 'd' || target AS node_id FROM linked WHERE target IS NOT NULL",
     "dead_links": f"WITH {_ALIASES} SELECT page_id, count(*) AS dead FROM linked WHERE target IS NULL GROUP BY page_id",
     "edge_build": f"""WITH {_STAR} SELECT 'edge:' || substr(sha1('edge:' || from_id || ':' || kind || ':' || to_id || ':regex'), 1, 20) AS id, from_id, to_id, kind, weight::DOUBLE AS weight, confidence::DOUBLE AS confidence
-FROM star WHERE kind NOT IN ('LINKS_TO', 'IMPLEMENTS')""",
+FROM star""",
     "edge_dedup_last": """SELECT 'customer:' || l_suppkey AS from_id, 'part:' || l_partkey AS to_id, l_returnflag AS provenance, round(arg_max(l_discount, l_orderkey * 100 + l_linenumber), 4) AS confidence
 FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag""",
     "edge_kind_stats": f"WITH {_STAR} SELECT kind, count(*) AS n, round(avg(weight), 4) AS avg_weight, round(avg(confidence), 4) AS avg_confidence FROM star GROUP BY kind",
@@ -234,7 +234,7 @@ SELECT row_number() OVER (ORDER BY concat_ws('|', rank, code, coalesce(path, '')
     "warning_top5": f"""WITH {_ALIASES}, {_SNAPS}, {_STALE}, tags AS (SELECT DISTINCT page_id, regexp_replace(href, '^/', '') AS tag FROM hrefs),
 w AS (SELECT 'link.dead' AS code FROM linked WHERE target IS NULL UNION ALL SELECT 'index.stale' FROM stale WHERE reason IS NOT NULL UNION ALL SELECT 'tag.invalid_format' FROM tags WHERE NOT regexp_full_match(tag, '[a-z0-9][a-z0-9._/-]*'))
 SELECT code, count(*) AS n FROM w GROUP BY code ORDER BY n DESC, code LIMIT 5""",
-    "khop_neighbors": f"""WITH RECURSIVE {_STAR}, e AS (SELECT from_id AS a, to_id AS b FROM star WHERE kind IN ('DEPENDS_ON', 'REFERENCES', 'DEFINES') UNION SELECT to_id, from_id FROM star WHERE kind IN ('DEPENDS_ON', 'REFERENCES', 'DEFINES')),
+    "khop_neighbors": f"""WITH RECURSIVE {_STAR}, e AS (SELECT from_id AS a, to_id AS b FROM star WHERE kind <> 'CONTAINS' UNION SELECT to_id, from_id FROM star WHERE kind <> 'CONTAINS'),
 hop AS (SELECT 'nation:3' AS node_id, 0 AS depth UNION SELECT e.b, depth + 1 FROM hop JOIN e ON e.a = node_id WHERE depth < 2)
 SELECT node_id, min(depth)::BIGINT AS depth FROM hop GROUP BY node_id""",
     "bfs_trace": f"""WITH RECURSIVE {_STAR}, e AS (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine, init_config, load_config
 from .operators import evaluate, export, health, paired
-from .sources.files import read_json
+from .sources.files import ignore_store, read_json
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -34,7 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     add("init")
     add("index", full=bool)
     add("status", storage=bool, freshness=bool)
-    add("search", "query", limit=int, keyword=bool, explain=bool)
+    add("search", "query", limit=int, keyword=bool, semantic=bool, explain=bool)
     add("context", "query", limit=int, max_chars=int, max_depth=int, known_file=str, debug=bool)
     add("node", "name")
     add("trace", "start", "target", depth=int)
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = _parser().parse_args(argv)
     folder = Path(args.root, ".vellum")
     if args.command == "init":
-        _show({"created": init_config(str(folder / "config.json"))}, args.json)
+        _show({"created": init_config(str(folder / "config.json")), "ignored": ignore_store(args.root)}, args.json)
         return 0
     spark = spark or SparkSession.builder.appName("vellum").getOrCreate()
     engine = Engine(spark, args.root, args.store or str(folder / "graph"), load_config(str(folder / "config.json")))
@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif command == "status":
         out = engine.status(args.storage, args.freshness)
     elif command == "search":
-        mode = "keyword" if args.keyword else "auto"
+        mode = "keyword" if args.keyword else "semantic" if args.semantic else "auto"
         out = engine.explain(args.query, args.limit, mode) if args.explain else engine.search(args.query, args.limit, mode)
     elif command == "context":
         out = engine.context(args.query, limit=args.limit, max_chars=args.max_chars, max_depth=args.max_depth, known_files=[args.known_file] if args.known_file else (), debug=args.debug)

@@ -24,6 +24,7 @@ EDGE_WEIGHTS = {
     "RELATED_TO": 2.0,
     "CONTRADICTS": 6.0,
 }
+#: Folders that are left out.
 EXCLUDED = (
     "**/node_modules/**",
     "**/dist/**",
@@ -43,7 +44,7 @@ EXCLUDED = (
 class Limits:
     """Hard caps; a setting beyond one is an error."""
 
-    FILE_BYTES = 50 * 1024 * 1024
+    FILE_BYTES = 10 * 1024 * 1024
     SEARCH_LIMIT = 100
     DEPTH = 12
     CONTEXT_CHARS = 200_000
@@ -54,12 +55,14 @@ class Limits:
     JSON_BYTES = 50 * 1024 * 1024
     JSON_DEPTH = 128
     JSON_NODES = 1_000_000
+    JSON_ARRAY = 1_000_000
 
 
 class ConfigError(ValueError):
     """A setting is of the wrong kind or out of range."""
 
 
+#: The defaults.
 @dataclass(frozen=True)
 class Config:
     include: tuple[str, ...] = ("docs/**/*.md", "**/*.md")

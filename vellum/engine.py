@@ -23,6 +23,8 @@ from .plans.store import Store, changed_documents, replace_documents
 from .sources import files as sources
 
 INDEX_TABLES = ("postings", "lengths", "frequencies")
+#: Rows of a listing that answers show; a count of all stands beside each.
+SHOWN = 1000
 
 
 def load_config(path: str | None) -> Config:
@@ -63,7 +65,9 @@ class Engine:
     def index(self, full: bool = False) -> dict[str, Any]:
         """Bring the stored graph up to date; only changed documents are written anew unless full."""
         parsed = self.parse()
-        skipped = [r.asDict() for r in parsed.where("error is not null").select("path", "error").orderBy("path").limit(1000).collect()]
+        failed = parsed.where("error is not null").select("path", "error")
+        skipped = [r.asDict() for r in failed.orderBy("path").limit(SHOWN).collect()]
+        skipped_count = len(skipped) if len(skipped) < SHOWN else failed.count()
         new = build_graph(parsed, self.config)
         old = self.store.read()
         mode = "full" if full or old is None or old.documents.isEmpty() else "incremental"
@@ -79,7 +83,7 @@ class Engine:
         if graph is not None:
             self._write_search_index(stored)
         storage.delete(self.spark, f"{self.store.path}/_work")
-        return {"mode": mode, "changes": counts, "skipped": skipped, **{r.relation: r.n for r in stats.table_counts(stored).collect()}}
+        return {"mode": mode, "changes": counts, "skipped": skipped, "skippedCount": skipped_count, **{r.relation: r.n for r in stats.table_counts(stored).collect()}}
 
     def _work(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.store.path}/_work/{name}-{uuid.uuid4().hex}"
@@ -93,7 +97,8 @@ class Engine:
         """Postings are sorted by term, so a prefix reads few row groups."""
         built = search.build_search_index(graph)
         built.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{self._index_path()}/postings")
-        built.lengths.write.mode("overwrite").parquet(f"{self._index_path()}/lengths")
+        written = self.spark.read.parquet(f"{self._index_path()}/postings")
+        search.chunk_lengths(graph.chunks, written).write.mode("overwrite").parquet(f"{self._index_path()}/lengths")
         built.frequencies.write.mode("overwrite").parquet(f"{self._index_path()}/frequencies")
 
     def graph(self) -> Graph:
@@ -117,25 +122,35 @@ class Engine:
     def context(self, query: str, **options: Any) -> dict[str, Any]:
         return contexts.build_context(self.search_index(), query, self.config, **options)
 
-    def agent_context(self, query: str, known_files: Sequence[str] = (), debug: bool = False) -> dict[str, Any]:
-        """Context with limit, depth and budget that suit the question."""
-        auto = search.agent_mode(query, self.graph().documents.count(), self.config, len(known_files))
+    def agent_search(self, query: str, limit: int | None = None, mode: str = "auto") -> DataFrame:
+        """Search with a limit that suits the question, unless one is asked for."""
+        return self.search(query, limit or search.agent_mode(query, self.graph().documents.count(), self.config)["limit"], mode)
+
+    def agent_context(self, query: str, known_files: Sequence[str] = (), debug: bool = False, max_chars: int | None = None) -> dict[str, Any]:
+        """Context with limit, depth and budget that suit the question; an asked budget is kept."""
+        auto = search.agent_mode(query, self.graph().documents.count(), self.config, len(known_files), max_chars)
         return self.context(query, limit=auto["limit"], max_depth=auto["max_depth"], max_chars=auto["max_chars"], known_files=known_files, debug=debug) | {"mode": auto}
 
     def node(self, value: str) -> dict[str, Any]:
-        """What a name means, with the best edges of an unambiguous node."""
+        """What a name means, with the edges of an unambiguous node: SHOWN at most are listed, all are counted."""
         graph = self.graph()
-        found = [r.asDict() for r in traverse.resolve_node(graph, value).collect()]
+        candidates = traverse.resolve_node(graph, value)
+        found = [r.asDict() for r in candidates.orderBy("place").limit(SHOWN).collect()]
         if not found:
             return {"status": "not_found", "candidates": [], "edges": []}
         if found[0]["ambiguous"]:
-            return {"status": "ambiguous", "candidates": found, "edges": []}
-        edges = stats.label_edges(traverse.incident_edges(graph.edges, found[0]["id"]).limit(100), stats.node_labels(graph))
-        return {"status": "found", "node": found[0], "edges": [r.asDict() for r in edges.collect()]}
+            return {"status": "ambiguous", "candidates": found, "candidateCount": len(found) if len(found) < SHOWN else candidates.count(), "edges": []}
+        incident = traverse.incident_edges(graph.edges, found[0]["id"])
+        edges = stats.label_edges(incident.limit(SHOWN), stats.node_labels(graph)).orderBy(F.col("weight").desc(), F.col("confidence").desc(), "id").collect()
+        return {"status": "found", "node": found[0], "edges": [r.asDict() for r in edges], "edgeCount": len(edges) if len(edges) < SHOWN else incident.count()}
+
+    def node_candidates(self, value: str) -> DataFrame:
+        """Everything that a name may mean, however much; node() shows the first of them and their number."""
+        return traverse.resolve_node(self.graph(), value)
 
     def trace(self, start: str, target: str, depth: int = 6) -> dict[str, Any]:
         graph = self.graph()
-        ends = [traverse.resolve_node(graph, x).collect() for x in (start, target)]
+        ends = [traverse.resolve_node(graph, x).orderBy("place").limit(2).collect() for x in (start, target)]
         for name, rows in zip((start, target), ends, strict=True):
             if not rows:
                 return {"found": False, "steps": [], "message": f"Node not found: {name}"}
@@ -208,14 +223,19 @@ class Engine:
 
     def diff(self, revision: str) -> dict[str, DataFrame]:
         """The tracked tree at a revision against the current one."""
+        shared = f"{self.store.path}/_work/revision-{uuid.uuid4().hex}"
         with tempfile.TemporaryDirectory() as folder:
             sources.export_revision(self.root, revision, f"{folder}/tree")
-            base = Engine(self.spark, f"{folder}/tree", f"{folder}/graph", self.config)
-            base.index(full=True)
-            moved = sources.renames(self.root, revision)
-            renames = self.spark.createDataFrame(moved or [("", "")], "old_path string, path string").where("old_path <> ''")
-            found = diff.graph_diff(base.graph(), build_graph(self.parse("head"), self.config), renames)
-            return {name: self.spark.createDataFrame(df.collect(), df.schema) for name, df in found.items()}
+            Path(folder, "tree").mkdir(exist_ok=True)
+            storage.copy_in(self.spark, f"{folder}/tree", f"{shared}/tree")  # executors read it from the store
+        base = Engine(self.spark, f"{shared}/tree", f"{shared}/graph", self.config)
+        base.index(full=True)
+        moved = sources.renames(self.root, revision)
+        renames = self.spark.createDataFrame(moved or [("", "")], "old_path string, path string").where("old_path <> ''")
+        found = diff.graph_diff(base.graph(), build_graph(self.parse("head"), self.config), renames)
+        out = {name: storage.cut(df) for name, df in found.items()}
+        storage.delete(self.spark, f"{self.store.path}/_work")
+        return out
 
     def bundle(self, target: str) -> dict[str, Any]:
         """Copy the current version with a manifest of counts and hashes."""

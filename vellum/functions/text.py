@@ -6,7 +6,7 @@ import re
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"\s   -     　﻿"
@@ -100,16 +100,32 @@ def index_content(value: Column) -> Column:
 
 def query_tokens(value: Column) -> Column:
     """Tokens as queries and embeddings see them: a token without CJK comes twice."""
-    words = F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    return F.filter(F.flatten(F.transform(query_words(value), word_tokens)), is_token)
 
-    def of(word: Column) -> Column:
-        grams = cjk_ngrams(word)
-        rest = F.regexp_extract_all(F.regexp_replace(word, f"[{CJK}]+", " "), F.lit(r"[\p{L}\p{N}_]+"), 0)
-        parts = F.flatten(F.transform(rest, lambda p: F.split(p, "_")))
-        again = F.when(F.size(grams) == 0, F.split(word, "_")).otherwise(F.array().cast("array<string>"))
-        return F.concat(grams, parts, again)
 
-    return F.filter(F.flatten(F.transform(words, of)), lambda t: (F.length(t) > 1) & ~t.isin(*_OPERATORS))
+def query_words(value: Column) -> Column:
+    """Runs of letters, digits and underscores in lower case."""
+    return F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
+def word_tokens(word: Column) -> Column:
+    """Tokens of one word, before short ones and operators go; most words are plain and need one test only."""
+    grams = cjk_ngrams(word)
+    rest = F.regexp_extract_all(F.regexp_replace(word, f"[{CJK}]+", " "), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    parts = F.flatten(F.transform(rest, lambda p: F.split(p, "_")))
+    again = F.when(F.size(grams) == 0, F.split(word, "_")).otherwise(F.array().cast("array<string>"))
+    return F.when(word.rlike(f"[_{CJK}]"), F.concat(grams, parts, again)).otherwise(F.array(word, word))
+
+
+def is_token(token: Column) -> Column:
+    return (F.length(token) > 1) & ~token.isin(*_OPERATORS)
+
+
+def token_counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, token, n: query_tokens() of each text, counted. Words are counted first, so that each distinct one is read once."""
+    words = rows.select(F.col(id_col), F.explode(query_words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    tokens = words.select(id_col, F.explode(word_tokens(F.col("word"))).alias("token"), "n").where(is_token(F.col("token")))
+    return tokens.groupBy(id_col, "token").agg(F.sum("n").alias("n"))
 
 
 def _regex_runs(text: str, cjk: bool) -> list[str]:

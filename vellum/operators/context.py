@@ -1,12 +1,16 @@
 """Context packing: search seeds, best-first expansion, round-robin order, character budget.
 
-Only the queue runs on the driver: it pops a few dozen nodes at most, and fetches the best edges
+Only the queue runs on the driver: it takes a few dozen nodes at most, and fetches the best edges
 of all waiting nodes in one join. Texts are fetched for the nodes that were kept.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import normalize_path
+from ..plans import storage
 from ..plans.graph import Graph
 from .risks import risks_of
 from .search import SearchIndex, search
@@ -21,6 +26,8 @@ from .stats import node_labels, undirected
 from .traverse import resolve_node
 
 LEAST_NODES = 16
+#: What a debug answer counts of the walk.
+COUNTERS = ("seedNodes", "visitedNodes", "expandedEdges", "skippedVisitedNodes", "skippedByNodeLimit", "skippedByDepth")
 KNOWN_FILE_SCORE = 10_000.0
 
 
@@ -33,12 +40,17 @@ def node_chunks(graph: Graph) -> DataFrame:
     return placed.select(F.col("id").alias("node_id"), F.col("id").alias("chunk_id")).unionByName(of_section).unionByName(of_document)
 
 
-def round_robin(rows: DataFrame, path: str, score: str, tie: str) -> DataFrame:
-    """Adds pos: one row of each path in turn, paths in the order of their best row."""
+def in_turns(rows: DataFrame, path: str, score: str, tie: str) -> tuple[DataFrame, list[Column]]:
+    """rows with what their order needs, and that order: one row of each path in turn, paths in the order of their best row."""
     by_path = Window.partitionBy(path).orderBy(F.col(score).desc(), tie)
     ranked = rows.withColumn("__round", F.row_number().over(by_path)).withColumn("__best", F.max(F.col(score)).over(Window.partitionBy(path))).withColumn("__tie", F.first(tie).over(by_path))
-    every = Window.orderBy("__round", F.col("__best").desc(), "__tie", path)
-    return ranked.withColumn("pos", F.row_number().over(every)).drop("__round", "__best", "__tie")
+    return ranked, [F.col("__round"), F.col("__best").desc(), F.col("__tie"), F.col(path)]
+
+
+def round_robin(rows: DataFrame, path: str, score: str, tie: str) -> DataFrame:
+    """Adds pos: the place of each row when paths take turns."""
+    ranked, order = in_turns(rows, path, score, tie)
+    return storage.numbered(ranked, order, "pos").drop("__round", "__best", "__tie")
 
 
 def pack_budget(rows: DataFrame, length: Column, budget: int, order: list[Column], partition: list[Column] | None = None) -> DataFrame:
@@ -171,23 +183,75 @@ def _risk_notes(c: dict) -> list[str]:
     return notes + [f"content risk: {reason} at line {first + line - 1}" for line, reason in risks_of(c["content"])[:3]]
 
 
-def _known_files(graph: Graph, names: Sequence[str]) -> list[dict]:
+def _known_files(graph: Graph, names: Sequence[str], budget: int) -> list[dict]:
+    """Chunks of files that the asker knows, and of what a known source path is tied to, as far as a budget of characters can hold."""
     found = []
     spark = graph.edges.sparkSession
     for i, name in enumerate(names):
         tidy = spark.range(1).select(normalize_path(F.lit(name)).alias("n")).first().n
-        hit = next((rows[0] for rows in (resolve_node(graph, q).collect() for q in dict.fromkeys([name, tidy])) if rows and not rows[0].ambiguous), None)
+        hit = next((rows[0] for rows in (resolve_node(graph, q).limit(2).collect() for q in dict.fromkeys([name, tidy])) if rows and not rows[0].ambiguous), None)
         if hit is None:
             continue
         if hit.kind != "source_ref":
             found += [_candidate(r, reason=f"known file {name}", score=KNOWN_FILE_SCORE - i, direct=True) for r in _chunk_rows(graph, [hit.id]).values()]
             continue
-        ends = undirected(graph.edges).where(F.col("node_id") == hit.id).orderBy(F.col("weight").desc(), F.col("confidence").desc(), "id").limit(1000).collect()
-        rows = _chunk_rows(graph, sorted({e.other_id for e in ends}))
-        found += [_candidate(rows[e.other_id], reason=f"known file {name} via {e.kind}/{e.provenance}", score=KNOWN_FILE_SCORE - i, direct=True) for e in ends if e.other_id in rows]
+        ends = undirected(graph.edges).where(F.col("node_id") == hit.id).withColumn("order", F.struct((-F.col("weight")).alias("w"), (-F.col("confidence")).alias("c"), "id"))
+        owner = graph.documents.select(F.col("id").alias("document_id"), "path")
+        sizes = graph.chunks.where("content <> ''").select(F.col("id").alias("chunk_id"), "document_id", F.coalesce("section_id", "document_id").alias("owner"))
+        met = ends.join(node_chunks(graph).withColumnRenamed("node_id", "other_id"), "other_id").join(sizes, "chunk_id").join(owner, "document_id")
+        best = met.groupBy("owner", "path").agg(F.min_by(F.struct("other_id", "kind", "provenance"), "order").alias("e"), F.min("order").alias("order")).withColumn("same", F.lit(0))
+        ranked, order = in_turns(best, "path", "same", "order")
+        # An item takes a character at least, so no more than the budget's can be packed.
+        kept = ranked.orderBy(*order).limit(budget).select("e.*").collect()
+        rows = _chunk_rows(graph, [e.other_id for e in kept])
+        found += [_candidate(rows[e.other_id], reason=f"known file {name} via {e.kind}/{e.provenance}", score=KNOWN_FILE_SCORE - i, direct=True) for e in kept if e.other_id in rows]
     return found
 
 
+@dataclass(frozen=True)
+class _Walk:
+    """A node that was reached, how far from a seed, what it is worth, and the steps to it."""
+
+    node: str
+    score: float
+    depth: int = 0
+    path: tuple[dict, ...] = ()
+
+
+def _walk(graph: Graph, labels: DataFrame, seeds: Sequence[_Walk], max_depth: int, room: int) -> tuple[list[_Walk], Counter]:
+    """Nodes beyond the seeds, best first: `room` of them at most. Ties go to what was found first."""
+    counts = Counter({"seedNodes": len(seeds)})
+    visited = {s.node for s in seeds}
+    edges: dict[str, list[dict]] = {}
+    ticket = count()
+    waiting = [(-s.score, next(ticket), s) for s in seeds]
+    heapify(waiting)
+    reached: list[_Walk] = []
+    most = room + len(visited) + 1
+    while waiting:
+        _, _, at = heappop(waiting)
+        if at.depth >= max_depth:
+            counts["skippedByDepth"] += 1
+            continue
+        if at.node not in edges:
+            soon = [w.node for _, _, w in waiting if w.depth < max_depth and w.node not in edges]
+            edges |= _best_edges(graph, labels, [at.node, *soon], most)
+        new: dict[str, dict] = {}
+        for edge in edges[at.node]:
+            if edge["other_id"] not in visited:
+                new.setdefault(edge["other_id"], edge)
+        taken = list(new.values())[: room - len(reached)]
+        visited.update(e["other_id"] for e in taken)
+        beyond = sum(e["other_id"] not in visited for e in edges[at.node])
+        counts.update(expandedEdges=len(taken), skippedByNodeLimit=beyond, skippedVisitedNodes=len(edges[at.node]) - len(taken) - beyond)
+        for e in taken:
+            depth = at.depth + 1
+            reached.append(_Walk(e["other_id"], at.score + e["score"] - 2 * depth, depth, (*at.path, _step(e))))
+            heappush(waiting, (-reached[-1].score, next(ticket), reached[-1]))
+    counts["visitedNodes"] = len(visited)
+    return reached, counts
+
+
 def build_context(index: SearchIndex, query: str, config: Config | None = None, limit: int | None = None, max_depth: int | None = None, max_chars: int | None = None, known_files: Sequence[str] = (), mode: str = "auto", debug: bool = False) -> dict[str, Any]:
     """Items that fit the character budget, most useful first, with paths, source refs and risk notes."""
     config = config or Config()
@@ -196,50 +260,23 @@ def build_context(index: SearchIndex, query: str, config: Config | None = None,
     graph = index.graph
     labels = node_labels(graph)
     results = [r.asDict(True) for r in search(index, query, config, limit, mode).collect()]
-    left = cap = max(LEAST_NODES, 2 * config.search_limit)
-    counts = dict.fromkeys(("seedNodes", "visitedNodes", "expandedEdges", "skippedVisitedNodes", "skippedByNodeLimit", "skippedByDepth"), 0)
     candidates: dict[str, dict] = {}
-    visited: set[str] = set()
-    queue: list[dict] = []
+    seeds: dict[str, _Walk] = {}
+    again = 0
     for r in results:
         names = [f"{e['name']} ({e['kind']})" for e in r["matched"]]
         _add(candidates, _candidate(r, reason=r["reason"], score=r["score"], direct=True, matchedEntities=names))
-        for node in dict.fromkeys([r["document_id"], *([r["section_id"]] if r["section_id"] else []), *(e["id"] for e in r["matched"])]):
-            if node in visited:
-                counts["skippedVisitedNodes"] += 1
-                continue
-            visited.add(node)
-            counts["seedNodes"] += 1
-            queue.append({"node": node, "depth": 0, "score": r["score"], "path": []})
-    known: dict[str, list[dict]] = {}
-    expanded: list[dict] = []
-    while queue:
-        current = queue.pop(0)
-        if current["depth"] >= max_depth:
-            counts["skippedByDepth"] += 1
-            continue
-        if current["node"] not in known:
-            waiting = [current["node"], *(q["node"] for q in queue if q["depth"] < max_depth and q["node"] not in known)]
-            known |= _best_edges(graph, labels, waiting, cap + len(visited) + 1)
-        for edge in known[current["node"]]:
-            if edge["other_id"] in visited:
-                counts["skippedVisitedNodes"] += 1
-                continue
-            if left <= 0:
-                counts["skippedByNodeLimit"] += 1
-                continue
-            left -= 1
-            counts["expandedEdges"] += 1
-            visited.add(edge["other_id"])
-            item = {"node": edge["other_id"], "depth": current["depth"] + 1, "score": current["score"] + edge["score"] - 2 * (current["depth"] + 1), "path": [*current["path"], _step(edge)]}
-            expanded.append(item)
-            queue.append(item)
-        queue.sort(key=lambda q: -q["score"])
-    chunks = _chunk_rows(graph, [e["node"] for e in expanded])
-    for e in expanded:
-        if e["node"] in chunks:
-            _add(candidates, _candidate(chunks[e["node"]], reason="graph expansion via " + " | ".join(map(_shown, e["path"])), score=e["score"], direct=False, edgePath=e["path"]))
-    for c in _known_files(graph, known_files):
+        nodes = dict.fromkeys([r["document_id"], *([r["section_id"]] if r["section_id"] else []), *(e["id"] for e in r["matched"])])
+        again += sum(n in seeds for n in nodes)
+        for n in nodes:
+            seeds.setdefault(n, _Walk(n, r["score"]))
+    reached, counts = _walk(graph, labels, list(seeds.values()), max_depth, max(LEAST_NODES, 2 * config.search_limit))
+    counts["skippedVisitedNodes"] += again
+    chunks = _chunk_rows(graph, [w.node for w in reached])
+    for w in reached:
+        if w.node in chunks:
+            _add(candidates, _candidate(chunks[w.node], reason="reached through " + " | ".join(map(_shown, w.path)), score=w.score, direct=False, edgePath=list(w.path)))
+    for c in _known_files(graph, known_files, max_chars):
         _add(candidates, c)
     ordered = order_candidates(list(candidates.values()))
     refs = _source_refs(graph, ordered)
@@ -260,9 +297,8 @@ def build_context(index: SearchIndex, query: str, config: Config | None = None,
     paths = list(dict.fromkeys(i["path"] for i in items))
     result: dict[str, Any] = {"query": query, "maxChars": max_chars, "usedChars": used, "knownFiles": list(known_files), "items": items, "suggestedNextQueries": _suggestions(items, paths, known_files)}
     if debug:
-        counts["visitedNodes"] = len(visited)
         direct = sum(c["direct"] for c in ordered)
-        result["debug"] = counts | {
+        result["debug"] = {name: counts[name] for name in COUNTERS} | {
             "candidateCount": len(ordered),
             "directCandidates": direct,
             "expandedCandidates": len(ordered) - direct,

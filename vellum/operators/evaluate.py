@@ -70,12 +70,12 @@ def evaluate_case(index: SearchIndex, case: Case, config: Config | None = None,
         return [r.k for r in spark.createDataFrame(listed, "p string, h string").select(F.concat_ws("#", "p", slugify(F.col("h"))).alias("k")).collect()] if listed else []
 
     def found(values: Iterable[str], kind: str) -> list[str]:
-        return [v for v in values if any(r.kind == kind for r in resolve_node(graph, v).collect())]
+        return [v for v in values if not resolve_node(graph, v).where(F.col("kind") == kind).isEmpty()]
 
     steps, success = [], None
     if case.trace:
         start, end, depth, kinds = case.trace
-        ends = [resolve_node(graph, x).collect() for x in (start, end)]
+        ends = [resolve_node(graph, x).orderBy("place").limit(1).collect() for x in (start, end)]
         steps = trace(graph.edges, ends[0][0].id, ends[1][0].id, depth).collect() if all(ends) else []
         same = all(ends) and ends[0][0].id == ends[1][0].id
         success = bool(steps or same) and covered(kinds, [s.kind for s in steps]) == 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.text import normalize_entity, normalize_path, trimmed
+from ..plans import storage
 from ..plans.graph import Graph, explode_parts, link_references, source_ref_id
 from ..plans.resolve import collapse, document_aliases, is_external, resolve, section_anchors, url_reference
 from ..sources.files import changed_paths
@@ -164,7 +165,7 @@ def scope_paths(scope: Scope, graph: Graph) -> DataFrame:
     spark = graph.edges.sparkSession
     named = spark.createDataFrame([(p,) for p in (*scope.changed, *scope.deleted)], "path string")
     owner = stats.owners(graph)
-    ids = graph.documents.join(F.broadcast(named), "path", "left_semi").select(F.col("id").alias("document_id"))
+    ids = graph.documents.join(named, "path", "left_semi").select(F.col("id").alias("document_id"))
     nodes = owner.join(ids, "document_id", "left_semi").select("node_id")
     near = stats.undirected(graph.edges.where("kind <> 'CONTAINS'")).join(nodes, "node_id", "left_semi").select(F.col("other_id").alias("node_id")).distinct()
     around = near.join(owner, "node_id").select("document_id").distinct()
@@ -195,7 +196,7 @@ def doctor(parsed: DataFrame, graph: Graph, config: Config, files: DataFrame, sc
     scope = scope or Scope()
     good = parsed.where("error is null")
     paths = None if scope.all else scope_paths(scope, graph)
-    scoped = lambda df, column="path": df if paths is None else df.join(F.broadcast(paths.select(F.col("path").alias(column))), column, "left_semi")
+    scoped = lambda df, column="path": df if paths is None else df.join(paths.select(F.col("path").alias(column)), column, "left_semi")
     failures = warning(scoped(parsed.where("error is not null").select("path", "error")), "document.parse_failed", "error", "path", F.concat(F.lit("Markdown document could not be parsed: "), "path"), "Reduce extreme nesting or size, then index again.", reason=F.col("error"))
     stale = scoped(stale_documents(good.select("path", "id", "hash"), graph.documents.select("path", "id", "hash"), parsed.select("path")))
     stale_rows = warning(stale, "index.stale", "error", "path", F.concat(F.lit("Indexed document is "), "reason", F.lit(": "), "path"), "Index again before relying on health conclusions.", reason=F.col("reason"), indexed_hash=F.col("indexed_hash"), current_hash=F.col("current_hash"))
@@ -208,12 +209,12 @@ def doctor(parsed: DataFrame, graph: Graph, config: Config, files: DataFrame, sc
     parts = explode_parts(good)
     aliases = document_aliases(good.select("id", "path", "title", F.col("front.id").alias("front_id")))
     anchors = section_anchors(parts.sections)
-    linked = scoped(stats.link_stats(graph.edges, stats.typed_owners(graph), graph.documents).join(graph.documents.select(F.col("id").alias("document_id"), "path", "title", "type"), "document_id"))
+    linked = storage.cut(scoped(stats.link_stats(graph.edges, stats.typed_owners(graph), graph.documents).join(graph.documents.select(F.col("id").alias("document_id"), "path", "title", "type"), "document_id")))
     stops = [s.strip().removeprefix("`").removesuffix("`").lower() for s in config.stop_entities]
     active = graph.documents.where(status_of(F.col("status")) == "active").select(F.col("id").alias("document_id"), "path")
     collisions = stats.definition_collisions(graph.edges, stats.owners(graph), active).join(graph.entities.select("id", "name"), "id").where(~normalize_entity(F.col("name")).isin(stops))
     if paths is not None:
-        touched = collisions.select("id", F.explode("paths").alias("path")).join(F.broadcast(paths), "path", "left_semi").select("id").distinct()
+        touched = collisions.select("id", F.explode("paths").alias("path")).join(paths, "path", "left_semi").select("id").distinct()
         collisions = collisions.join(touched, "id", "left_semi")
 
     fronted = good.select(F.col("id").alias("from_id"), F.col("path").alias("from_path"), "front")
@@ -226,14 +227,14 @@ def doctor(parsed: DataFrame, graph: Graph, config: Config, files: DataFrame, sc
     states = good.select("id", "path", F.col("front.status").alias("status"), (F.size("front.deprecated_by") > 0).alias("retired"))
     lifecycle = lifecycle_references(states, resolved_links.select("from_id", "target_document", "line", "shown"), related.select("from_id", "target_document", "kind"))
     if paths is not None:
-        inside = F.broadcast(paths.select(F.col("path").alias("p")))
-        lifecycle = lifecycle.join(inside, (F.col("path") == F.col("p")) | (F.col("target_path") == F.col("p")), "left_semi")
+        ours, theirs = (paths.select(F.col("path").alias(c), F.lit(True).alias(f"{c}_inside")) for c in ("path", "target_path"))
+        lifecycle = lifecycle.join(ours, "path", "left").join(theirs, "target_path", "left").where("path_inside or target_path_inside").drop("path_inside", "target_path_inside")
 
     refs = good.select("path", F.explode(F.concat("front.implements", "front.source_refs")).alias("raw")).select("path", source_ref_id(F.lower(normalize_path(trimmed(F.col("raw"))))).alias("id"))
     named_by = refs.groupBy("id").agg(F.array_sort(F.collect_set("path")).alias("documents"))
     missing = missing_sources(graph.source_refs.select("id", "path"), files, named_by)
     if paths is not None:
-        missing = missing.join(refs.join(F.broadcast(paths), "path", "left_semi").select("id").distinct(), "id", "left_semi")
+        missing = missing.join(refs.join(paths, "path", "left_semi").select("id").distinct(), "id", "left_semi")
 
     rules = {
         "orphan_documents": linked.where("links = 0"),
@@ -249,6 +250,9 @@ def doctor(parsed: DataFrame, graph: Graph, config: Config, files: DataFrame, sc
         "lifecycle": lifecycle,
         "missing_decisions": scoped(missing_decisions(good)),
     }
+    # A rule's findings are counted, reported and listed: each is computed once.
+    rules = {name: storage.cut(df) for name, df in rules.items()}
+    lifecycle = rules["lifecycle"]
     text = F.lit
     warnings = [
         failures,

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import cjk_ngrams, fold_text, index_terms, like_prefix, prefix_terms
+from ..functions.text import CJK, cjk_ngrams, fold_text, index_terms, like_prefix, prefix_terms
+from ..plans import storage
 from ..plans.graph import Graph
-from .stats import document_frequency, owners
+from .stats import document_frequency, owners, top_definitions
 from .vectors import embed_text, similar_vectors
 
 #: Fixed values of scoring.
@@ -26,20 +27,23 @@ RRF_K, RRF_WEIGHT = 60, 1000
 TIER_BOOST = {"validated": 8.0, "authored": 5.0, "generated": -5.0, "external": -10.0, "untrusted": -30.0}
 STATUS_BOOST = {"deprecated": -20.0, "superseded": -20.0, "draft": -8.0, "archived": -8.0}
 PENALTY, MOST_PENALTY = 20, 60
+#: Characters for a question that needs no more depth.
+SHALLOW_CHARS = 16_000
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """term, chunk_id, tf: words of each text; a word that only an added CJK n-gram has is there with tf 0."""
-    own = F.transform(index_terms(F.col(text_col)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("stored")))
-    grams = F.transform(index_terms(F.concat_ws(" ", cjk_ngrams(F.col(text_col)))), lambda t: F.struct(t.alias("term"), F.lit(0).alias("stored")))
-    words = chunks.select(F.col(id_col).alias("chunk_id"), F.explode(F.concat(own, grams)).alias("w"))
-    return words.groupBy(F.col("w.term").alias("term"), "chunk_id").agg(F.sum("w.stored").alias("tf"), F.count("*").alias("n"))
+    texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
+    words = texts.select("chunk_id", F.explode(index_terms(F.col("text"))).alias("term"), F.lit(1).alias("stored"))
+    with_cjk = texts.where(F.col("text").rlike(f"[{CJK}]"))
+    grams = with_cjk.select("chunk_id", F.explode(index_terms(F.concat_ws(" ", cjk_ngrams(F.col("text"))))).alias("term"), F.lit(0).alias("stored"))
+    return words.unionByName(grams).groupBy("term", "chunk_id").agg(F.sum("stored").alias("tf"), F.count("*").alias("n"))
 
 
-def chunk_lengths(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """chunk_id, length in index words, added n-grams included."""
-    grams = F.size(index_terms(F.concat_ws(" ", cjk_ngrams(F.col(text_col)))))
-    return chunks.select(F.col(id_col).alias("chunk_id"), (F.size(index_terms(F.col(text_col))) + grams).cast("long").alias("length"))
+def chunk_lengths(chunks: DataFrame, index: DataFrame, id_col: str = "id") -> DataFrame:
+    """chunk_id, length in index words, added n-grams included, from the postings of chunks."""
+    totals = index.groupBy("chunk_id").agg(F.sum("n").alias("length"))
+    return chunks.select(F.col(id_col).alias("chunk_id")).join(totals, "chunk_id", "left").select("chunk_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
 
 
 def bm25(index: DataFrame, lengths: DataFrame, prefixes: Sequence[str]) -> DataFrame:
@@ -99,14 +103,21 @@ def frequency_penalty(frequencies: Column, threshold: int) -> Column:
 
 
 def fuse(results: DataFrame) -> DataFrame:
-    """Adds boost and fused score to (channel, rank, key, score): reciprocal ranks, each channel once per key."""
-    first = Window.partitionBy("channel", "key").orderBy("rank")
-    firsts = results.select("channel", "key", "rank").withColumn("turn", F.row_number().over(first)).where("turn = 1")
-    fused = firsts.groupBy("key").agg(
-        F.round(F.sum(1.0 / (RRF_K + F.col("rank"))) * RRF_WEIGHT, 4).alias("boost"),
-        F.concat_ws(", ", F.array_sort(F.collect_list(F.concat(F.col("channel"), F.lit("#"), F.col("rank").cast("string"))))).alias("channels"),
-    )
-    return results.join(fused, "key").withColumn("score", F.round(F.col("score") + F.col("boost"), 4))
+    """Adds boost and fused score to (channel, rank, key, score): reciprocal ranks, each channel once per key.
+
+    Windows over one partitioning by key, so that the ranked rows are computed once.
+    """
+    key = Window.partitionBy("key")
+    first = F.row_number().over(Window.partitionBy("key", "channel").orderBy("rank")) == 1
+    marked = results.repartition("key").withColumn("first", first)
+    best = F.when(F.col("first"), F.concat(F.col("channel"), F.lit("#"), F.col("rank").cast("string")))
+    fused = marked.withColumns(
+        {
+            "boost": F.round(F.sum(F.when(F.col("first"), 1.0 / (RRF_K + F.col("rank")))).over(key) * RRF_WEIGHT, 4),
+            "channels": F.concat_ws(", ", F.array_sort(F.collect_list(best).over(key))),
+        }
+    ).drop("first")
+    return fused.withColumn("score", F.round(F.col("score") + F.col("boost"), 4))
 
 
 def dedupe_results(results: DataFrame) -> DataFrame:
@@ -138,7 +149,15 @@ class SearchIndex:
 
 
 def build_search_index(graph: Graph) -> SearchIndex:
-    return SearchIndex(graph, postings(graph.chunks), chunk_lengths(graph.chunks), document_frequency(graph.edges, owners(graph), graph.entities))
+    """Postings are read by every channel and by the lengths: write them first where a graph is large."""
+    index = postings(graph.chunks)
+    return SearchIndex(graph, index, chunk_lengths(graph.chunks, index), document_frequency(graph.edges, owners(graph), graph.entities))
+
+
+def written_search_index(graph: Graph) -> SearchIndex:
+    """The search index behind checkpoints, for a session's questions to a graph that is stored nowhere."""
+    index = storage.cut(postings(graph.chunks))
+    return SearchIndex(graph, index, storage.cut(chunk_lengths(graph.chunks, index)), storage.cut(document_frequency(graph.edges, owners(graph), graph.entities)))
 
 
 def section_chunks(graph: Graph) -> DataFrame:
@@ -155,9 +174,8 @@ def definition_rows(graph: Graph, entities: DataFrame, k: int = 3) -> DataFrame:
     placed = defines.join(section_chunks(graph).withColumnRenamed("node_id", "from_id"), "from_id")
     lines = graph.sections.select(F.col("id").alias("from_id"), "start_line")
     paths = graph.chunks.select(F.col("id").alias("chunk_id"), "document_id").join(graph.documents.select(F.col("id").alias("document_id"), "path"), "document_id")
-    rows = placed.join(lines, "from_id", "left").join(paths, "chunk_id")
-    best = Window.partitionBy("to_id").orderBy(F.col("weight").desc(), "path", "start_line", "id")
-    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("chunk_id", "weight", "turn", "place")
+    rows = placed.join(lines, "from_id", "left").join(paths, "chunk_id").withColumnsRenamed({"to_id": "entity_id", "id": "edge_id"})
+    return top_definitions(rows, k).select("chunk_id", "weight", "turn", "place")
 
 
 def search(index: SearchIndex, query: str, config: Config | None = None, limit: int | None = None, mode: str = "auto") -> DataFrame:
@@ -171,8 +189,8 @@ def search(index: SearchIndex, query: str, config: Config | None = None, limit:
     names = [n.strip().removeprefix("`").removesuffix("`").lower() for n in query_entity_candidates(query)]
     wanted = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "normalized_name string, turn int")
     found = graph.entities.join(F.broadcast(wanted), "normalized_name").select("id", "name", "kind", "normalized_name", "turn")
-    # The entities that a query names are a handful: one list travels with the plan.
-    named = [r.asDict() for r in found.join(index.frequencies, "id", "left").orderBy("turn", "id").limit(200).collect()]
+    # One entity at most for each name in the query and each kind: a list as long as the query travels with the plan.
+    named = [r.asDict() for r in found.join(index.frequencies, "id", "left").orderBy("turn", "id").collect()]
     matched_ids = spark.createDataFrame([(r["id"], i) for i, r in enumerate(named)], "id string, turn int")
 
     text = full_text(index.postings, index.lengths, query, 2 * limit).select("chunk_id", F.row_number().over(Window.orderBy("rank", "chunk_id")).alias("rank"), (100 - F.col("rank")).alias("base"), F.lit("fts").alias("channel"), F.lit(None).cast("double").alias("similarity"))
@@ -197,7 +215,7 @@ def search(index: SearchIndex, query: str, config: Config | None = None, limit:
     penalty = frequency_penalty(F.transform("matched", lambda e: e["documents"]), config.high_frequency_threshold)
     is_definition = F.col("channel") == "definition"
     frequent = F.filter("matched", lambda e: e["documents"] > config.high_frequency_threshold)
-    reason = F.when(is_definition, F.lit("definition matched an explicit query entity")).when(F.col("channel") == "fts", F.lit("full-text content match")).otherwise(F.format_string("local semantic vector match (%.3f)", "similarity"))
+    reason = F.when(is_definition, F.lit("the query names what is defined here")).when(F.col("channel") == "fts", F.lit("full-text content match")).otherwise(F.format_string("local semantic vector match (%.3f)", "similarity"))
     reason = F.when(~is_definition & (F.size(frequent) > 0), F.concat(reason, F.lit("; high-frequency entity penalty ("), F.concat_ws(", ", F.transform(frequent, lambda e: e["name"])), F.lit(")"))).otherwise(reason)
     scored = rows.withColumns({"score": adjust(F.col("base"), F.col("trust_tier"), F.col("status"), F.when(is_definition, 0.0).otherwise(penalty)), "reason": reason, "key": F.coalesce("section_id", "document_id")})
     order = F.when(is_definition, 0).when(F.col("channel") == "fts", 1).otherwise(2) * 1_000_000 + F.col("rank")
@@ -224,14 +242,14 @@ def explain(index: SearchIndex, query: str, config: Config | None = None, limit:
     }
 
 
-def agent_mode(query: str, documents: int, config: Config, known_files: int = 0) -> dict[str, int]:
-    """Limit, depth and character budget that suit a question and the size of the collection."""
+def agent_mode(query: str, documents: int, config: Config, known_files: int = 0, max_chars: int | None = None) -> dict[str, int]:
+    """Limit, depth and character budget that suit a question and the size of the collection; an asked budget is kept."""
     default = config.search_limit
     half = -(-default // 2)
     words = len(query.split())
     limit = default + (half if words > 6 or len(query) > 80 else 0) + (default if documents >= 1000 else half if documents >= 100 else 0)
     deeper = known_files > 0 or words > 6 or documents >= 100
-    return {"limit": max(4, min(24, limit)), "max_depth": min(4, config.max_depth + 1) if deeper else config.max_depth, "max_chars": min(config.max_context_chars, 16_000)}
+    return {"limit": max(4, min(24, limit)), "max_depth": min(4, config.max_depth + 1) if deeper else config.max_depth, "max_chars": max_chars or (config.max_context_chars if deeper else min(config.max_context_chars, SHALLOW_CHARS))}
 
 
 def semantic_status(config: Config, vectors: int, chunks: int, stored: Sequence[dict]) -> str:

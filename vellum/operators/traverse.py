@@ -17,11 +17,11 @@ def incident_edges(edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def resolve_node(graph: Graph, value: str) -> DataFrame:
-    """Candidates of the first rule that finds any: id, kind, label, rule, ambiguous.
+    """Candidates of the first rule that finds any: id, kind, label, rule, ambiguous and their place in order.
 
     Rules: any node's id; path#anchor; document path (with or without extension), title or
     front-matter id; source path; section heading or anchor; entity name. Only sections can be
-    ambiguous; elsewhere the first match by id is taken.
+    ambiguous, and then all of them come back; elsewhere the first match by id is taken.
     """
     spark = graph.documents.sparkSession
     ask = F.lit(value)
@@ -43,26 +43,28 @@ def resolve_node(graph: Graph, value: str) -> DataFrame:
     heading = (F.lower("heading") == low) | (F.col("anchor") == slugify(ask))
     found = found.unionByName(located.where(heading).select("id", F.lit("section").alias("kind"), F.col("heading").alias("label"), F.lit(5).alias("rule"), F.concat_ws("#", "path", "anchor").alias("at")))
     found = found.unionByName(graph.entities.where(F.col("normalized_name") == normalize_entity(ask)).select("id", F.lit("entity").alias("kind"), F.col("name").alias("label"), F.lit(6).alias("rule"), F.concat_ws(":", "kind", "id").alias("at")))
-    # A lookup key names a handful of nodes; sections of one heading are cut after a report's worth.
-    rows = sorted(found.orderBy("rule", "at", "id").limit(1000).collect(), key=lambda r: (r.rule, r.at or "", r.id))
-    first = [r for r in rows if r.rule == rows[0].rule] if rows else []
-    ambiguous = len(first) > 1 and first[0].rule in (2, 5)
-    kept = first if ambiguous else first[:1]
-    return spark.createDataFrame([(r.id, r.kind, r.label, r["rule"], ambiguous) for r in kept], "id string, kind string, label string, rule int, ambiguous boolean")
+    first = found.agg(F.min("rule").alias("rule")).where("rule is not null")
+    kept = found.join(F.broadcast(first), "rule")  # one row
+    place = Window.partitionBy("rule").orderBy(F.coalesce("at", F.lit("")), "id")
+    counted = kept.withColumns({"n": F.count("*").over(Window.partitionBy("rule")), "place": F.row_number().over(place)})
+    ambiguous = (F.col("n") > 1) & F.col("rule").isin(2, 5)
+    return counted.withColumn("ambiguous", ambiguous).where("ambiguous or place = 1").select("id", "kind", "label", "rule", "ambiguous", "place")
 
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, skip: tuple[str, ...] = ("CONTAINS",), fan_out: int | None = None) -> DataFrame:
-    """node_id, depth of all nodes within depth edges of seeds (node_id). fan_out: best edges of a node that are followed."""
+    """node_id, depth of all nodes within depth edges of seeds (node_id). fan_out: best edges of a node that are followed.
+
+    Levels are checkpointed, so that none is computed twice; edges are read once a level.
+    """
     ends = undirected(edges.where(~F.col("kind").isin(*skip)) if skip else edges)
     if fan_out:
         best = Window.partitionBy("node_id").orderBy((F.col("weight") * F.col("confidence")).desc(), F.col("weight").desc(), F.col("confidence").desc(), "id")
         ends = ends.withColumn("place", F.row_number().over(best)).where(F.col("place") <= fan_out)
     ends = ends.select("node_id", "other_id")
-    reached = seeds.select("node_id").distinct().withColumn("depth", F.lit(0))
-    frontier = reached
+    frontier = reached = storage.cut(seeds.select("node_id").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
         step = frontier.join(ends, "node_id").select(F.col("other_id").alias("node_id")).distinct()
-        frontier = step.join(reached, "node_id", "left_anti").withColumn("depth", F.lit(level))
+        frontier = storage.cut(step.join(reached.select("node_id"), "node_id", "left_anti").withColumn("depth", F.lit(level)))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -71,23 +73,24 @@ def trace(edges: DataFrame, start: str, target: str, depth: int = 6) -> DataFram
     """The shortest undirected path as steps: step, from_id, to_id, edge_id, edge_from, edge_to, kind, direction, confidence, provenance.
 
     Levels are joined with the edges once each; a new node keeps the parent that was found
-    first, then the better edge. Empty if there is no path of at most depth edges, or if start
+    first, then the better edge. A node's place in that order is the list of the edges that led
+    to it, so that no level is numbered as a whole. Empty if there is no path of at most depth edges, or if start
     is the target. Levels are checkpointed, so that plans don't grow and none is computed twice.
     """
     spark = edges.sparkSession
-    schema = "node_id string, parent string, place long, edge_id string, level int"
+    steps_type = "array<struct<weight:double,confidence:double,id:string>>"
     ends = undirected(edges)
-    seen = spark.createDataFrame([(start, None, 0, None, 0)], schema)
-    frontier = seen
+    frontier = spark.createDataFrame([(start, None, [], None)], f"node_id string, parent string, place {steps_type}, edge_id string")
+    seen = frontier.drop("place")
     for level in range(1, depth + 1):
         if start == target or frontier.isEmpty() or not frontier.where(F.col("node_id") == target).isEmpty():
             break
-        step = frontier.select(F.col("node_id").alias("parent"), F.col("place").alias("parent_place")).join(ends, F.col("parent") == F.col("node_id")).drop("node_id")
-        first = Window.partitionBy("other_id").orderBy("parent_place", F.col("weight").desc(), F.col("confidence").desc(), "id")
-        new = step.withColumn("turn", F.row_number().over(first)).where("turn = 1").join(seen.select(F.col("node_id").alias("other_id")), "other_id", "left_anti")
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("parent_place", F.col("weight").desc(), F.col("confidence").desc(), "id")).cast("long")
-        frontier = storage.cut(new.select(F.col("other_id").alias("node_id"), "parent", rank.alias("place"), F.col("id").alias("edge_id"), F.lit(level).alias("level")))
-        seen = seen.unionByName(frontier)
+        step = frontier.select(F.col("node_id").alias("parent"), F.col("place").alias("so_far")).join(ends, F.col("parent") == F.col("node_id")).drop("node_id")
+        own = F.struct((-F.col("weight")).cast("double").alias("weight"), (-F.col("confidence")).cast("double").alias("confidence"), F.col("id"))
+        best = step.groupBy(F.col("other_id").alias("node_id")).agg(F.min(F.struct(F.concat("so_far", F.array(own)).alias("place"), "parent", F.col("id").alias("edge_id"))).alias("best"))
+        new = best.join(seen.select("node_id"), "node_id", "left_anti")
+        frontier = storage.cut(new.select("node_id", "best.parent", F.col("best.place").cast(steps_type).alias("place"), "best.edge_id"))
+        seen = seen.unionByName(frontier.drop("place"))
     steps = []
     node = target
     for _ in range(depth):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fnv1a, fnv1a_of, query_tokens, query_tokens_of, utf16_length
+from ..functions.text import fnv1a, fnv1a_of, query_tokens, query_tokens_of, token_counts, utf16_length
 
 
 def _token_weight(token: Column) -> Column:
@@ -29,8 +29,8 @@ def embed(content: Column, dimensions: int) -> Column:
 
 
 def _coordinates(rows: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
-    tokens = rows.select(F.col(id_col).alias("__id"), F.explode(query_tokens(F.col(text_col))).alias("__token")).groupBy("__id", "__token").agg(F.count("*").alias("__n"))
-    spread = tokens.select("__id", (fnv1a(F.col("__token")) % dimensions).cast("int").alias("__at"), (F.col("__n") * _token_weight(F.col("__token"))).alias("__w"))
+    tokens = token_counts(rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", "__text")
+    spread = tokens.select("__id", (fnv1a(F.col("token")) % dimensions).cast("int").alias("__at"), (F.col("n") * _token_weight(F.col("token"))).alias("__w"))
     return spread.groupBy("__id", "__at").agg(F.sum("__w").alias("__w"))
 
 

@@ -29,6 +29,7 @@ class Store:
     def meta(self) -> dict | None:
         """The pointer: schema version and the current version's directory; None if nothing is stored."""
         at = f"{self.path}/_current.json"
+        storage.recover(self.spark, at)
         if not storage.exists(self.spark, at):
             return None
         meta = json.loads(storage.read_text(self.spark, at))

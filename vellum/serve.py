@@ -7,17 +7,18 @@ import sys
 from pathlib import Path
 from typing import Any, TextIO
 
-from .engine import Engine
+from .config import Limits
+from .engine import Engine, load_config
 
 LINE_BYTES = 1024 * 1024
 _TEXT = {"type": "string", "minLength": 1, "maxLength": 4000}
 #: Tool -> its arguments; objects are closed.
 TOOLS: dict[str, dict[str, Any]] = {
-    "search": {"required": ["query"], "properties": {"query": _TEXT, "limit": {"type": "integer", "minimum": 1, "maximum": 100}, "mode": {"enum": ["auto", "keyword", "semantic"]}}},
-    "context": {"required": ["query"], "properties": {"query": _TEXT, "known_files": {"type": "array", "maxItems": 50}, "debug": {"type": "boolean"}}},
-    "node": {"required": ["name"], "properties": {"name": _TEXT}},
-    "trace": {"required": ["start", "target"], "properties": {"start": _TEXT, "target": _TEXT, "depth": {"type": "integer", "minimum": 1, "maximum": 12}}},
-    "status": {"required": [], "properties": {"storage": {"type": "boolean"}, "freshness": {"type": "boolean"}}},
+    "search": {"required": ["query"], "properties": {"query": _TEXT, "limit": {"type": "integer", "minimum": 1, "maximum": Limits.SEARCH_LIMIT}, "mode": {"enum": ["auto", "keyword", "semantic"]}, "project": _TEXT}},
+    "context": {"required": ["query"], "properties": {"query": _TEXT, "known_files": {"type": "array", "maxItems": 50}, "max_chars": {"type": "integer", "minimum": 1, "maximum": Limits.CONTEXT_CHARS}, "debug": {"type": "boolean"}, "project": _TEXT}},
+    "node": {"required": ["name"], "properties": {"name": _TEXT, "project": _TEXT}},
+    "trace": {"required": ["start", "target"], "properties": {"start": _TEXT, "target": _TEXT, "depth": {"type": "integer", "minimum": 1, "maximum": Limits.DEPTH}, "project": _TEXT}},
+    "status": {"required": [], "properties": {"storage": {"type": "boolean"}, "freshness": {"type": "boolean"}, "project": _TEXT}},
 }
 
 
@@ -50,10 +51,11 @@ def check_arguments(tool: str, arguments: dict[str, Any]) -> None:
 
 def call(engine: Engine, tool: str, arguments: dict[str, Any]) -> Any:
     check_arguments(tool, arguments)
+    engine = project_engine(engine, arguments["project"]) if arguments.get("project") else engine
     if tool == "search":
-        return [r.asDict(True) for r in engine.search(arguments["query"], arguments.get("limit"), arguments.get("mode", "auto")).collect()]
+        return [r.asDict(True) for r in engine.agent_search(arguments["query"], arguments.get("limit"), arguments.get("mode", "auto")).collect()]
     if tool == "context":
-        return engine.agent_context(arguments["query"], arguments.get("known_files", ()), arguments.get("debug", False))
+        return engine.agent_context(arguments["query"], arguments.get("known_files", ()), arguments.get("debug", False), arguments.get("max_chars"))
     if tool == "node":
         return engine.node(arguments["name"])
     if tool == "trace":
@@ -105,6 +107,12 @@ def serve(engine: Engine, lines: TextIO = sys.stdin, out: TextIO = sys.stdout) -
             print(json.dumps(answer), file=out, flush=True)
 
 
-def inside(root: str, path: str) -> bool:
-    """Whether a project path lies under the served root."""
-    return Path(path).resolve().is_relative_to(Path(root).resolve())
+def project_engine(engine: Engine, path: str) -> Engine:
+    """The engine of a project folder, which must lie under the served root; the root itself is the engine's own."""
+    root = Path(engine.root).resolve()
+    folder = Path(root, path).resolve()
+    if not folder.is_relative_to(root) or not folder.is_dir():
+        raise ToolError(f"project must be a folder inside {root}")
+    if folder == root:
+        return engine
+    return Engine(engine.spark, str(folder), str(folder / ".vellum" / "graph"), load_config(str(folder / ".vellum" / "config.json")))

@@ -120,7 +120,7 @@ def inside_root(path: str) -> bool:
     return not path.startswith("/")
 
 
-def check_bounds(value: Any, depth: int = Limits.JSON_DEPTH, nodes: int = Limits.JSON_NODES, longest: int | None = None) -> None:
+def check_bounds(value: Any, depth: int = Limits.JSON_DEPTH, nodes: int = Limits.JSON_NODES, longest: int | None = Limits.JSON_ARRAY) -> None:
     """Raise BoundsError if a JSON value nests too deep, has too many nodes or too long an array."""
     stack, seen = [(value, 1)], 0
     while stack:
@@ -160,6 +160,18 @@ def read_artifact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTIFACT).json(path, multiLine=True).select(F.explode("files").alias("file")).select("file.path", "file.symbols").where("path is not null")
 
 
+def ignore_store(root: str, folder: str = ".vellum") -> bool:
+    """Have the root's .gitignore leave out the store but not the settings; False if it does already."""
+    target = Path(root, ".gitignore")
+    text = target.read_text("utf-8") if target.exists() else ""
+    rules = {line.strip().removeprefix("/") for line in text.splitlines()}
+    if rules & {f"{folder}/", f"{folder}/*", f"{folder}/**", f"**/{folder}/**"}:
+        return False
+    gap = "" if not text else "\n" if text.endswith("\n") else "\n\n"
+    target.write_text(f"{text}{gap}# local graph\n{folder}/*\n!{folder}/config.json\n", "utf-8")
+    return True
+
+
 def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True).stdout
 

@@ -2,11 +2,13 @@
 
 The file source wakes a batch for new and changed files; deletions are found as every batch
 compares the whole listing with the stored paths. One batch runs at a time, so changes that
-come meanwhile are picked up by the next.
+come meanwhile are picked up by the next. A run that fails is tried again; if it fails for good,
+the query ends with its error and the batch stays uncommitted, so a restart begins with it.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -18,6 +20,8 @@ from ..engine import Engine
 from ..sources.files import qualified
 
 DEBOUNCE = "250 milliseconds"
+#: Runs of a batch before its error ends the query, and seconds between them.
+ATTEMPTS, PAUSE = 3, 1.0
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -36,10 +40,17 @@ def watch(engine: Engine, checkpoint: str, debounce: str = DEBOUNCE, on_indexed:
     changes = spark.readStream.schema(_FILE).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]*").load(qualified(spark, engine.root)).select("path", "modificationTime")
 
     def run(batch: DataFrame, epoch: int) -> None:
-        try:
-            _told(on_indexed, engine.index())
-        except Exception as error:  # noqa: BLE001  reported, and tried again with the next change
-            _told(on_error, error)
+        for attempt in range(1, ATTEMPTS + 1):
+            try:
+                done = engine.index()
+            except Exception as error:
+                _told(on_error, error)
+                if attempt == ATTEMPTS:
+                    raise
+                time.sleep(PAUSE)
+            else:
+                _told(on_indexed, done)
+                return
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=debounce)).start()

@@ -151,6 +151,27 @@ def test_markdown():
     assert markdown.parse("")["sections"][0]["heading"] is None
 
 
+def test_links():
+    text = """See [one][a], [a], mail me@x-y.org or <you@z.de>, www.e.com/x_(y). (https://f.org/q).
+
+[a]: https://defined.example/x 'Title'
+[b]: <other>
+===
+
+[c]: third
+[inline](d.md) user@host is no mail, a.b@c.de.
+[^1]: note with [link](n.md)
+
+| t | u |
+|---|---|
+| [cell](t.md) | `code` |
+"""
+    p = markdown.parse(text)
+    assert {x["url"] for x in p["md_links"]} == {"mailto:you@z.de", "http://www.e.com/x_(y)", "https://f.org/q", "mailto:me@x-y.org", "d.md", "n.md", "mailto:a.b@c.de", "t.md"}
+    assert [s["heading"] for s in p["sections"]] == [None]
+    assert [c["value"] for c in p["code"]] == ["code"]
+
+
 def test_files(spark, corpus):
     root = corpus({"a.md": "x", "node_modules/b.md": "x", "docs/.hidden/c.md": "x", "docs/d.MD": "x", "docs/e.mdx": "x", "docs/f.txt": "x", "skip/g.md": "x", "deep/skip/h.md": "x", "big.md": "y" * 600_000, ".gitignore": "# c\nskip/\n!skip/g.md\n"})
     found = lambda c: sorted(r.path for r in files.scan_markdown(spark, str(root), c).collect())

@@ -1,8 +1,9 @@
 """A line-oriented Markdown reader: headings, links, wiki links and code, with their lines.
 
 Covered: ATX and setext headings, fenced and indented code, block quotes and lists around them,
-inline code over several lines, inline links, autolinks in angle brackets and bare http(s) and
-www ones. Not covered: reference-style links (they define no link here) and nested HTML blocks.
+inline code over several lines, inline links, autolinks in angle brackets, bare http(s), www and
+mail ones, link definitions. A reference-style link names a definition and holds no URL of its
+own, so it is no link here, and neither is its definition. Not covered: nested HTML blocks.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _WIKI = re.compile(r"\[\[([^\]]+)\]\]")
 _LINK = re.compile(r"""(?<![!\\])\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\([^\s()]*\))*))(?:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|\(([^()]*)\)))?\s*\)""")
 _ANGLE = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+)>")
 _BARE = re.compile(r"(?<![A-Za-z0-9_/\"'=])(?:https?://|www\.)[^\s<]+")
+_MAIL = re.compile(r"(?<![A-Za-z0-9._+/:@-])[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z0-9_-]*[A-Za-z0-9](?![A-Za-z0-9@_-])")
+_DEFINITION = re.compile(r"""\s{0,3}\[(?!\^)(?:[^\[\]\\]|\\.)+\]:\s*(?:<[^<>\n]*>|[^\s<]\S*)(?:\s+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\([^()]*\)))?\s*$""")
 _TICKS = re.compile(r"`+")
 
 
@@ -114,18 +117,25 @@ def _inline(found: _Found, lines: list[tuple[int, int, str]]) -> None:
         found.count(2)
         if url:
             found.links.append({"text": plain(text[m.start(1) : m.end(1)]), "url": re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", url), "title": m[4] or m[5] or m[6], "line": where(m.start())[0]})
-    for pattern in (_ANGLE, _BARE):
+    for pattern in (_ANGLE, _BARE, _MAIL):
         for m in pattern.finditer(masked):
             if any(a < m.end() and m.start() < b for a, b in taken):
                 continue
             taken.append(m.span())
-            label = m[1] if pattern is _ANGLE else m[0].rstrip("?!.,:*_~'\")")
+            label = m[1] if pattern is _ANGLE else _without_tail(m[0]) if pattern is _BARE else m[0]
             scheme = "" if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", label) else "mailto:" if "@" in label else "http://"
             found.links.append({"text": label, "url": scheme + label, "title": None, "line": where(m.start())[0]})
             found.count(2)
     found.links.sort(key=lambda x: x["line"])
 
 
+def _without_tail(url: str) -> str:
+    """A bare link without the marks that end its sentence; a closing bracket stays if it was opened."""
+    while url and (url[-1] in "?!.,:*_~'\"" or (url[-1] == ")" and url.count(")") > url.count("("))):
+        url = url[:-1]
+    return url
+
+
 def _blocks(body: list[str]) -> _Found:
     found = _Found()
     paragraph: list[tuple[int, int, str]] = []
@@ -133,7 +143,13 @@ def _blocks(body: list[str]) -> _Found:
     indented: list[tuple[int, str]] = []
     in_list = html = False
 
+    def drop_definitions() -> None:
+        while paragraph and _DEFINITION.match(paragraph[0][2]):
+            paragraph.pop(0)
+            found.count()
+
     def end_paragraph() -> None:
+        drop_definitions()
         if paragraph:
             _inline(found, paragraph)
             paragraph.clear()
@@ -213,6 +229,8 @@ def _blocks(body: list[str]) -> _Found:
             found.count()
             _inline(found, [(n, column, content)])
             continue
+        if paragraph and not html and _SETEXT.match(content):
+            drop_definitions()
         if paragraph and not html and (m := _SETEXT.match(content)):
             label = "\n".join(c.strip() for _, _, c in paragraph)
             found.headings.append({"text": plain(label), "depth": 1 if m[1][0] == "=" else 2, "line": paragraph[0][0]})

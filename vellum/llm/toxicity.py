@@ -53,7 +53,7 @@ MIN_DOCS, MOST_SHARE = 6, 0.2
 RATE = 4.0
 #: Bounds of the training sample.
 MAX_ROWS, LEAST_POSITIVE = 8000, 500
-MAX_TEXT, MAX_BYTES = 4 << 20, 96 << 20
+MAX_TEXT, MAX_BYTES = 1 << 20, 48 << 20
 #: Words of training windows at most in one step.
 STEP_WORDS = 60_000
 
@@ -172,34 +172,31 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
     random = np.random.default_rng(seed)
+    speaks = _speaking(texts, buckets)
+    steps = _steps(texts, speaks)
     emb = random.normal(0, 1e-4, (buckets, DIM)).astype(np.float32)
+    emb[~speaks] = 0
     out = random.normal(0, DIM**-0.5, DIM).astype(np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     emb_sq, out_sq, bias_sq = np.full(buckets, 1e-6, np.float32), np.full(DIM, 1e-6, np.float32), 1e-6
-    steps = _steps(texts)
-    in_docs = _document_counts(steps, buckets)
-    silent = (in_docs < MIN_DOCS) | (in_docs > max(2 * MIN_DOCS, MOST_SHARE * len(y)))
-    emb[silent] = 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for k in random.permutation(len(steps)):
-            docs, codes, offsets, word, first = steps[k]
-            start, of = _windows(first, WINDOW)
-            if not len(start):
-                continue
-            sizes = np.diff(np.append(start, len(word))).astype(np.float32)
-            per_word = np.diff(offsets).astype(np.float32)
-            gathered = emb[codes]
-            words = np.add.reduceat(gathered, offsets[:-1], axis=0) / per_word[:, None]
-            mean = np.add.reduceat(words[word], start, axis=0) / sizes[:, None]
+            step = steps[k]
+            start, of = _windows(step.first, WINDOW)
+            sizes = np.diff(np.append(start, len(step.word))).astype(np.float32)
+            has = step.kept > 0
+            words = np.zeros((len(step.kept), DIM), np.float32)
+            if len(step.codes):
+                words[has] = np.add.reduceat(emb[step.codes], (np.cumsum(step.kept) - step.kept)[has], axis=0)
+            words /= step.total[:, None]
+            mean = np.add.reduceat(words[step.word], start, axis=0) / sizes[:, None]
             pooled, share = _pool((mean @ out).astype(float) + bias, of, SHARP, bias)
-            slope = 1 / (1 + np.exp(-pooled)) - y[docs]
-            g = (np.repeat(slope, np.diff(of)) * share).astype(np.float32) / len(docs) ** 0.5
+            slope = 1 / (1 + np.exp(-pooled)) - y[step.docs]
+            g = (np.repeat(slope, np.diff(of)) * share).astype(np.float32) / len(step.docs) ** 0.5
             g_out = g @ mean
-            per_window = g / sizes
-            g_word = np.bincount(word, np.repeat(per_window, sizes.astype(int)), len(offsets) - 1).astype(np.float32) / per_word
-            g_code = np.bincount(codes, np.repeat(g_word, per_word.astype(int)), buckets).astype(np.float32)
-            g_code[silent] = 0
+            g_word = np.bincount(step.word, np.repeat(g / sizes, sizes.astype(int)), len(step.kept)) / step.total
+            g_code = np.bincount(step.codes, np.repeat(g_word, step.kept), buckets).astype(np.float32)
             touched = np.flatnonzero(g_code)
             emb_sq[touched] += g_code[touched] ** 2
             move = (rate * g_code[touched] / np.sqrt(emb_sq[touched]))[:, None] * out
@@ -211,9 +208,22 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, buckets: in
     return Model(emb @ out, bias)
 
 
-def _steps(texts: list[str]) -> list[tuple]:
-    """Texts in groups of about STEP_WORDS words, with the subwords of each group's distinct words."""
-    steps, group, size = [], [], 0
+@dataclass(frozen=True)
+class _Step:
+    """A group of texts: their places and first words, the distinct word that each word is, and of
+    each distinct word how many subwords it has, how many of them speak, and which."""
+
+    docs: np.ndarray
+    first: np.ndarray
+    word: np.ndarray
+    total: np.ndarray
+    kept: np.ndarray
+    codes: np.ndarray
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in groups of about STEP_WORDS words: places, first words, words, and the subwords of distinct words with their offsets."""
+    group, size = [], 0
     for i, text in enumerate(texts):
         group.append(i)
         size += len(text) // 5
@@ -222,21 +232,30 @@ def _steps(texts: list[str]) -> list[tuple]:
             starts, ends, first = word_spans(raw, at)
             if len(starts):
                 data, bounds, word = distinct_words(raw, starts, ends)
-                codes, offsets = subwords(data, bounds)
-                steps.append((np.array(group), codes.astype(np.int32), offsets, word, first))
+                yield np.array(group), first, word, *subwords(data, bounds)
             group, size = [], 0
-    return steps
 
 
-def _document_counts(steps: list[tuple], buckets: int) -> np.ndarray:
-    """In how many training documents each bucket is."""
+def _speaking(texts: list[str], buckets: int) -> np.ndarray:
+    """Whether a bucket is in neither too few nor too many training documents."""
     counts = np.zeros(buckets, np.int32)
-    for _, codes, offsets, word, first in steps:
+    for _, first, word, codes, offsets in _groups(texts):
         for a, b in zip(first[:-1], first[1:], strict=True):
             own = np.unique(word[a:b])
             if len(own):
                 counts[np.unique(np.concatenate([codes[offsets[w] : offsets[w + 1]] for w in own]))] += 1
-    return counts
+    return (counts >= MIN_DOCS) & (counts <= max(2 * MIN_DOCS, MOST_SHARE * len(texts)))
+
+
+def _steps(texts: list[str], speaks: np.ndarray) -> list[_Step]:
+    """All groups, with the subwords that speak: what a task holds is a fraction of all subwords."""
+    steps = []
+    for group, first, word, codes, offsets in _groups(texts):
+        total = np.diff(offsets)
+        heard = speaks[codes]
+        kept = np.add.reduceat(heard.astype(np.int32), offsets[:-1])
+        steps.append(_Step(group, first.astype(np.int32), word.astype(np.int32), total.astype(np.float32), kept, codes[heard].astype(np.int32)))
+    return steps
 
 
 def sample_sizes(positive: int, negative: int) -> tuple[int, int, float]:
@@ -282,7 +301,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = [k for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 score = score_texts(part.column("text"), model)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in others), pa.array(score, pa.float64())], names=[*(batch.schema.names[k] for k in others), "score"])
 

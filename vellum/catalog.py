@@ -27,10 +27,13 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_docs  # noqa: F401  registers the queries over a corpus of documents
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, sql in ORACLES.items() if name in QUERIES}
 
 
@@ -684,13 +687,13 @@ def _page_markdown(spark, d):
 
 @query
 def graph_build(spark, d):
-    graph = graphs.build_graph(parse_documents(_page_markdown(spark, d)))
+    graph = graphs.build_graph(storage.cut(parse_documents(_page_markdown(spark, d))))
     return graph.edges.groupBy("kind", "provenance").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
 @query
 def graph_entities(spark, d):
-    graph = graphs.build_graph(parse_documents(_page_markdown(spark, d)))
+    graph = graphs.build_graph(storage.cut(parse_documents(_page_markdown(spark, d))))
     return graph.entities.select("id", "name", "kind")
 
 

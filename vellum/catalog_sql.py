@@ -122,6 +122,19 @@ super AS (SELECT DISTINCT l.target, l.page_id AS by_page FROM linked l JOIN stat
 named AS (SELECT target, string_agg('p/' || by_page, ',' ORDER BY 'p/' || by_page) AS by_paths FROM super GROUP BY target)"""
 )
 
+#: FNV-1a of 32 bits over characters below 0x10000.
+_FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT)"
+_NAMES = (
+    r"\b(?:GET|POST|PUT|PATCH|DELETE)\s+/[A-Za-z0-9_./:{}-]+|/[A-Za-z0-9_./:{}-]+",
+    r"\b(?:[A-Z][A-Za-z0-9]+Error|ERR_[A-Z0-9_]+|[A-Z]+_[0-9]{3,}|[A-Z]+_[A-Z0-9_]*ERROR[A-Z0-9_]*)\b",
+    r"\b(?:[A-Z][A-Z0-9_]{2,}|[a-z][a-z0-9]*(?:\.[a-z][a-z0-9]*){2,})\b",
+    r"\b(?:npm|pnpm|yarn|go|cargo|docker|kubectl|node|npx)\s+[^\n`]+",
+    r"\b[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?\(\)",
+    r"\b[A-Z][A-Za-z0-9]+(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?\b",
+)
+_TRIGGERS = [f"SELECT conv_id, turn, unnest(regexp_extract_all(text, '{n}')) AS name FROM conversations" for n in _NAMES]
+_TRIGGERS.append(r"SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?:^|\s)([A-Za-z0-9_@.-]+/[A-Za-z0-9_@./-]+\.(?:ts|tsx|js|jsx|md|mdx|json|yaml|yml|toml|rs|go|py|java|cs|sql))', 1)) AS name FROM conversations")
+
 ORACLES: dict[str, str] = {
     "doc_ids_hashes": rf"""WITH {_DOCS} SELECT doc_id, id, sha256(text) AS hash,
   greatest(1, ceil((length(text) + length(regexp_replace(text, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g'))) / 4.0))::BIGINT AS tokens FROM docs""",
@@ -237,17 +250,6 @@ SELECT code, count(*) AS n FROM w GROUP BY code ORDER BY n DESC, code LIMIT 5"""
     "khop_neighbors": f"""WITH RECURSIVE {_STAR}, e AS (SELECT from_id AS a, to_id AS b FROM star WHERE kind <> 'CONTAINS' UNION SELECT to_id, from_id FROM star WHERE kind <> 'CONTAINS'),
 hop AS (SELECT 'nation:3' AS node_id, 0 AS depth UNION SELECT e.b, depth + 1 FROM hop JOIN e ON e.a = node_id WHERE depth < 2)
 SELECT node_id, min(depth)::BIGINT AS depth FROM hop GROUP BY node_id""",
-    "bfs_trace": f"""WITH RECURSIVE {_STAR}, e AS (
-  SELECT from_id AS a, to_id AS b, kind, weight, confidence, from_id || to_id AS k FROM star WHERE kind IN ('DEPENDS_ON', 'CONTAINS') UNION SELECT to_id, from_id, kind, weight, confidence, from_id || to_id FROM star WHERE kind IN ('DEPENDS_ON', 'CONTAINS')
-), who AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 1),
-ends AS (SELECT (SELECT 'customer:' || c_custkey FROM who) AS s, (SELECT 'supplier:' || min(s_suppkey) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN who ON nation.n_regionkey = who.n_regionkey AND s_nationkey <> c_nationkey) AS t),
-walk AS (
-  SELECT s AS node, 0 AS depth, [s] AS seen, []::VARCHAR[] AS kinds FROM ends
-  UNION ALL SELECT e.b, depth + 1, list_append(seen, e.b), list_append(kinds, e.kind) FROM walk JOIN e ON e.a = walk.node
-  WHERE depth < 5 AND NOT list_contains(seen, e.b) AND (e.b = (SELECT t FROM ends) OR NOT (starts_with(e.b, 'customer:') OR starts_with(e.b, 'supplier:')))
-    AND walk.node <> (SELECT t FROM ends)
-), best AS (SELECT kinds FROM walk WHERE node = (SELECT t FROM ends) ORDER BY depth, kinds LIMIT 1)
-SELECT generate_subscripts(kinds, 1)::BIGINT AS step, unnest(kinds) AS kind FROM best""",
     "roundrobin_order": f"""WITH {_DOCS}, r AS (SELECT doc_id, source, row_number() OVER w AS turn, first_value(n_chars) OVER w AS best, first_value(doc_id) OVER w AS tie FROM docs WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id))
 SELECT doc_id, row_number() OVER (ORDER BY turn, best DESC, tie, source) AS pos FROM r""",
     "budget_pack": """WITH p AS (SELECT conv_id, turn, length(text) AS size, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM conversations)
@@ -273,5 +275,14 @@ SELECT code, count(*) AS n FROM errors GROUP BY code""",
     "graphjson_edges": f"""WITH {_STAR} SELECT from_id, to_id, kind FROM star WHERE regexp_matches(from_id, '^(supplier|nation):') AND regexp_matches(to_id, '^(supplier|nation):')""",
     "source_bridge": f"""WITH {_PAGES}, r AS (SELECT DISTINCT 'p/' || page_id AS path, lower(word) AS np FROM words), f AS (SELECT DISTINCT lower(regexp_replace(href, '^/', '')) AS np FROM hrefs)
 SELECT path, f.np IS NOT NULL AS matched, f.np AS artifact_path FROM r LEFT JOIN f USING (np)""",
+    "search_full": rf"""WITH {_bm25(["the", "license", "apache"])}, {_TIERS}, best AS (SELECT doc_id, score, row_number() OVER (ORDER BY ranked.score, cid) AS rank
+  FROM (SELECT r.doc_id, r.score, 'chunk:' || substr(sha1('chunk:' || 'section:' || substr(sha1('section:' || id || ':root'), 1, 20) || ':content'), 1, 20) AS cid FROM ranked r JOIN docs USING (doc_id)) ranked),
+scored AS (SELECT t.path, rank, round(100 - score + {_ADJUST} + round(1000.0 / (60 + rank), 4), 4) AS score FROM best JOIN tiers t USING (doc_id) WHERE rank <= 40)
+SELECT path, round(score, 3) AS score, 'full-text content match; RRF fusion (fts#' || rank || ')' AS reason FROM scored ORDER BY scored.score DESC, rank LIMIT 20""",
+    "hash_embedding": rf"""WITH w AS (SELECT conv_id || '-' || turn AS turn_id, unnest(regexp_extract_all(lower(text), '{_W}')) AS w FROM conversations),
+t AS (SELECT turn_id, unnest(string_split(w, '_')) AS token FROM w), n AS (SELECT turn_id, token, 2 * count(*) AS n FROM t WHERE length(token) > 1 AND token NOT IN ('and', 'or', 'not', 'near') GROUP BY ALL),
+h AS (SELECT turn_id, n, length(token) AS len, {_FNV.format("token")} % 64 AS pos, {_FNV.format("'sign:' || token")} % 2 AS odd FROM n)
+SELECT turn_id, pos::BIGINT AS "at", round(sum(n * (CASE odd WHEN 0 THEN 1 ELSE -1 END) * (1 + ln(len))), 4) + 0.0 AS weight FROM h GROUP BY turn_id, pos""",
+    "entity_trigger_lines": rf"""WITH t AS ({" UNION ".join(_TRIGGERS)}) SELECT name, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, trim(name) AS name FROM t) WHERE name <> '' GROUP BY name""",
     "folded_terms": rf"WITH {_PAGES} SELECT page_id, strip_accents(lower(h1)) AS folded, len(regexp_extract_all(strip_accents(lower(h1)), '{_TERM}'))::BIGINT AS terms FROM words",
 }

@@ -135,7 +135,7 @@ class Engine:
         """What a name means, with the edges of an unambiguous node: SHOWN at most are listed, all are counted."""
         graph = self.graph()
         candidates = traverse.resolve_node(graph, value)
-        found = [r.asDict() for r in candidates.orderBy("place").limit(SHOWN).collect()]
+        found = [r.asDict() for r in candidates.orderBy("at", "id").limit(SHOWN).collect()]
         if not found:
             return {"status": "not_found", "candidates": [], "edges": []}
         if found[0]["ambiguous"]:
@@ -150,7 +150,7 @@ class Engine:
 
     def trace(self, start: str, target: str, depth: int = 6) -> dict[str, Any]:
         graph = self.graph()
-        ends = [traverse.resolve_node(graph, x).orderBy("place").limit(2).collect() for x in (start, target)]
+        ends = [traverse.resolve_node(graph, x).orderBy("at", "id").limit(2).collect() for x in (start, target)]
         for name, rows in zip((start, target), ends, strict=True):
             if not rows:
                 return {"found": False, "steps": [], "message": f"Node not found: {name}"}

@@ -75,7 +75,7 @@ def evaluate_case(index: SearchIndex, case: Case, config: Config | None = None,
     steps, success = [], None
     if case.trace:
         start, end, depth, kinds = case.trace
-        ends = [resolve_node(graph, x).orderBy("place").limit(1).collect() for x in (start, end)]
+        ends = [resolve_node(graph, x).orderBy("at", "id").limit(1).collect() for x in (start, end)]
         steps = trace(graph.edges, ends[0][0].id, ends[1][0].id, depth).collect() if all(ends) else []
         same = all(ends) and ends[0][0].id == ends[1][0].id
         success = bool(steps or same) and covered(kinds, [s.kind for s in steps]) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_entity, normalize_path, slugify, trimmed
+from ..functions.text import normalize_path, slugify, trimmed
 from ..plans import storage
 from ..plans.graph import Graph
 from .stats import undirected
@@ -17,38 +17,41 @@ def incident_edges(edges: DataFrame, node_id: str) -> DataFrame:
 
 
 def resolve_node(graph: Graph, value: str) -> DataFrame:
-    """Candidates of the first rule that finds any: id, kind, label, rule, ambiguous and their place in order.
+    """Candidates of the first rule that finds any: id, kind, label, rule, ambiguous, and at, by which they are in order.
 
-    Rules: any node's id; path#anchor; document path (with or without extension), title or
-    front-matter id; source path; section heading or anchor; entity name. Only sections can be
-    ambiguous, and then all of them come back; elsewhere the first match by id is taken.
+    Rules: any node's id; path#anchor, with or without an extension; document path or title;
+    source path; section heading or anchor; entity name. Case doesn't count. Only a heading that
+    several sections have is ambiguous, and then all of them come back; elsewhere the first
+    match by path and line, or by id, is taken.
     """
-    spark = graph.documents.sparkSession
-    ask = F.lit(value)
-    low, path = F.lower(trimmed(ask)), normalize_path(trimmed(ask))
     docs, sections = graph.documents, graph.sections
-    found = docs.where(F.col("id") == ask).select("id", F.lit("document").alias("kind"), F.col("title").alias("label"), F.lit(1).alias("rule"), F.col("path").alias("at"))
-    for rows, kind, label in ((sections, "section", "heading"), (graph.entities, "entity", "name"), (graph.source_refs, "source_ref", "path"), (graph.chunks, "chunk", "metadata.heading")):
-        found = found.unionByName(rows.where(F.col("id") == ask).select("id", F.lit(kind).alias("kind"), F.col(label).alias("label"), F.lit(1).alias("rule"), F.col("id").alias("at")))
-    located = sections.join(docs.select(F.col("id").alias("document_id"), "path"), "document_id")
-    if "#" in value:
-        file, _, anchor = value.partition("#")
-        paths = [file, f"{file}.md", f"{file}.mdx"]
-        spot = (F.col("anchor") == anchor) | (F.col("anchor") == slugify(F.lit(anchor))) | (F.lower("heading") == anchor.lower())
-        found = found.unionByName(located.where(normalize_path(F.lit(file)).isin(paths) & F.col("path").isin([p.replace("\\", "/").removeprefix("./") for p in paths]) & spot).select("id", F.lit("section").alias("kind"), F.col("heading").alias("label"), F.lit(2).alias("rule"), F.concat_ws("#", "path", "anchor").alias("at")))
-    title = (F.lower("title") == low) | (F.col("metadata.frontmatter_id") == trimmed(ask))
-    by_path = F.col("path").isin(value) | (F.col("path") == path) | F.col("path").isin(f"{value}.md", f"{value}.mdx")
-    found = found.unionByName(docs.where(by_path | title).select("id", F.lit("document").alias("kind"), F.col("title").alias("label"), F.lit(3).alias("rule"), F.concat(F.when(by_path, "0").otherwise("1"), "path").alias("at")))
-    found = found.unionByName(graph.source_refs.where(F.col("normalized_path") == F.lower(path)).select("id", F.lit("source_ref").alias("kind"), F.col("path").alias("label"), F.lit(4).alias("rule"), F.col("path").alias("at")))
-    heading = (F.lower("heading") == low) | (F.col("anchor") == slugify(ask))
-    found = found.unionByName(located.where(heading).select("id", F.lit("section").alias("kind"), F.col("heading").alias("label"), F.lit(5).alias("rule"), F.concat_ws("#", "path", "anchor").alias("at")))
-    found = found.unionByName(graph.entities.where(F.col("normalized_name") == normalize_entity(ask)).select("id", F.lit("entity").alias("kind"), F.col("name").alias("label"), F.lit(6).alias("rule"), F.concat_ws(":", "kind", "id").alias("at")))
-    first = found.agg(F.min("rule").alias("rule")).where("rule is not null")
-    kept = found.join(F.broadcast(first), "rule")  # one row
-    place = Window.partitionBy("rule").orderBy(F.coalesce("at", F.lit("")), "id")
-    counted = kept.withColumns({"n": F.count("*").over(Window.partitionBy("rule")), "place": F.row_number().over(place)})
-    ambiguous = (F.col("n") > 1) & F.col("rule").isin(2, 5)
-    return counted.withColumn("ambiguous", ambiguous).where("ambiguous or place = 1").select("id", "kind", "label", "rule", "ambiguous", "place")
+    ask = F.lit(value)
+    bare = trimmed(ask)
+    low = F.lower(bare)
+
+    def rows(df: DataFrame, kind: str, label: str, rule: int, *at: str) -> DataFrame:
+        return df.select("id", F.lit(kind).alias("kind"), F.col(label).alias("label"), F.lit(rule).alias("rule"), F.struct(*(F.col(c).cast("string").alias(f"at{k}") for k, c in enumerate((*at, *["id"] * (2 - len(at)))))).alias("at"))
+
+    chunks = graph.chunks.withColumn("label", F.col("id"))
+    found = rows(docs.where(F.col("id") == bare), "document", "title", 1)
+    for df, kind, label in ((sections, "section", "heading"), (graph.entities, "entity", "name"), (graph.source_refs, "source_ref", "path"), (chunks, "chunk", "label")):
+        found = found.unionByName(rows(df.where(F.col("id") == bare), kind, label, 1))
+    located = sections.join(docs.select(F.col("id").alias("document_id"), "path"), "document_id").withColumn("line", F.lpad(F.col("start_line").cast("string"), 12, "0"))
+    file, hash_, anchor = value.partition("#")
+    if hash_ and file.strip() and anchor.strip():
+        wanted = F.lower(F.regexp_replace(normalize_path(trimmed(F.lit(file))), r"^\./", ""))
+        stem = F.regexp_replace(wanted, r"\.mdx?\z", "")
+        paths = F.array(wanted, F.concat(stem, F.lit(".md")), F.concat(stem, F.lit(".mdx")))
+        found = found.unionByName(rows(located.where(F.array_contains(paths, F.lower("path")) & (F.lower("anchor") == slugify(F.lit(anchor.strip())))), "section", "heading", 2, "path", "line"))
+    found = found.unionByName(rows(docs.where((F.lower("path") == low) | (F.lower("title") == low)), "document", "title", 3, "path"))
+    found = found.unionByName(rows(graph.source_refs.where(F.col("normalized_path") == low), "source_ref", "path", 4, "path"))
+    found = found.unionByName(rows(located.where((F.lower("heading") == low) | (F.lower("anchor") == slugify(bare))), "section", "heading", 5, "path", "line"))
+    found = found.unionByName(rows(graph.entities.where(F.col("normalized_name") == low), "entity", "name", 6, "kind"))
+    found = found.where(bare != "")
+    per_rule = found.groupBy("rule").agg(F.count("*").alias("n"), F.min(F.struct("at", "id")).alias("first"))
+    best = per_rule.agg(F.min(F.struct("rule", "n", "first")).alias("best")).where("best is not null").select("best.*")
+    kept = found.join(F.broadcast(best), "rule").withColumn("ambiguous", (F.col("n") > 1) & (F.col("rule") == 5))  # best is one row
+    return kept.where(F.col("ambiguous") | (F.struct("at", "id") == F.col("first"))).select("id", "kind", "label", "rule", "ambiguous", "at")
 
 
 def khop(edges: DataFrame, seeds: DataFrame, depth: int, skip: tuple[str, ...] = ("CONTAINS",), fan_out: int | None = None) -> DataFrame:

@@ -226,7 +226,6 @@ def _blocks(body: list[str]) -> _Found:
             end_paragraph()
             label = m[2] or ""
             found.headings.append({"text": plain(label), "depth": len(m[1]), "line": n})
-            found.count()
             _inline(found, [(n, column, content)])
             continue
         if paragraph and not html and _SETEXT.match(content):
@@ -234,7 +233,6 @@ def _blocks(body: list[str]) -> _Found:
         if paragraph and not html and (m := _SETEXT.match(content)):
             label = "\n".join(c.strip() for _, _, c in paragraph)
             found.headings.append({"text": plain(label), "depth": 1 if m[1][0] == "=" else 2, "line": paragraph[0][0]})
-            found.count()
             end_paragraph()
             continue
         if _RULE.match(content):

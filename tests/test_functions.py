@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import random
 import re
 
 import pytest
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from vellum.config import Config, ConfigError, merge
 from vellum.functions import entities as E
 from vellum.functions.text import cjk_ngrams, fnv1a, fnv1a_of, fold, index_content, normalize_entity, prefix_terms, query_tokens, query_tokens_of, slugify, stable_id, token_estimate
-from vellum.operators import context, paired, search, stats, vectors
+from vellum.operators import context, paired, search, stats, traverse, vectors
 from vellum.operators.risks import risk_lines, risks_of
-from vellum.plans import resolve, store
+from vellum.plans import resolve, storage, store
 from vellum.sources import files, frontmatter, markdown
 
 TEXTS = ["Hello snake_case WORLD and or x", "", "会话管理 SessionStore 設計", "カタカナ", "한국어 검색", "éÉ École naïve", "a_b__c 12 near", "😀 emoji_token", "The the THE"]
@@ -99,7 +100,8 @@ def test_scores(spark):
     boosts = {(r.key, r.channels): r.boost for r in fused.collect()}
     assert boosts == {("k", "fts#1, semantic#2"): round(1000 / 61 + 1000 / 62, 4), ("j", "fts#2"): round(1000 / 62, 4)}
     assert search.agent_mode("short", 10, Config()) == {"limit": 8, "max_depth": 2, "max_chars": 16000}
-    assert search.agent_mode("one two three four five six seven", 1000, Config())["limit"] == 20
+    assert search.agent_mode("one two three four five six seven", 1000, Config()) == {"limit": 20, "max_depth": 3, "max_chars": 28_000}
+    assert search.agent_mode("short", 10, Config(), max_chars=77)["max_chars"] == 77 and search.agent_mode("short", 10, Config(), 1)["max_chars"] == 28_000
     assert search.query_entity_candidates("use `a b` with SessionStore.get and API_KEY at /v1/x") == ["a b", "SessionStore.get", "API_KEY", "/v1/x"]
 
 
@@ -185,6 +187,10 @@ def test_files(spark, corpus):
         files.parse_json("[" * 200 + "]" * 200)
     with pytest.raises(files.BoundsError):
         files.parse_json("[1,2,3]", longest=2)
+    with pytest.raises(files.BoundsError):
+        files.check_bounds([0] * 1_000_001, nodes=2_000_000)
+    assert files.ignore_store(str(root)) and not files.ignore_store(str(root))
+    assert (root / ".gitignore").read_text().endswith("\n# local graph\n.vellum/*\n!.vellum/config.json\n")
 
 
 def test_config():
@@ -209,6 +215,119 @@ def test_packing_order():
     assert context.trim_to_budget("abcdef   gh", 9) == "abcdef..." and context.trim_to_budget("abcd", 3) == "abc" and context.trim_to_budget("ab", 5) == "ab"
 
 
+def plain_trace(edges, start, target, depth):
+    """Breadth first by hand: nodes in the order in which they are found, best edges first."""
+    found, order = {start: None}, [start]
+    for _ in range(depth):
+        new = []
+        for node in order:
+            ends = [(e, e[2] if e[1] == node else e[1]) for e in edges if node in e[1:3]]
+            for e, other in sorted(ends, key=lambda x: (-x[0][4], -x[0][5], x[0][0])):
+                if other not in found:
+                    found[other] = (node, e)
+                    new.append(other)
+        order = new
+        if target in found:
+            break
+    steps = []
+    while target in found and found[target]:
+        target, edge = found[target]
+        steps.append(edge[0])
+    return steps[::-1]
+
+
+def random_graph(seed, nodes=40, n=70):
+    rng = random.Random(seed)
+    kinds = ["DEFINES", "REFERENCES", "LINKS_TO", "CONTAINS", "DEPENDS_ON"]
+    return [(f"e{i:03}", f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}", rng.choice(kinds), rng.choice([4.0, 7.0, 9.0]), rng.choice([0.6, 1.0]), "x") for i in range(n)]
+
+
+EDGE = "id string, from_id string, to_id string, kind string, weight double, confidence double, provenance string"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_trace_is_that_of_a_plain_program(spark, seed):
+    edges = random_graph(seed)
+    table = spark.createDataFrame(edges, EDGE).cache()
+    lengths = set()
+    for target in ("n1", "n2", "n3", "n4", "gone"):
+        got = traverse.trace(table, "n0", target, 5).collect()
+        assert [r.edge_id for r in got] == plain_trace(edges, "n0", target, 5)
+        assert all((r.direction == "forward") == (r.edge_from == r.from_id) for r in got)
+        lengths.add(len(got))
+    assert len(lengths) > 1 and traverse.trace(table, "n0", "n0", 5).collect() == []
+
+
+def plain_walk(edges, seeds, max_depth, room):
+    """Best first by hand, one edge at a time."""
+    queue = [(node, 0, score) for node, score in seeds]
+    visited, out = {s for s, _ in seeds}, []
+    counts = dict.fromkeys(context.COUNTERS, 0) | {"seedNodes": len(seeds)}
+    while queue:
+        queue.sort(key=lambda q: -q[2])
+        node, depth, score = queue.pop(0)
+        if depth >= max_depth:
+            counts["skippedByDepth"] += 1
+            continue
+        ends = [(e, e[2] if e[1] == node else e[1]) for e in edges if node in e[1:3] and e[3] != "CONTAINS"]
+        for e, other in sorted(ends, key=lambda x: (-x[0][4] * x[0][5], -x[0][4], -x[0][5], x[0][0])):
+            if other in visited:
+                counts["skippedVisitedNodes"] += 1
+            elif len(out) >= room:
+                counts["skippedByNodeLimit"] += 1
+            else:
+                counts["expandedEdges"] += 1
+                visited.add(other)
+                item = (other, depth + 1, score + e[4] * e[5] - 2 * (depth + 1))
+                out.append(item)
+                queue.append(item)
+    return out, counts | {"visitedNodes": len(visited)}
+
+
+@pytest.mark.parametrize(("seed", "depth", "room"), [(4, 2, 12), (5, 3, 60), (6, 1, 3)])
+def test_walk_is_that_of_a_plain_program(spark, seed, depth, room):
+    edges = random_graph(seed)
+    seeds = [("n0", 50.0), ("n5", 50.0), ("n7", 41.0)]
+    graph = type("Graph", (), {"edges": spark.createDataFrame(edges, EDGE).cache()})()
+    labels = spark.createDataFrame([(f"n{i}", f"label {i}") for i in range(40)], "id string, label string")
+    reached, counts = context._walk(graph, labels, [context._Walk(n, s) for n, s in seeds], depth, room)
+    want, totals = plain_walk(edges, seeds, depth, room)
+    assert [(w.node, w.depth, pytest.approx(w.score)) for w in reached] == want
+    assert {k: counts[k] for k in context.COUNTERS} == totals
+    assert all(w.path[-1]["toId"] == w.node and len(w.path) == w.depth for w in reached)
+
+
+def test_names_and_headings_are_not_cut(spark):
+    """More sections of one heading, and more entities of one query, than any listing shows."""
+    documents = spark.range(1500).select(F.concat(F.lit("d"), "id").alias("id"), F.format_string("p/%05d.md", "id").alias("path"), F.concat(F.lit("T"), "id").alias("title"))
+    sections = spark.range(1500).select(F.concat(F.lit("s"), "id").alias("id"), F.concat(F.lit("d"), "id").alias("document_id"), F.lit("overview").alias("anchor"), F.lit("Overview").alias("heading"), F.lit(1).alias("start_line"))
+    entities = spark.createDataFrame([("x", "X", "x", "symbol")], "id string, name string, normalized_name string, kind string")
+    refs = spark.createDataFrame([], "id string, path string, normalized_path string")
+    chunks = spark.createDataFrame([], "id string")
+    graph = type("Graph", (), {"documents": documents, "sections": sections, "entities": entities, "source_refs": refs, "chunks": chunks})()
+    found = traverse.resolve_node(graph, "OVERVIEW")
+    assert found.count() == 1500 and found.where("ambiguous").count() == 1500
+    assert [r.id for r in found.orderBy("at", "id").limit(3).collect()] == ["s0", "s1", "s2"]
+    assert [r.id for r in traverse.resolve_node(graph, "t7").collect()] == ["d7"] and traverse.resolve_node(graph, " ").collect() == []
+
+
+def test_numbered(spark):
+    rows = spark.range(5000).withColumn("v", F.col("id") * 7919 % 5003).repartition(7)
+    got = storage.numbered(rows, [F.col("v").desc()], "place").collect()
+    assert sorted(r.place for r in got) == list(range(1, 5001))
+    assert [r.v for r in sorted(got, key=lambda r: r.place)] == sorted((r.v for r in got), reverse=True)
+
+
+def test_pointer_survives_a_broken_write(spark, tmp_path):
+    at = f"{tmp_path}/_current.json"
+    storage.write_text(spark, at, "one")
+    storage.write_text(spark, at, "two")
+    assert storage.read_text(spark, at) == "two"
+    (tmp_path / "_current.json").rename(tmp_path / "_current.json.next")
+    storage.recover(spark, at)
+    assert storage.read_text(spark, at) == "two"
+
+
 def record(i, question, mode, **more):
     base = {"id": i, "question_id": question, "question": f"about {question} ", "mode": mode, "tool_calls": [], "direct_file_reads": [], "final_citations": []}
     return base | more

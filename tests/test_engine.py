@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from vellum.config import Config
 from vellum.engine import Engine
-from vellum.operators import export, health
+from vellum.operators import evaluate, export, health
+from vellum.operators.query_sets import query_set
 from vellum.serve import respond
+from vellum.streaming import watch as streaming
 from vellum.streaming.watch import watch
 
 DOCS = {
@@ -150,6 +152,18 @@ def test_search_and_context(engine):
     assert engine.search("!!!", mode="keyword").collect() == []
 
 
+def test_query_sets_and_evaluation(engine):
+    assert [len(query_set(n)) for n in ("alpha", "ecc", "cjk")] == [10, 8, 5]
+    assert query_set("alpha")[0].trace == ("LoginFlow", "RedisTimeoutError", 6, ("DEPENDS_ON",))
+    with pytest.raises(ValueError, match="unknown query set"):
+        query_set("beta")
+    cases = [evaluate.Case("a", "SessionStore rotation", ("docs/session.md",), (("docs/token.md", "Rotation"),), ("SessionStore",), ("DEPENDS_ON",), ("src/token.ts",), ("docs/session.md", "docs/token.md", 3, ("DEPENDS_ON",))), evaluate.Case("b", "nothing of the kind", ("no.md",))]
+    found = engine.evaluate(cases)
+    metrics = found["results"][0].metrics
+    assert metrics["document_recall"] == metrics["entity_recall"] == metrics["edge_coverage"] == metrics["source_ref_recall"] == 1 and metrics["trace_success"] and metrics["budget_fit"]
+    assert found["summary"]["cases"] == 2 and found["summary"]["failed"] >= 1
+
+
 def test_nodes_and_traces(engine):
     assert engine.node("Session Design")["node"]["kind"] == "document"
     assert engine.node("docs/token.md#rotation")["node"]["label"] == "Rotation"
@@ -208,6 +222,11 @@ def test_status_and_serving(engine):
     answer = respond(engine, json.dumps({"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "node", "arguments": {"name": "KeyRing"}}}))
     assert json.loads(answer["result"]["content"][0]["text"])["status"] == "found"
     assert respond(engine, '{"jsonrpc":"2.0","id":3,"method":"tools/call","params":{"name":"node","arguments":{"name":"x","more":1}}}')["error"]["code"] == -32602
+    ask = lambda tool, **arguments: respond(engine, json.dumps({"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": tool, "arguments": arguments}}))
+    packed = json.loads(ask("context", query="SessionStore rotation", max_chars=50)["result"]["content"][0]["text"])
+    assert packed["maxChars"] == 50 and packed["usedChars"] <= 50
+    assert json.loads(ask("search", query="rotation")["result"]["content"][0]["text"]) and ask("search", query="x", project="..")["error"]["code"] == -32602
+    assert ask("status", project="docs")["result"]["isError"]
     assert respond(engine, "{")["error"]["code"] == -32700
     assert respond(engine, " " * (1 << 20) + "x")["error"]["code"] == -32600
 
@@ -236,3 +255,32 @@ def test_watch_and_staleness(own, tmp_path):
     query = watch(own, str(tmp_path / "checkpoint"), on_indexed=seen.append, once=True)
     assert query.awaitTermination(300)
     assert seen[0]["changes"] == {"added": 1} and "docs/late.md" in ids(own)
+
+
+def test_failed_runs_are_tried_again(spark, tmp_path, monkeypatch):
+    """A batch's run fails once: it is reported and done again; if it always fails, the query ends with its error."""
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "a.md").write_text("# A\n")
+    engine = Engine(spark, str(root), str(tmp_path / "store"))
+    monkeypatch.setattr(streaming, "PAUSE", 0.0)
+    real, calls, errors = engine.index, [], []
+
+    def flaky(failing):
+        def run(full=False):
+            calls.append(1)
+            if len(calls) in failing:
+                raise RuntimeError("disk is away")
+            return real(full)
+
+        return run
+
+    monkeypatch.setattr(engine, "index", flaky({2}))
+    query = streaming.watch(engine, str(tmp_path / "one"), on_error=errors.append, once=True)
+    assert query.awaitTermination(300) and len(calls) == 3 and len(errors) == 1
+    calls.clear()
+    monkeypatch.setattr(engine, "index", flaky({2, 3, 4}))
+    query = streaming.watch(engine, str(tmp_path / "two"), on_error=errors.append, once=True)
+    with pytest.raises(Exception, match="disk is away"):
+        query.awaitTermination(300)
+    assert len(errors) == 4

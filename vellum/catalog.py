@@ -154,12 +154,6 @@ def _caps(spark, d):
     return _docs(spark, d).select("doc_id", "source", F.posexplode(E.found(F.col("text"), rf"(?<![A-Za-z0-9_]){E.CAPS_KEY}(?![A-Za-z0-9_])")).alias("pos", "name"))
 
 
-@query
-def stop_entity_filter(spark, d):
-    stops = ["the", "and", "mit"]
-    return _caps(spark, d).where(~F.lower("name").isin(stops)).groupBy("name").agg(F.count("*").alias("n"))
-
-
 @query
 def entity_dedup_first(spark, d):
     rows = _caps(spark, d).select("doc_id", "name", F.lit("config_key").alias("kind"), F.struct("doc_id", "pos").alias("emit_ord"))
@@ -173,9 +167,11 @@ def slug_headings(spark, d):
 
 @query
 def slug_dup_anchor(spark, d):
-    rows = _pages(spark, d).select("page_id", "host", slugify(F.substring_index("h1", " ", 1)).alias("slug"))
-    turn = F.row_number().over(Window.partitionBy("host", "slug").orderBy("page_id"))
-    return rows.withColumn("turn", turn).select("page_id", "host", F.when(F.col("turn") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("turn").cast("string"))).alias("anchor"))
+    """Anchors of a host's pages as sections of one document: repeated slugs are numbered in order."""
+    section = F.struct("page_id", F.substring_index("h1", " ", 1).alias("heading"), F.lit(1).alias("level"), F.col("page_id").cast("int").alias("start_line"), F.col("page_id").cast("int").alias("end_line"), F.lit("").alias("content"))
+    rows = _pages(spark, d).groupBy("host").agg(F.sort_array(F.collect_list(section)).alias("sections"))
+    documents = rows.select(F.col("host").alias("id"), F.col("host").alias("title"), F.struct(F.col("host").alias("title")).alias("front"), F.col("host").alias("base"), "sections")
+    return graphs.build_sections(documents).select(F.col("start_line").cast("long").alias("page_id"), F.col("document_id").alias("host"), "anchor")
 
 
 # Full text.
@@ -296,11 +292,6 @@ def link_resolution(spark, d):
     return _page_links(spark, d).where("node_id is not null").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "node_id")
 
 
-@query
-def dead_links(spark, d):
-    return _page_links(spark, d).where("node_id is null").groupBy("page_id").agg(F.count("*").alias("dead"))
-
-
 # Graph.
 
 
@@ -409,11 +400,8 @@ def path_group_storage(spark, d):
 
 @query
 def table_counts(spark, d):
-    parts = [_t(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("relation"), "n") for n in ("documents", "pages", "labels", "orders")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Row counts of seven relations, with the driver's tables in their places."""
+    return stats.table_counts(graphs.Graph(*(_t(spark, d, n) for n in ("documents", "pages", "labels", "orders", "lineitem", "conversations", "embeddings"))))
 
 
 # Maintenance.
@@ -435,11 +423,10 @@ def _snapshots(spark, d):
 
 @query
 def upsert_incremental(spark, d):
-    old, new = _snapshots(spark, d)
-    changes = store.changed_documents(old, new)
-    gone = changes.where("old_id is not null").select(F.col("old_id").alias("id"))
-    came = changes.where("new_id is not null").select(F.col("new_id").alias("id"))
-    return old.join(gone, "id", "left_anti").unionByName(new.join(came, "id", "left_semi")).select("id", "path", "hash")
+    """Documents after an incremental run over two states."""
+    none = spark.createDataFrame([], "id string, document_id string, section_id string, chunk_id string, normalized_name string, normalized_path string, kind string, from_id string, to_id string, provenance string")
+    old, new = (graphs.Graph(rows.select("id", "path", "hash"), *[none] * 6) for rows in _snapshots(spark, d))
+    return store.replace_documents(old, new, storage.cut(store.changed_documents(old.documents, new.documents))).documents
 
 
 @query
@@ -529,7 +516,7 @@ def lifecycle_refs(spark, d):
 
 @query
 def missing_decision(spark, d):
-    links = _hrefs(spark, d).groupBy("page_id").agg(F.collect_list(F.struct(F.concat("href", F.when(F.length("href") > 4, ".md").otherwise("")).alias("url"))).alias("md_links"))
+    links = _hrefs(spark, d).groupBy("page_id").agg(F.collect_list(F.struct(F.concat("href", F.when(F.length("href") > 24, ".md").otherwise("")).alias("url"))).alias("md_links"))
     none = F.array().cast("array<string>")
     parsed = _page_documents(spark, d).join(links, "page_id", "left").select("path", F.coalesce("md_links", F.expr("array()").cast("array<struct<url:string>>")).alias("md_links"), none.alias("wiki_links"), F.struct(F.when(F.col("lang") != "de", "adr").otherwise("spec").alias("type"), F.lit(None).cast("string").alias("status"), none.alias("depends_on"), none.alias("supersedes"), none.alias("deprecated_by")).alias("front"))
     return health.missing_decisions(parsed)

@@ -151,7 +151,6 @@ SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS uses FROM t GROUP
 SELECT doc_id, name, {_INFER.format("name")} AS kind FROM t""",
     "entity_kind_infer": rf"""WITH {_PAGES}, {_DOCS}, names AS (SELECT href AS name FROM hrefs UNION SELECT regexp_replace(href, '^/', '') FROM hrefs UNION SELECT path FROM docs)
 SELECT name, {_INFER.format("name")} AS kind FROM names""",
-    "stop_entity_filter": rf"""WITH c AS (SELECT unnest(regexp_extract_all(text, '{_CAPS}')) AS name FROM documents) SELECT name, count(*) AS n FROM c WHERE lower(name) NOT IN ('the', 'and', 'mit') GROUP BY name""",
     "entity_dedup_first": rf"""WITH c AS (SELECT doc_id, l, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{_CAPS}') AS l FROM documents)),
 f AS (SELECT lower(name) AS normalized_name, name, row_number() OVER (PARTITION BY lower(name) ORDER BY doc_id, pos) AS turn FROM c)
 SELECT 'entity:' || substr(sha1('entity:config_key:' || normalized_name), 1, 20) AS id, name, normalized_name FROM f WHERE turn = 1""",
@@ -175,7 +174,6 @@ SELECT vec_id, round(similarity, 5) AS similarity FROM s WHERE s.similarity > 0
     "href_links": f"WITH {_PAGES} SELECT page_id, pos::BIGINT AS pos, href FROM hrefs",
     "alias_ambiguity": f"WITH {_ALIASES} SELECT alias, count(*) AS claimants FROM claims GROUP BY alias HAVING count(*) > 1",
     "link_resolution": f"WITH {_ALIASES} SELECT page_id, pos::BIGINT AS pos, href, 'd' || target AS node_id FROM linked WHERE target IS NOT NULL",
-    "dead_links": f"WITH {_ALIASES} SELECT page_id, count(*) AS dead FROM linked WHERE target IS NULL GROUP BY page_id",
     "edge_build": f"""WITH {_STAR} SELECT 'edge:' || substr(sha1('edge:' || from_id || ':' || kind || ':' || to_id || ':regex'), 1, 20) AS id, from_id, to_id, kind, weight::DOUBLE AS weight, confidence::DOUBLE AS confidence
 FROM star""",
     "edge_dedup_last": """SELECT 'customer:' || l_suppkey AS from_id, 'part:' || l_partkey AS to_id, l_returnflag AS provenance, round(arg_max(l_discount, l_orderkey * 100 + l_linenumber), 4) AS confidence
@@ -202,7 +200,7 @@ SELECT o_orderkey::VARCHAR AS document_id, count(met.k) AS links, count(*) FILTE
     "definition_collisions": """SELECT lower(p_name) AS id, count(*) AS documents, string_agg('part/' || p_partkey, ',' ORDER BY 'part/' || p_partkey) AS paths FROM part GROUP BY lower(p_name) HAVING count(*) > 1""",
     "definitions_top3": """SELECT entity_id, edge_id, place FROM (SELECT p_brand AS entity_id, p_partkey AS edge_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_type, p_partkey) AS place FROM part) WHERE place <= 3""",
     "path_group_storage": f"""WITH {_DOCS} SELECT split_part(path, '/', 1) AS path_group, count(DISTINCT doc_id) AS documents, count(*) AS chunks, sum(octet_length(encode(path)) + length(text))::BIGINT AS content_bytes FROM docs GROUP BY 1""",
-    "table_counts": "SELECT 'documents' AS relation, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'orders', count(*) FROM orders",
+    "table_counts": " UNION ALL ".join(f"SELECT '{a}' AS relation, count(*) AS n FROM {b}" for a, b in (("documents", "documents"), ("sections", "pages"), ("entities", "labels"), ("source_refs", "orders"), ("edges", "lineitem"), ("chunks", "conversations"), ("vectors", "embeddings"))),
     "prune_unreferenced": "SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)",
     "upsert_incremental": f"""WITH {_SNAPS}, {_STALE}
 SELECT id, path, hash FROM old WHERE path NOT IN (SELECT path FROM stale WHERE reason IS NOT NULL) UNION ALL SELECT id, path, hash FROM new WHERE path IN (SELECT path FROM stale WHERE reason IS NOT NULL)""",
@@ -236,8 +234,8 @@ SELECT 'document.deprecated_referenced' AS code, u.path, u.pos::BIGINT AS line,
 UNION ALL SELECT 'document.superseded_referenced', u.path, u.pos::BIGINT, u.href, t.path, coalesce(n.by_paths, '') FROM used u JOIN state t ON t.page_id = u.target LEFT JOIN named n ON n.target = u.target
 WHERE t.st = 'superseded' OR n.target IS NOT NULL""",
     "missing_decision": f"""WITH {_PAGES} SELECT 'p/' || page_id AS path FROM words w WHERE lang <> 'de' AND NOT EXISTS (
-  SELECT 1 FROM hrefs h WHERE h.page_id = w.page_id AND length(href) > 4 AND NOT regexp_matches(href, '(?i)^(?:https?:|mailto:|#)'))
-  AND NOT EXISTS (SELECT 1 FROM hrefs h WHERE h.page_id = w.page_id AND length(href) <= 4 AND regexp_matches(href, '(?i)\\.mdx?|#') AND NOT regexp_matches(href, '(?i)^(?:https?:|mailto:|#)'))""",
+  SELECT 1 FROM hrefs h WHERE h.page_id = w.page_id AND length(href) > 24 AND NOT regexp_matches(href, '(?i)^(?:https?:|mailto:|#)'))
+  AND NOT EXISTS (SELECT 1 FROM hrefs h WHERE h.page_id = w.page_id AND length(href) <= 24 AND regexp_matches(href, '(?i)\\.mdx?|#') AND NOT regexp_matches(href, '(?i)^(?:https?:|mailto:|#)'))""",
     "warnings_union_sorted": f"""WITH {_ALIASES}, {_SNAPS}, {_STALE}, tags AS (SELECT DISTINCT page_id::VARCHAR AS path, regexp_replace(href, '^/', '') AS tag FROM hrefs),
 w AS (
   SELECT 'link.dead' AS code, '0' AS rank, 'p/' || page_id AS path, pos::BIGINT AS line, 'Dead link in p/' || page_id AS message FROM linked WHERE target IS NULL

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine, init_config, load_config
 from .operators import evaluate, export, health, paired
+from .operators.query_sets import SETS, query_set
 from .sources.files import ignore_store, read_json
 
 
@@ -38,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     add("context", "query", limit=int, max_chars=int, max_depth=int, known_file=str, debug=bool)
     add("node", "name")
     add("trace", "start", "target", depth=int)
-    add("eval", "cases")
+    add("eval", "cases", limit=int)
     add("benchmark", "runs")
     add("semantic-status")
     add("bundle-create", "target")
@@ -97,7 +98,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out = engine.trace(args.start, args.target, args.depth or 6)
         code = int(not out["found"])
     elif command == "eval":
-        found = engine.evaluate(read_cases(args.cases))
+        found = engine.evaluate(query_set(args.cases) if args.cases in SETS else read_cases(args.cases), args.limit)
         out = found["summary"] | {"cases": [{"id": r.case.id, "passed": r.passed, **r.metrics} for r in found["results"]]}
         code = int(found["summary"]["failed"] > 0)
     elif command == "benchmark":

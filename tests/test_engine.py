@@ -198,6 +198,14 @@ def test_exchange(engine, tmp_path):
     found = {e["code"] for e in export.verify_export(broken)["errors"]}
     assert {"graph.edge_endpoint", "graph.node_duplicate", "graph.count_mismatch", "graph.graph_hash"} <= found
     assert not export.verify_export([])["valid"]
+    manifest = engine.export_tables(str(tmp_path / "tables"))
+    assert manifest["exportedCounts"]["document"] == 4 and manifest["exportedCounts"]["edges"] == len(value["edges"])
+    assert engine.verify_tables(str(tmp_path / "tables")) == {"valid": True, "errors": [], "errorCount": 0}
+    part = next(p for p in sorted((tmp_path / "tables/edges").glob("part-*")) if p.stat().st_size)
+    (tmp_path / "tables/edges" / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_text(part.read_text().replace('"kind":"', '"kind":"X', 1))
+    assert {e["code"] for e in engine.verify_tables(str(tmp_path / "tables"))["errors"]} == {"graph.edge_kind", "graph.graph_hash"}
+    engine.write_markdown_index(str(tmp_path / "index"))
     index = {r.path: r for r in engine.site_index().collect()}
     assert "docs/token.md" in index["docs/session.md"].outbound and "docs/session.md" in index["docs/token.md"].inbound
     assert "[[docs/token.md]]" in engine.markdown_index()

@@ -44,7 +44,7 @@ def _parser() -> argparse.ArgumentParser:
     add("semantic-status")
     add("bundle-create", "target")
     add("bundle-verify", "target", against_root=bool)
-    add("export", "kind", start=str, target=str, artifact=str)
+    add("export", "kind", start=str, target=str, artifact=str, out=str)
     add("import-verify", "file")
     add("diff", base=str)
     add("report", previous=str)
@@ -112,7 +112,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out = engine.verify_bundle(args.target, args.against_root)
         code = int(not out["valid"])
     elif command == "export":
-        if args.kind == "graph":
+        if args.kind == "graph" and args.out:
+            out = engine.export_tables(args.out)
+        elif args.kind == "markdown-index" and args.out:
+            engine.write_markdown_index(args.out)
+            out = {"written": args.out}
+        elif args.kind == "graph":
             out = export.canonical_json(engine.export())
         elif args.kind == "mermaid":
             found = engine.trace(args.start, args.target)
@@ -127,7 +132,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"unknown export {args.kind}", file=sys.stderr)
             return 2
     elif command == "import-verify":
-        out = export.verify_export(read_json(args.file))
+        out = engine.verify_tables(args.file) if Path(args.file).is_dir() else export.verify_export(read_json(args.file))
         code = int(not out["valid"])
     elif command == "diff":
         out = {name: [r.asDict(True) for r in df.collect()] for name, df in engine.diff(args.base or "HEAD").items()}

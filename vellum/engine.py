@@ -198,13 +198,25 @@ class Engine:
 
     # Exchange
 
+    def export_tables(self, path: str) -> dict[str, Any]:
+        """The structural graph as tables of any size with a manifest; verify_tables() reads them back."""
+        return export.write_structural(self.graph(), path)
+
+    def verify_tables(self, path: str) -> dict[str, Any]:
+        return export.verify_structural(self.spark, path)
+
     def export(self) -> dict[str, Any]:
+        """The structural graph as one value on the driver, for a file that one reader opens; export_tables() has no such bound."""
         return export.export_graph(self.graph(), self.config)
 
     def site_index(self) -> DataFrame:
         graph = self.graph()
         return export.site_index(graph.documents.select("id", "path", "title", "type", "status", "trust_tier"), stats.owners(graph), graph.edges, stats.node_labels(graph))
 
+    def write_markdown_index(self, path: str) -> None:
+        """The Markdown index as text files in order of path, written where the rows are."""
+        export.markdown_index(self.site_index(), "").write.mode("overwrite").text(path)
+
     def markdown_index(self) -> str:
         rows = export.markdown_index(self.site_index(), "").toLocalIterator()
         return "# Index\n\n" + "\n".join(r.value for r in rows)

@@ -7,14 +7,17 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EDGE_WEIGHTS, Config
+from ..plans import storage
 from ..plans.graph import Graph
 from .stats import table_counts
 
 FORMAT, FORMAT_VERSION = "vellum-graph", 1
+NODE_SCHEMA = "id string, kind string, label string, details string"
+EDGE_SCHEMA = "id string, from_id string, to_id string, kind string, weight double, confidence double, provenance string"
 NODE_KINDS = ("document", "section", "entity", "source_ref")
 
 
@@ -75,11 +78,41 @@ def export_graph(graph: Graph, config: Config | None = None) -> dict[str, Any]:
     return value | {"graphHash": canonical_hash(value)}
 
 
-def write_structural(graph: Graph, path: str) -> None:
-    """nodes and edges as JSON lines, in the order of export, many files."""
+def table_digest(df: DataFrame) -> str:
+    """A hash of a table's rows, whatever their order and partitions: four sums over the rows' SHA-256."""
+    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+    return canonical_hash([str(x) for x in df.agg(F.count("*"), *lanes).first()])
+
+
+def structural_manifest(graph: Graph, nodes: DataFrame, edges: DataFrame) -> dict[str, Any]:
+    """What a reader holds written tables against: counts by kind and a digest of each table."""
+    kinds = {r.kind: r.n for r in nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    return {"format": FORMAT, "formatVersion": FORMAT_VERSION, "exportProfile": "structural-tables", "counts": {r.relation: r.n for r in table_counts(graph).collect()}, "exportedCounts": kinds | {"edges": edges.count()}, "nodesHash": table_digest(nodes), "edgesHash": table_digest(edges)}
+
+
+def verify_structural(spark: SparkSession, path: str) -> dict[str, Any]:
+    """valid and errors (code, subject, at most 1000 of them; errorCount counts all) of tables that write_structural() wrote."""
+    manifest = json.loads(storage.read_text(spark, f"{path}/manifest.json"))
+    nodes, edges = spark.read.schema(NODE_SCHEMA).json(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).json(f"{path}/edges")
+    found = verify_tables(nodes, edges)
+    errors = [{"code": f"graph.{r.code}", "subject": r.subject} for r in found.orderBy("code", "subject").limit(1000).collect()]
+    total = len(errors) if len(errors) < 1000 else found.count()
+    wrong = [name for name, df in (("nodesHash", nodes), ("edgesHash", edges)) if manifest.get(name) != table_digest(df)]
+    errors += [{"code": "graph.graph_hash", "subject": name} for name in wrong]
+    return {"valid": not errors, "errors": errors, "errorCount": total + len(wrong)}
+
+
+def write_structural(graph: Graph, path: str) -> dict[str, Any]:
+    """nodes and edges as JSON lines, in the order of export, many files, and a manifest beside them, which is returned."""
     nodes = graph_nodes(graph)
     nodes.repartitionByRange("kind", "sort_a", "sort_b", "sort_c", "id").sortWithinPartitions("kind", "sort_a", "sort_b", "sort_c", "id").select("id", "kind", "label", "details").write.mode("overwrite").json(f"{path}/nodes")
-    structural_edges(graph.edges, nodes).repartitionByRange("from_id", "to_id", "kind", "id").sortWithinPartitions("from_id", "to_id", "kind", "id").write.mode("overwrite").json(f"{path}/edges")
+    edges = structural_edges(graph.edges, nodes).select("id", "from_id", "to_id", "kind", "weight", "confidence", "provenance")
+    edges.repartitionByRange("from_id", "to_id", "kind", "id").sortWithinPartitions("from_id", "to_id", "kind", "id").write.mode("overwrite").json(f"{path}/edges")
+    spark = graph.edges.sparkSession
+    manifest = structural_manifest(graph, spark.read.schema(NODE_SCHEMA).json(f"{path}/nodes"), spark.read.schema(EDGE_SCHEMA).json(f"{path}/edges"))
+    storage.write_text(spark, f"{path}/manifest.json", canonical_json(manifest))
+    return manifest
 
 
 def verify_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:

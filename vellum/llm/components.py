@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large and small stars.
 
-Each round joins links with the least neighbour of each node; a node with many links is
-aggregated on the map side before it is joined. Rounds are cut through shared storage, and only
-two numbers of each come to the driver.
+Each round joins links with the least neighbour of each node. A node with many links is
+aggregated on the map side, and what it aggregates to is written before it is joined with its
+links, so that Spark may split that join at a hot node. Rounds are cut through shared storage,
+and only two numbers of each come to the driver.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = scratch.cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -35,6 +36,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         if now == was or not now[0]:
             break
         was, turn = now, turn + 1
-        links = scratch.cut(_small(_large(links)), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        links = scratch.cut(_small(_large(links, scratch, f"{name}-least-{turn}")), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}", f"{name}-least-{turn}")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.config import Config, ConfigError, merge
 from vellum.functions import entities as E
-from vellum.functions.text import cjk_ngrams, fnv1a, fnv1a_of, fold, index_content, normalize_entity, prefix_terms, query_tokens, query_tokens_of, slugify, stable_id, token_estimate
+from vellum.functions.text import cjk_ngrams, exploded_terms, fnv1a, fnv1a_of, fold, index_content, index_terms, normalize_entity, prefix_terms, query_tokens, query_tokens_of, slugify, stable_id, token_estimate
 from vellum.operators import context, paired, search, stats, traverse, vectors
 from vellum.operators.risks import risk_lines, risks_of
 from vellum.plans import resolve, storage, store
@@ -49,6 +49,12 @@ def test_slugs_and_names(spark):
     assert one(spark, slugify, ["Hello, World!", "  A -- b ", "`code` x", "中文 标题", "カナ", "---"]) == ["hello-world", "a-b", "code-x", "中文-标题", "section", "section"]
     assert one(spark, normalize_entity, [" `Abc` ", "``x``"]) == ["abc", "`x`"]
     assert one(spark, fold, ["École Ünï"]) == ["ecole uni"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "e\u0301a \u0301 x\u0301\u0301y İi ﬁn Å9_z"])], "i int, t string")
+    by_row = {r.i: sorted(r.x) for r in texts.select("i", index_terms(F.col("t")).alias("x")).collect()}
+    exploded = {}
+    for r in exploded_terms(texts, F.col("t"), "i").collect():
+        exploded.setdefault(r.i, []).append(r.term)
+    assert {i: sorted(x) for i, x in exploded.items()} == {i: x for i, x in by_row.items() if x}
 
 
 def test_entity_kinds(spark):

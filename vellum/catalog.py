@@ -180,16 +180,16 @@ def slug_dup_anchor(spark, d):
 @query
 def fts_bm25_topk(spark, d):
     chunks = _chunks(spark, d)
-    index = storage.cut(search.postings(chunks))
-    ranked = search.full_text(index, search.chunk_lengths(chunks, index), FTS_QUERY, 10)
+    index = search.term_rows(chunks)
+    ranked = search.full_text(index, storage.cut(search.chunk_lengths(chunks, index)), FTS_QUERY, 10)
     return ranked.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("rank", 6).alias("score"))
 
 
 @query
 def fts_prefix_or(spark, d):
     chunks = _chunks(spark, d)
-    index = storage.cut(search.postings(chunks))
-    ranked = search.bm25(index, search.chunk_lengths(chunks, index), FTS_PREFIXES.split())
+    index = search.term_rows(chunks)
+    ranked = search.bm25(index, storage.cut(search.chunk_lengths(chunks, index)), FTS_PREFIXES.split())
     return ranked.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("rank", 5).alias("score"))
 
 
@@ -231,7 +231,7 @@ def search_dedupe(spark, d):
 @query
 def search_full(spark, d):
     """The whole ranked search over documents as a graph of root sections."""
-    return search.search(search.written_search_index(_document_graph(spark, d)), FTS_QUERY, Config(search_limit=20)).select("path", F.round("score", 3).alias("score"), "reason")
+    return search.search(search.passing_search_index(_document_graph(spark, d)), FTS_QUERY, Config(search_limit=20)).select("path", F.round("score", 3).alias("score"), "reason")
 
 
 def _document_graph(spark, d) -> graphs.Graph:

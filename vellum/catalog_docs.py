@@ -576,7 +576,7 @@ BUDGET = 3000
 def context_known_file(spark, d):
     """A packed context for a source path that the asker knows: documents tied to it, until the budget is used up."""
     g = graph(spark, d).map(lambda name, df: storage.cut(df))
-    found = context.build_context(search.written_search_index(g), "!", Config(), max_chars=BUDGET, known_files=["src/h3.ts"])
+    found = context.build_context(search.passing_search_index(g), "!", Config(), max_chars=BUDGET, known_files=["src/h3.ts"])
     rows = [(i, x["path"], x["heading"], x["reason"], x["content"].endswith("..."), ",".join(r["path"] for r in x["sourceRefs"]), ",".join(x["riskNotes"])) for i, x in enumerate(found["items"], 1)]
     return spark.createDataFrame(rows, "place long, path string, heading string, reason string, cut boolean, sources string, notes string")
 

@@ -81,6 +81,15 @@ def index_terms(value: Column) -> Column:
     return F.regexp_extract_all(fold(value), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
 
 
+def exploded_terms(texts: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The kept columns of texts with a row for each of index_terms(text), column term.
+
+    Words are cut out first, marks included, and only those beyond ASCII are folded.
+    """
+    words = texts.select(*keep, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{Mn}*+[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"), 0)).alias("term"))
+    return words.select(*keep, F.when(F.octet_length("term") > F.length("term"), fold(F.col("term"))).otherwise(F.col("term")).alias("term"))
+
+
 def _ngrams(run: Column, size: int) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, size))
     return F.when(F.length(run) >= size, grams).otherwise(F.array().cast("array<string>"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.text import CJK, cjk_ngrams, fold_text, index_terms, like_prefix, prefix_terms
+from ..functions.text import CJK, cjk_ngrams, exploded_terms, fold_text, like_prefix, prefix_terms
 from ..plans import storage
 from ..plans.graph import Graph
 from .stats import document_frequency, owners, top_definitions
@@ -32,12 +32,17 @@ SHALLOW_CHARS = 16_000
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """term, chunk_id, tf: words of each text; a word that only an added CJK n-gram has is there with tf 0."""
+    """term, chunk_id, tf, n: words of each text; a word that only an added CJK n-gram has is there with tf 0."""
+    return term_rows(chunks, id_col, text_col).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"))
+
+
+def term_rows(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """postings() with a row for each occurrence: as good for one question, without the shuffle that an index is worth."""
     texts = chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text"))
-    words = texts.select("chunk_id", F.explode(index_terms(F.col("text"))).alias("term"), F.lit(1).alias("stored"))
+    words = exploded_terms(texts, F.col("text"), "chunk_id").withColumn("tf", F.lit(1))
     with_cjk = texts.where(F.col("text").rlike(f"[{CJK}]"))
-    grams = with_cjk.select("chunk_id", F.explode(index_terms(F.concat_ws(" ", cjk_ngrams(F.col("text"))))).alias("term"), F.lit(0).alias("stored"))
-    return words.unionByName(grams).groupBy("term", "chunk_id").agg(F.sum("stored").alias("tf"), F.count("*").alias("n"))
+    grams = exploded_terms(with_cjk, F.concat_ws(" ", cjk_ngrams(F.col("text"))), "chunk_id").withColumn("tf", F.lit(0))
+    return words.unionByName(grams).select("term", "chunk_id", "tf", F.lit(1).alias("n"))
 
 
 def chunk_lengths(chunks: DataFrame, index: DataFrame, id_col: str = "id") -> DataFrame:
@@ -154,9 +159,9 @@ def build_search_index(graph: Graph) -> SearchIndex:
     return SearchIndex(graph, index, chunk_lengths(graph.chunks, index), document_frequency(graph.edges, owners(graph), graph.entities))
 
 
-def written_search_index(graph: Graph) -> SearchIndex:
-    """The search index behind checkpoints, for a session's questions to a graph that is stored nowhere."""
-    index = storage.cut(postings(graph.chunks))
+def passing_search_index(graph: Graph) -> SearchIndex:
+    """A search index for a question or two to a graph that is stored nowhere: occurrences stay in the plan, lengths and frequencies are computed once."""
+    index = term_rows(graph.chunks)
     return SearchIndex(graph, index, storage.cut(chunk_lengths(graph.chunks, index)), storage.cut(document_frequency(graph.edges, owners(graph), graph.entities)))
 
 

@@ -398,6 +398,38 @@ SELECT path, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM named JOI
   coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM across WHERE f = doc.path), '') AS outbound, coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM across WHERE t = doc.path), '') AS inbound FROM doc""")
 
 
+@query
+def markdown_index_lines(spark, d):
+    """The vault index of linked notes, a block of Markdown for each document."""
+    g = graph(spark, d).map(lambda name, df: storage.cut(df) if name in ("edges", "entities", "sections") else df)
+    return export.markdown_index(export.site_index(g.documents.select("id", "path"), stats.owners(g), g.edges, stats.node_labels(g)), "")
+
+
+_oracle("markdown_index_lines", f"""{_G}, across AS (SELECT DISTINCT a.path AS f, b.path AS t FROM edge e JOIN owner a ON a.node_id = e.from_id JOIN owner b ON b.node_id = e.to_id WHERE e.kind <> 'CONTAINS' AND a.path <> b.path)
+SELECT '### [[' || path || ']]' || chr(10) || chr(10) || '- Defines: ' || (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM named JOIN owner o ON o.node_id = from_id WHERE kind = 'DEFINES' AND o.path = doc.path) || chr(10)
+  || '- Source refs: ' || (SELECT string_agg(DISTINCT s.path, ', ' ORDER BY s.path) FROM src s WHERE s.from_id = doc.id) || chr(10) || '- Outbound links: ' || coalesce((SELECT string_agg(t, ', ' ORDER BY t) FROM across WHERE f = doc.path), 'none') || chr(10)
+  || '- Inbound links: ' || coalesce((SELECT string_agg(f, ', ' ORDER BY f) FROM across WHERE t = doc.path), 'none') || chr(10) AS value FROM doc""")
+
+
+ASKED = ("Alpha2Thing", "links", "Host3Store", "no such name")
+
+
+@query
+def definition_channel(spark, d):
+    """The three best definitions of each name that a question asks for, as search ranks them."""
+    g = graph(spark, d).map(lambda name, df: storage.cut(df))
+    asked = spark.createDataFrame([(n.lower(), i) for i, n in enumerate(ASKED)], "normalized_name string, turn int")
+    found = search.definition_rows(g, g.entities.join(asked, "normalized_name").select("id", "turn"))
+    return found.select("chunk_id", "weight", F.col("turn").cast("long").alias("turn"), F.col("place").cast("long").alias("place"))
+
+
+_oracle("definition_channel", f"""{_G}, asked(name, turn) AS (VALUES ('Alpha2Thing', 0), ('Links', 1), ('Host3Store', 2)), first_chunk AS (
+  SELECT sid AS node, 'chunk:' || substr(sha1('chunk:' || sid || ':content'), 1, 20) AS chunk_id, path, start_line FROM sec UNION ALL SELECT id, 'chunk:' || substr(sha1('chunk:' || sid || ':content'), 1, 20), path, NULL FROM sec WHERE n = 0),
+ranked AS (SELECT chunk_id, e.weight, turn, row_number() OVER (PARTITION BY ent.id ORDER BY e.weight DESC, c.path, c.start_line NULLS FIRST, e.id) AS place
+  FROM asked JOIN ent ON ent.name = asked.name JOIN edge e ON e.to_id = ent.id AND e.kind = 'DEFINES' JOIN first_chunk c ON c.node = e.from_id)
+SELECT chunk_id, weight, turn::BIGINT AS turn, place FROM ranked WHERE place <= 3""")
+
+
 # Change.
 
 _TWO = f"WITH {_PAGES}, {_sql(OLD, 'o_')}, {_sql(NEW, 'n_')}"
@@ -656,6 +688,29 @@ _oracle("invalid_run_rows", """SELECT o_orderkey::VARCHAR AS id, 'question_id is
 UNION ALL SELECT o_orderkey::VARCHAR, 'latency_ms is negative' FROM orders WHERE o_totalprice < 1000""")
 
 
+@query
+def run_metric_rows(spark, d):
+    """All metrics of run records; citations count by path where a question's sources are known."""
+    rows = _runs(spark, d).withColumns(
+        {
+            "direct_file_reads": F.transform("tool_calls", lambda c: F.struct(c["name"].alias("path"), (c["output_chars"] * 2).alias("chars"))),
+            "graph_calls": F.transform(F.slice("tool_calls", 1, 3), lambda c: F.struct(F.lit("search").alias("tool"), c["name"].alias("query"), F.lit(1.0).alias("result_count"), F.lit(7.0).alias("chars"))),
+            "text_searches": F.transform(F.slice("tool_calls", 1, 2), lambda c: F.struct(c["name"].alias("query"), F.lit(1.0).alias("result_count"))),
+            "raw_file_fallback": F.col("mode") == "without",
+        }
+    )
+    known = rows.select("question_id").distinct().where(F.length("question_id") > 5).withColumn("paths", F.array("question_id"))
+    return paired.run_metrics(rows, known).select("question_id", "mode", *(F.round(F.col(m).cast("double"), 3).alias(m) for m in paired.METRICS))
+
+
+_oracle("run_metric_rows", """WITH m AS (
+  SELECT event_type AS question_id, CASE WHEN user_id % 2 = 0 THEN 'with' ELSE 'without' END AS mode, count(*) AS n, sum(round(value, 2)) AS chars, count(*) FILTER (value > 50) AS cites, count(*) FILTER (value > 100) AS good, min(user_id) AS low
+  FROM events GROUP BY 1, 2 HAVING NOT (event_type = 'purchase' AND mode = 'with')
+), c AS (SELECT *, CASE WHEN length(question_id) > 5 THEN cites ELSE good END AS fit FROM m)
+SELECT question_id, mode, n::DOUBLE AS tool_calls, round(chars, 3) AS tool_output_chars, n::DOUBLE AS file_reads, round(2 * chars, 3) AS file_chars, least(2, n)::DOUBLE AS text_searches, least(3, n)::DOUBLE AS graph_calls, 7.0 * least(3, n)::DOUBLE AS graph_chars,
+  cites::DOUBLE AS citations, fit::DOUBLE AS correct_citations, cites::DOUBLE AS known_citations, round(round(fit / nullif(cites, 0), 4), 3) AS citation_rate, CASE mode WHEN 'without' THEN 1.0 ELSE 0.0 END AS fallback, NULL::DOUBLE AS token_estimate, NULL::DOUBLE AS character_budget, low::DOUBLE AS latency_ms FROM c""")
+
+
 @query
 def delta_totals(spark, d):
     """Sums of paired deltas and means of rates, null where no pair has a value."""
@@ -748,4 +803,98 @@ SELECT 'documents' AS what, n FROM d UNION ALL SELECT 'sections', n FROM d UNION
 UNION ALL SELECT 'edges', (SELECT 2 * n FROM d) + (SELECT count(*) FROM caps) + (SELECT count(*) FROM heads) + (SELECT nations FROM c)
 UNION ALL SELECT 'edges CONTAINS', 2 * n FROM d UNION ALL SELECT 'edges REFERENCES', count(*) FROM caps UNION ALL SELECT 'edges DEFINES', count(*) FROM heads UNION ALL SELECT 'edges LINKS_TO', nations FROM c""")
 
+
+def _tree_engine(spark: SparkSession, d: str) -> Engine:
+    import uuid
+
+    root = _tree(spark, d)
+    return Engine(spark, root, f"{root}-store-{uuid.uuid4().hex}", Config(include=("**/*",)))
+
+
+@query
+def tree_report(spark, d):
+    """The health report of the tree: what it counts, and how many issues that makes."""
+    engine = _tree_engine(spark, d)
+    engine.index()
+    report = engine.report()
+    later = engine.report(report)
+    rows = [*report["summary"].items(), ("issues", report["issues"]), (f"trend {later['trend']}", later["issues"]), (f"semantic {report['semantic']}", 0)]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+_oracle("tree_report", f"""WITH {_TREE}, reg AS (SELECT r_regionkey AS k, (SELECT count(*) FROM nat WHERE n_regionkey = r_regionkey) AS links FROM region),
+c AS (SELECT count(*) FILTER (links = 0) AS orphans, count(*) FILTER (links = 1) AS weak, (SELECT count(*) FROM nat) AS nations FROM reg)
+SELECT 'documents' AS what, nations + 5 AS n FROM c UNION ALL SELECT 'stale_index', 0 UNION ALL SELECT 'orphan_documents', orphans FROM c UNION ALL SELECT 'dead_links', 0 UNION ALL SELECT 'missing_sources', 0 UNION ALL SELECT 'missing_definitions', 0
+UNION ALL SELECT 'weakly_linked', weak FROM c UNION ALL SELECT 'contradictions', 0 UNION ALL SELECT 'content_risks', 0 UNION ALL SELECT 'issues', orphans + weak FROM c UNION ALL SELECT 'trend unchanged', orphans + weak FROM c UNION ALL SELECT 'semantic disabled', 0""")
+
+
+@query
+def tree_exchange(spark, d):
+    """The tree as a bundle and as exported tables, each verified; then the bundle against a tree that has moved on."""
+    engine = _tree_engine(spark, d)
+    engine.index()
+    bundle, tables = f"{engine.store.path}-bundle", f"{engine.store.path}-tables"
+    engine.bundle(bundle)
+    manifest = engine.export_tables(tables)
+    whole, read = engine.verify_bundle(bundle, against_root=True), engine.verify_tables(tables)
+    storage.write_text(spark, f"{engine.root}/docs/r1.md", "# Region 1\nchanged\n")
+    moved = engine.verify_bundle(bundle, against_root=True)
+    rows = [("bundle valid", int(whole["valid"] and not whole["warnings"])), ("tables valid", int(read["valid"])), ("bundle older than the files", len(moved["warnings"]))]
+    rows += [(f"exported {k}", n) for k, n in manifest["exportedCounts"].items()]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+_oracle("tree_exchange", f"""WITH {_TREE}, caps AS (SELECT k, unnest(list_distinct(regexp_extract_all(n_name, '\\b[A-Z][A-Z0-9_]{{2,}}\\b'))) AS name FROM nat), heads AS (SELECT k, n_name AS name FROM nat WHERE regexp_matches(n_name, '^[A-Z][A-Za-z0-9]+$|^[A-Z][A-Z0-9_]{{2,}}$')),
+kinds AS (SELECT DISTINCT lower(name) AS name FROM caps UNION SELECT DISTINCT lower(name) FROM heads), d AS (SELECT count(*) AS nations, count(*) + 5 AS n FROM nat)
+SELECT 'bundle valid' AS what, 1 AS n UNION ALL SELECT 'tables valid', 1 UNION ALL SELECT 'bundle older than the files', 1 UNION ALL SELECT 'exported document', n FROM d UNION ALL SELECT 'exported section', n FROM d UNION ALL SELECT 'exported entity', count(*) FROM kinds
+UNION ALL SELECT 'exported edges', n + (SELECT count(*) FROM caps) + (SELECT count(*) FROM heads) + nations FROM d""")
+
+
+@query
+def tree_watched(spark, d):
+    """The tree under watch: an added, a changed and a deleted file are one incremental run; nothing is left for the next."""
+    from .streaming.watch import watch
+
+    engine = _tree_engine(spark, d)
+    engine.index()
+    storage.write_text(spark, f"{engine.root}/docs/late.md", "# Late\n")
+    storage.write_text(spark, f"{engine.root}/docs/r1.md", "# Region 1\nSee [late](late.md).\n")
+    storage.delete(spark, f"{engine.root}/docs/r0.md")
+    seen: list[dict] = []
+    watch(engine, f"{engine.store.path}-checkpoint", on_indexed=seen.append, once=True).awaitTermination()
+    rows = [(i, what, n) for i, run in enumerate(seen) for what, n in [*run["changes"].items(), ("documents", run["documents"])]]
+    return spark.createDataFrame(rows, "run long, what string, n long")
+
+
+_oracle("tree_watched", f"""WITH {_TREE}, d AS (SELECT count(*) + 5 AS n FROM nat) SELECT 0 AS run, what, n FROM (VALUES ('added', 1), ('modified', 1), ('deleted', 1)) v(what, n) UNION ALL SELECT 0, 'documents', n FROM d UNION ALL SELECT 1, 'documents', n FROM d""")
+
+
+@query
+def tree_storage(spark, d):
+    """Stored relations of the tree with their rows, and whether they take space."""
+    engine = _tree_engine(spark, d)
+    engine.index()
+    found = engine.status(with_storage=True)["storage"]["objects"]
+    return spark.createDataFrame([(x["relation"], x["rows"], x["bytes"] > 0) for x in found if x["relation"] in ("documents", "sections", "chunks", "source_refs")], "relation string, n long, stored boolean")
+
+
+_oracle("tree_storage", f"""WITH {_TREE}, d AS (SELECT count(*) + 5 AS n FROM nat) SELECT relation, CASE relation WHEN 'source_refs' THEN 0 ELSE n END AS n, true AS stored FROM d, (VALUES ('documents'), ('sections'), ('chunks'), ('source_refs')) v(relation)""")
+
+
+@query
+def bounded_json(spark, d):
+    """Nesting that a JSON reader takes: 128 levels, and no more."""
+    rows = []
+    for r in _t(spark, d, "region").collect():  # five rows
+        depth = 126 + r.r_regionkey
+        try:
+            sources.parse_json("[" * depth + "]" * depth)
+            rows.append((depth, True))
+        except sources.BoundsError:
+            rows.append((depth, False))
+    return spark.createDataFrame(rows, "depth long, taken boolean")
+
+
+_oracle("bounded_json", "SELECT (126 + r_regionkey)::BIGINT AS depth, 126 + r_regionkey <= 128 AS taken FROM region")
+
 __all__ = ["QUERIES"]

@@ -8,13 +8,14 @@ the expectation is an inclusion probability p: documents are ranked by random od
 inclusion odds, [u/(1-u)] / [p/(1-p)], and taken in that order until the source's remaining
 words are used up. So a sample has a fixed size in words, not in rows.
 
-The order is never sorted as a whole. A histogram of the rank over `BINS` equal parts finds the
-part where a source's target falls, and only the rows of that part are put in order; each source
-then has one threshold, and every document is decided by itself against its source's row.
+The order is never sorted as a whole. A histogram of the rank over `COARSE` equal parts finds the
+part where a source's target falls, one over `FINE` parts of that finds it closer, and only the
+rows of that last part are put in order; each source then has one threshold, and every document
+is decided by itself against its source's row.
 
-Bounds: windows over one source see its `BINS` + 1 histogram rows, its levels of propensity, or
-the rows of one histogram part, about one in `BINS` of its documents. Windows over all sources
-see one row of each.
+Bounds: windows over one source see its `COARSE` + 1 or `FINE` histogram rows, its levels of
+propensity, or the rows of one last part, about one in `COARSE * FINE` of its documents. Windows
+over all sources see one row of each.
 
 Cases: a null or empty text has size 0. The null source is a source of its own, the last one.
 Propensities are rounded to eighths of octaves from 2**-8 to 2**8; null counts as 1. Rows equal
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, whole_row
 from .tokens import slices, text_bytes, word_spans
 
-BINS = 4096
+#: Parts of a histogram of ranks, and parts of one of them; a rank's bin is its place among all of the latter.
+COARSE, FINE = 64, 64
+BINS = COARSE * FINE
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,24 +131,31 @@ def _ranked(rows: DataFrame, max_ratio: float, seed: int) -> DataFrame:
     )
 
 
+def _crossing(histogram: DataFrame) -> DataFrame:
+    """place, part, left: where the running words of a source go beyond what rests, and what rests before that part.
+
+    histogram: place, part (null: no rank), words, rest. left stays a quarter of a word below the
+    part's words, so that rounding can't lose a crossing in a finer histogram of the part.
+    """
+    in_order = Window.partitionBy("place").orderBy(F.col("part").asc_nulls_first())
+    running = histogram.withColumn("upto", F.sum("words").over(in_order)).where(F.col("part").isNotNull() & (F.col("upto") > F.col("rest")))
+    left = F.least(F.col("rest") - F.col("upto") + F.col("words"), F.col("words") - 0.25)
+    first = F.min_by(F.struct("part", left.alias("left")), "part")
+    return running.groupBy("place").agg(first.alias("cut")).select("place", F.col("cut.part").cast("int").alias("part"), F.col("cut.left").alias("left"))
+
+
 def mixing_plan(sizes: DataFrame, weights: Sequence[float], share: float, max_ratio: float, seed: int, scratch: Scratch) -> DataFrame:
     """One row per source: its target and the threshold that its documents are held against."""
     shares = scratch.cut(source_targets(sizes, weights, share, max_ratio), "shares")
     targets = scratch.cut(shares.join(source_scales(sizes, shares, max_ratio), "place", "left"), "targets")
     rows = _ranked(sizes.join(targets, sizes.source.eqNullSafe(targets.source)).drop(targets.source), max_ratio, seed)
-    bins = rows.groupBy("place", "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
-    per_source = Window.partitionBy("place")
-    in_order = per_source.orderBy(F.col("bin").asc_nulls_first())
-    cuts = (
-        bins.join(targets.select("place", "target"), "place")
-        .withColumn("rest", F.col("target") - F.sum("certain").over(per_source))
-        .withColumn("upto", F.sum("words").over(in_order))
-        .where(F.col("bin").isNotNull() & (F.col("upto") > F.col("rest")))
-        .groupBy("place")
-        .agg(F.min_by(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("left")), "bin").alias("cut"))
-        .select("place", F.col("cut.bin").alias("cut"), F.col("cut.left").alias("left"))
-    )
-    cuts = scratch.cut(cuts, "cuts")
+    drawn = F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)
+    bins = rows.groupBy("place", F.floor(F.col("bin") / FINE).alias("part")).agg(F.sum(drawn).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"))
+    rest = F.col("target") - F.sum("certain").over(Window.partitionBy("place"))
+    coarse = scratch.cut(_crossing(bins.join(targets.select("place", "target"), "place").withColumn("rest", rest)), "coarse")
+    inside = rows.join(coarse.withColumnsRenamed({"part": "near", "left": "rest"}), "place").where(F.floor(F.col("bin") / FINE) == F.col("near"))
+    fine = inside.groupBy("place", "rest", F.col("bin").alias("part")).agg(F.sum("size").alias("words"))
+    cuts = scratch.cut(_crossing(fine).withColumnRenamed("part", "cut"), "cuts")
     taken_before = F.sum("size").over(Window.partitionBy("place").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
     last = (
         rows.join(cuts, "place")

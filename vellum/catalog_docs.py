@@ -14,7 +14,7 @@ from .catalog_sql import _PAGES, ORACLES
 from .config import Config
 from .engine import Engine
 from .functions.text import content_hash, index_content, prefix_terms
-from .operators import context, diff, export, health, paired, search, stats, traverse, vectors
+from .operators import context, diff, evaluate, export, health, paired, search, stats, traverse, vectors
 from .plans import graph as graphs
 from .plans import resolve, storage, store
 from .plans.parsed import parse_documents
@@ -398,6 +398,32 @@ SELECT path, (SELECT string_agg(DISTINCT name, ',' ORDER BY name) FROM named JOI
   coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM across WHERE f = doc.path), '') AS outbound, coalesce((SELECT string_agg(f, ',' ORDER BY f) FROM across WHERE t = doc.path), '') AS inbound FROM doc""")
 
 
+@query
+def collapsed_paths(spark, d):
+    """Paths with `.` and `..` resolved as far as there is something to leave."""
+    shapes = ("x/{}/../y/./{}", "../{}", "a//b/{}", "./{}/..", "a/../../{}/c", "/{}/d")
+    ids = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), (F.col("o_orderkey") % len(shapes)).cast("int").alias("s"))
+    raw = F.replace(F.element_at(F.array(*map(F.lit, shapes)), F.col("s") + 1), F.lit("{}"), F.col("k"))
+    return ids.select("k", resolve.collapse(raw).alias("path"))
+
+
+_oracle("collapsed_paths", """SELECT o_orderkey::VARCHAR AS k, CASE o_orderkey % 6 WHEN 0 THEN 'x/y/' || o_orderkey WHEN 1 THEN '../' || o_orderkey WHEN 2 THEN 'a/b/' || o_orderkey WHEN 3 THEN '' WHEN 4 THEN '../' || o_orderkey || '/c' ELSE o_orderkey || '/d' END AS path FROM orders""")
+
+
+@query
+def case_metrics(spark, d):
+    """All metrics of one evaluation case over the corpus."""
+    g = graph(spark, d).map(lambda name, df: storage.cut(df))
+    case = evaluate.Case("one", "!", entities=("Host3Store", "nobody"), edges=("DEFINES", "SAME_AS"), source_refs=("src/h3.ts", "src/none.ts"), sections=(("docs/p8.md", "Links"),), trace=("docs/p8.md", "docs/p9.md", 3, ("DEPENDS_ON",)))
+    result = evaluate.evaluate_case(search.passing_search_index(g), case, Config())
+    rows = [(name, float(value)) for name, value in result.metrics.items() if isinstance(value, (int, float))] + [("passed", float(result.passed))]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+_oracle("case_metrics", """SELECT * FROM (VALUES ('document_recall', 1.0::DOUBLE), ('section_recall', 0.0), ('context_precision', 0.0), ('entity_recall', 0.5), ('source_ref_recall', 0.5), ('edge_coverage', 0.5), ('trace_success', 1.0), ('returned_chars', 0.0), ('budget_fit', 1.0),
+  ('reason_coverage', 1.0), ('fusion_coverage', 1.0), ('context_diversity', 0.0), ('passed', 0.0)) v(metric, value)""")
+
+
 @query
 def markdown_index_lines(spark, d):
     """The vault index of linked notes, a block of Markdown for each document."""
@@ -544,6 +570,28 @@ near AS (SELECT to_id AS n FROM edge WHERE kind <> 'CONTAINS' AND from_id IN (SE
 SELECT path FROM named_paths UNION SELECT o.path FROM owner o JOIN near ON near.n = o.node_id""")
 
 
+@query
+def doctor_scoped(spark, d):
+    """All rules for the documents of a scope, with a document that was deleted: warnings by code."""
+    rows = parsed(spark, d)
+    g = graphs.build_graph(rows).map(lambda name, df: storage.cut(df))
+    scope = health.Scope("changed", ("docs/p8.md", "docs/p20.md"), ("docs/lost.md",))
+    return health.doctor(rows, g, Config(), _source_files(spark), scope).warnings.groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+_oracle("doctor_scoped", f"""{_G}, named_paths(path) AS (VALUES ('docs/p8.md'), ('docs/p20.md'), ('docs/lost.md')), nodes AS (SELECT node_id FROM owner WHERE path IN (SELECT path FROM named_paths)),
+near AS (SELECT to_id AS n FROM edge WHERE kind <> 'CONTAINS' AND from_id IN (SELECT node_id FROM nodes) UNION SELECT from_id FROM edge WHERE kind <> 'CONTAINS' AND to_id IN (SELECT node_id FROM nodes)),
+scope AS (SELECT path FROM named_paths UNION SELECT o.path FROM owner o JOIN near ON near.n = o.node_id), ours AS (SELECT * FROM doc WHERE path IN (SELECT path FROM scope)), active AS (SELECT * FROM doc WHERE status = 'active'),
+uses AS (SELECT a.p FROM active a JOIN doc b ON b.p IN (a.p + 1, a.p + 2) WHERE b.status = 'deprecated' AND (a.path IN (SELECT path FROM scope) OR b.path IN (SELECT path FROM scope))),
+dead AS (SELECT p FROM ours UNION ALL SELECT p FROM ours a WHERE NOT EXISTS (SELECT 1 FROM doc b WHERE b.p = a.p + 1) UNION ALL SELECT p FROM ours a WHERE NOT EXISTS (SELECT 1 FROM doc b WHERE b.p = a.p + 2)),
+twice AS (SELECT name FROM named JOIN owner o ON o.node_id = from_id JOIN active ON active.id = o.document_id WHERE named.kind = 'DEFINES' GROUP BY name HAVING count(DISTINCT o.document_id) > 1 AND bool_or(active.path IN (SELECT path FROM scope))),
+missing AS (SELECT DISTINCT path FROM src WHERE NOT regexp_matches(path, '^src/h[0-5]\\.ts$') AND from_id IN (SELECT id FROM ours)),
+found AS (
+  SELECT 'link.dead' AS code, 'error' AS severity, count(*) AS n FROM dead UNION ALL SELECT 'source_ref.missing', 'error', count(*) FROM missing UNION ALL SELECT 'definition.duplicate', 'warn', count(*) FROM twice UNION ALL SELECT 'document.deleted', 'info', 1
+  UNION ALL SELECT 'tag.invalid_format', 'warn', count(*) FROM ours UNION ALL SELECT 'front_matter.invalid_field', 'warn', count(*) FROM ours UNION ALL SELECT 'document.deprecated_referenced', 'warn', count(*) FROM uses)
+SELECT * FROM found WHERE n > 0""")
+
+
 @query
 def dead_link_rows(spark, d):
     """Links of the corpus that lead nowhere, by line."""
@@ -691,6 +739,10 @@ UNION ALL SELECT o_orderkey::VARCHAR, 'latency_ms is negative' FROM orders WHERE
 @query
 def run_metric_rows(spark, d):
     """All metrics of run records; citations count by path where a question's sources are known."""
+    return _all_metrics(spark, d).select("question_id", "mode", *(F.round(F.col(m).cast("double"), 3).alias(m) for m in paired.METRICS))
+
+
+def _all_metrics(spark, d):
     rows = _runs(spark, d).withColumns(
         {
             "direct_file_reads": F.transform("tool_calls", lambda c: F.struct(c["name"].alias("path"), (c["output_chars"] * 2).alias("chars"))),
@@ -700,7 +752,14 @@ def run_metric_rows(spark, d):
         }
     )
     known = rows.select("question_id").distinct().where(F.length("question_id") > 5).withColumn("paths", F.array("question_id"))
-    return paired.run_metrics(rows, known).select("question_id", "mode", *(F.round(F.col(m).cast("double"), 3).alias(m) for m in paired.METRICS))
+    return paired.run_metrics(rows, known)
+
+
+@query
+def paired_deltas_all(spark, d):
+    """All fifteen deltas of complete pairs, with less without; null where either has no value."""
+    deltas, _ = paired.pair_runs(_all_metrics(spark, d))
+    return deltas.select("question_id", *(F.round(F.col(m).cast("double"), 3).alias(m) for m in paired.METRICS))
 
 
 _oracle("run_metric_rows", """WITH m AS (
@@ -711,6 +770,10 @@ SELECT question_id, mode, n::DOUBLE AS tool_calls, round(chars, 3) AS tool_outpu
   cites::DOUBLE AS citations, fit::DOUBLE AS correct_citations, cites::DOUBLE AS known_citations, round(round(fit / nullif(cites, 0), 4), 3) AS citation_rate, CASE mode WHEN 'without' THEN 1.0 ELSE 0.0 END AS fallback, NULL::DOUBLE AS token_estimate, NULL::DOUBLE AS character_budget, low::DOUBLE AS latency_ms FROM c""")
 
 
+_oracle("paired_deltas_all", f"""WITH r AS ({ORACLES["run_metric_rows"].replace("round(round(fit / nullif(cites, 0), 4), 3) AS citation_rate", "round(fit / nullif(cites, 0), 4) AS citation_rate")}), w AS (SELECT * FROM r WHERE mode = 'with'), o AS (SELECT * FROM r WHERE mode = 'without')
+SELECT w.question_id, {", ".join(f"round(w.{m} - o.{m}, 3) AS {m}" for m in paired.METRICS)} FROM w JOIN o USING (question_id)""")
+
+
 @query
 def delta_totals(spark, d):
     """Sums of paired deltas and means of rates, null where no pair has a value."""

@@ -8,6 +8,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from vellum import engine as engines
 from vellum.config import Config
 from vellum.engine import Engine
 from vellum.operators import evaluate, export, health
@@ -105,9 +106,16 @@ def test_relations(engine):
     assert all(abs(n - 1) < 1e-3 for n in norms)
 
 
-def test_incremental(own, spark):
+def postings_of(engine):
+    return sorted((r.term, r.chunk_id, r.tf, r.n) for r in engine.search_index().postings.collect())
+
+
+def test_incremental(own, spark, monkeypatch):
     before = ids(own)
     assert own.index()["changes"] == {}
+    parsed: list[list[str]] = []
+    real = engines.parse_documents
+    monkeypatch.setattr(engines, "parse_documents", lambda files: (parsed.append(sorted(r.path for r in files.select("path").collect())), real(files))[1])
     root = own.root
     text = DOCS["docs/token.md"].replace("rotates keys", "rotates LEAF_KEYS")
     open(f"{root}/docs/token.md", "w").write(text)
@@ -117,6 +125,8 @@ def test_incremental(own, spark):
     os.remove(f"{root}/notes/plain.md")
     result = own.index()
     assert result["mode"] == "incremental" and result["changes"] == {"modified": 1, "added": 1, "deleted": 1}
+    assert parsed == [["docs/extra.md", "docs/token.md"]], "only changed files are parsed"
+    kept = postings_of(own)
     graph = own.graph()
     assert set(ids(own)) == {"docs/session.md", "docs/token.md", "docs/billing.md", "docs/extra.md"}
     assert graph.edges.where(F.col("to_id") == before["docs/token.md"]).where("kind = 'DEPENDS_ON'").count() == 1
@@ -126,7 +136,9 @@ def test_incremental(own, spark):
     again = own.graph()
     assert full["edges"] == graph.edges.count() == again.edges.count()
     same = again.edges.select("id").exceptAll(graph.edges.select("id"))
-    assert same.isEmpty()
+    assert same.isEmpty() and len(parsed[-1]) == 4 and postings_of(own) == kept
+    own.compact()
+    assert own.graph().edges.count() == full["edges"] and postings_of(own) == kept and own.index()["changes"] == {} and parsed[-1] == []
     open(f"{root}/docs/billing.md", "w").write(DOCS["docs/billing.md"].replace("title:", "id: bill\ntitle:"))
     assert own.index()["changes"] == {"id_changed": 1}
     assert ids(own)["docs/billing.md"] != before["docs/billing.md"]

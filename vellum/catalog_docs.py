@@ -944,6 +944,42 @@ def tree_storage(spark, d):
 _oracle("tree_storage", f"""WITH {_TREE}, d AS (SELECT count(*) + 5 AS n FROM nat) SELECT relation, CASE relation WHEN 'source_refs' THEN 0 ELSE n END AS n, true AS stored FROM d, (VALUES ('documents'), ('sections'), ('chunks'), ('source_refs')) v(relation)""")
 
 
+@query
+def tree_compacted(spark, d):
+    """The tree's relations before and after compaction: rows stay, files are one each (edges one for each kind)."""
+    engine = _tree_engine(spark, d)
+    engine.index()
+    before = {r.relation: r.n for r in stats.table_counts(engine.graph()).collect()}
+    engine.compact()
+    at = f"{engine.store.path}/{engine.store.meta()['version']}"
+    after = {r.relation: r.n for r in stats.table_counts(engine.graph()).collect()}
+    rows = [(name, n, after[name] == n, sum(f.startswith("part-") for f in storage.children(spark, f"{at}/{name}")) <= 1) for name, n in before.items() if name in ("documents", "sections", "chunks", "entities", "edges")]
+    return spark.createDataFrame(rows, "relation string, n long, same boolean, one_file boolean")
+
+
+_oracle("tree_compacted", """SELECT what AS relation, n, true AS same, true AS one_file FROM (""" + ORACLES["indexed_tree"] + """) WHERE what IN ('documents', 'sections', 'chunks', 'entities', 'edges')""")
+
+
+@query
+def migrated_vectors(spark, d):
+    """Vectors of a store of the first schema, which held them as JSON, as the present one reads them."""
+    import json
+    import uuid
+
+    storage.cut(spark.range(1))
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/old-store-{uuid.uuid4().hex}"
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.to_json("embedding").alias("vector"))
+    none = spark.createDataFrame([], "id string")
+    for name in graphs.KEYS:
+        (rows if name == "vectors" else none).write.parquet(f"{at}/v000001/{name}")
+    storage.write_text(spark, f"{at}/_current.json", json.dumps({"schema_version": 1, "version": "v000001"}))
+    found = store.Store(spark, at).read().vectors
+    return found.select("chunk_id", F.size("vector").cast("long").alias("dimensions"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+_oracle("migrated_vectors", "SELECT vec_id::VARCHAR AS chunk_id, len(embedding)::BIGINT AS dimensions, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0 AS total FROM embeddings")
+
+
 @query
 def bounded_json(spark, d):
     """Nesting that a JSON reader takes: 128 levels, and no more."""

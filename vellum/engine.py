@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, merge
+from .functions.text import content_hash
 from .operators import context as contexts
 from .operators import diff, evaluate, export, health, search, stats, traverse
 from .plans import storage
@@ -55,16 +56,30 @@ class Engine:
     def scan(self) -> DataFrame:
         return sources.scan_markdown(self.spark, self.root, self.config)
 
-    def parse(self, name: str = "parsed") -> DataFrame:
-        """Current files, parsed and written once, as several plans read them."""
-        path = f"{self.store.path}/_work/{name}-{uuid.uuid4().hex}"
-        parsed = parse_documents(self.scan())
-        parsed.write.parquet(path)
-        return self.spark.read.schema(parsed.schema).parquet(path)
+    def parse(self, name: str = "parsed", anew: bool = False) -> DataFrame:
+        """Current files, parsed and written once, as several plans read them.
+
+        Files that the stored version has read already, by path and hash, aren't parsed again unless anew.
+        """
+        return self._work(self._parsed(None if anew else self._stored_parsed()), name)
+
+    def _parsed(self, known: DataFrame | None) -> DataFrame:
+        files = self.scan().select("path", "text")
+        if known is None:
+            return parse_documents(files)
+        hashed = files.withColumn("hash", content_hash(F.coalesce("text", F.lit(""))))
+        changed = hashed.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+        same = known.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
+        return same.unionByName(parse_documents(changed.select("path", "text")))
+
+    def _stored_parsed(self) -> DataFrame | None:
+        meta = self.store.meta()
+        at = f"{self.store.path}/{meta['version']}/_parsed" if meta else ""
+        return self.spark.read.parquet(at) if meta and storage.exists(self.spark, f"{at}/_SUCCESS") else None
 
     def index(self, full: bool = False) -> dict[str, Any]:
-        """Bring the stored graph up to date; only changed documents are written anew unless full."""
-        parsed = self.parse()
+        """Bring the stored graph up to date; only changed documents are parsed and replaced unless full."""
+        parsed = self.parse(anew=full)
         failed = parsed.where("error is not null").select("path", "error")
         skipped = [r.asDict() for r in failed.orderBy("path").limit(SHOWN).collect()]
         skipped_count = len(skipped) if len(skipped) < SHOWN else failed.count()
@@ -79,9 +94,11 @@ class Engine:
             changes = self._work(changes, "changes")
             counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}
             graph = replace_documents(old, new, changes) if counts else None
+        kept = None if mode == "full" or graph is None else self._kept_postings(old, changes)
         stored = old if graph is None else self.store.write(graph)
         if graph is not None:
-            self._write_search_index(stored)
+            self._write_search_index(stored, kept, changes if kept is not None else None)
+            parsed.write.mode("overwrite").parquet(f"{self.store.path}/{self.store.meta()['version']}/_parsed")
         storage.delete(self.spark, f"{self.store.path}/_work")
         return {"mode": mode, "changes": counts, "skipped": skipped, "skippedCount": skipped_count, **{r.relation: r.n for r in stats.table_counts(stored).collect()}}
 
@@ -93,10 +110,20 @@ class Engine:
     def _index_path(self) -> str:
         return f"{self.store.path}/{self.store.meta()['version']}/_search"
 
-    def _write_search_index(self, graph: Graph) -> None:
-        """Postings are sorted by term, so a prefix reads few row groups."""
+    def _kept_postings(self, old: Graph, changes: DataFrame) -> DataFrame:
+        """Postings of the chunks that no changed or deleted document owns."""
+        gone = changes.where("old_id is not null").select(F.col("old_id").alias("document_id"))
+        chunks = old.chunks.join(gone, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+        return self.spark.read.parquet(f"{self._index_path()}/postings").join(chunks, "chunk_id", "left_anti")
+
+    def _write_search_index(self, graph: Graph, kept: DataFrame | None = None, changes: DataFrame | None = None) -> None:
+        """Postings are sorted by term, so a prefix reads few row groups. kept: postings of unchanged documents, whose texts aren't read again."""
         built = search.build_search_index(graph)
-        built.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{self._index_path()}/postings")
+        rows = built.postings
+        if kept is not None:
+            came = changes.where("new_id is not null").select(F.col("new_id").alias("document_id"))
+            rows = search.postings(graph.chunks.join(came, "document_id", "left_semi")).unionByName(kept)
+        rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{self._index_path()}/postings")
         written = self.spark.read.parquet(f"{self._index_path()}/postings")
         search.chunk_lengths(graph.chunks, written).write.mode("overwrite").parquet(f"{self._index_path()}/lengths")
         built.frequencies.write.mode("overwrite").parquet(f"{self._index_path()}/frequencies")
@@ -111,6 +138,13 @@ class Engine:
         graph = self.graph()
         return search.SearchIndex(graph, *(self.spark.read.parquet(f"{self._index_path()}/{name}") for name in INDEX_TABLES))
 
+    def compact(self) -> None:
+        """Write the stored version anew in as few files as its size asks for, with its search index."""
+        parsed = self._stored_parsed()
+        self._write_search_index(self.store.compact())
+        if parsed is not None:
+            parsed.write.mode("overwrite").parquet(f"{self.store.path}/{self.store.meta()['version']}/_parsed")
+
     # Questions
 
     def search(self, query: str, limit: int | None = None, mode: str = "auto") -> DataFrame:

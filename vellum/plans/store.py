@@ -16,6 +16,16 @@ from . import storage
 from .graph import KEYS, Graph
 
 SCHEMA_VERSION = 2
+FILE_BYTES = 128 << 20
+
+
+def _vectors_from_json(name: str, df: DataFrame) -> DataFrame:
+    """Schema 1 held a vector as a JSON array."""
+    return df.withColumn("vector", F.from_json("vector", "array<float>")) if name == "vectors" else df
+
+
+#: What a relation of one schema needs to be read as the next.
+MIGRATIONS = {1: _vectors_from_json}
 
 
 class VersionError(RuntimeError):
@@ -38,17 +48,27 @@ class Store:
         return meta
 
     def read(self) -> Graph | None:
+        """The current graph, in the present schema whatever version it was written in."""
         meta = self.meta()
         if meta is None:
             return None
-        return Graph(**{name: self.spark.read.parquet(f"{self.path}/{meta['version']}/{name}") for name in KEYS})
-
-    def write(self, graph: Graph) -> Graph:
-        """Store a graph as the next version and make it current; older versions but the last go."""
+        graph = Graph(**{name: self.spark.read.parquet(f"{self.path}/{meta['version']}/{name}") for name in KEYS})
+        for version in range(meta["schema_version"], SCHEMA_VERSION):
+            graph = graph.map(MIGRATIONS[version])
+        return graph
+
+    def compact(self) -> Graph:
+        """The current graph as a new version, in files of about FILE_BYTES."""
+        graph, at = self.read(), f"{self.path}/{self.meta()['version']}"
+        files = {name: max(1, -(-storage.size(self.spark, f"{at}/{name}") // FILE_BYTES)) for name in KEYS}
+        return self.write(graph, files)
+
+    def write(self, graph: Graph, files: dict[str, int] | None = None) -> Graph:
+        """Store a graph as the next version and make it current; older versions but the last go. files: how many each relation gets."""
         meta = self.meta()
         version = f"v{int(meta['version'][1:]) + 1 if meta else 1:06d}"
         for name, df in graph.tables().items():
-            out = df.write.mode("overwrite")
+            out = (df.coalesce(files[name]) if files else df).write.mode("overwrite")
             (out.partitionBy("kind") if name == "edges" else out).parquet(f"{self.path}/{version}/{name}")
         storage.write_text(self.spark, f"{self.path}/_current.json", json.dumps({"schema_version": SCHEMA_VERSION, "version": version}))
         for old in storage.children(self.spark, self.path):

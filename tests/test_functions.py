@@ -98,6 +98,28 @@ def test_bm25(spark):
     assert search.full_text(index, lengths, "!", 5).collect() == []
 
 
+def test_copies_score_the_same(spark):
+    """Parts are added in one order: equal texts tie exactly, in however many partitions, and the smaller id is first."""
+    copies = [(f"c{i:04d}", "the license of apache the license the notice") for i in range(400)]
+    others = [(f"o{i:04d}", "the word" if i < 700 else "license word two" if i < 900 else "words") for i in range(2000)]
+    chunks = spark.createDataFrame(copies + others, "id string, content string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set()
+    try:
+        for parts in (3, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for index in (search.term_rows(chunks), search.postings(chunks)):
+                lengths = storage.cut(search.chunk_lengths(chunks, index))
+                rows = search.bm25(index, lengths, ["the", "license", "apache"]).where("chunk_id < 'd'").collect()
+                assert len(rows) == 400
+                seen |= {r["rank"] for r in rows}
+                first = search.full_text(index, lengths, "the license apache", 20).collect()
+                assert [r.chunk_id for r in first] == [k for k, _ in copies[:20]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("validated", "active"), ("untrusted", "deprecated"), ("authored", "draft"), ("other", "x")], "t string, s string")
     assert [r.x for r in rows.select(search.adjust(F.lit(10.0), F.col("t"), F.col("s")).alias("x")).collect()] == [18.0, -40.0, 7.0, 10.0]

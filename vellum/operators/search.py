@@ -68,7 +68,9 @@ def bm25(index: DataFrame, lengths: DataFrame, prefixes: Sequence[str]) -> DataF
     weights = counts.join(F.broadcast(corpus)).select("prefix", "mean", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
     scored = per.join(F.broadcast(weights), "prefix").join(lengths, "chunk_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return scored.groupBy("chunk_id").agg((-F.sum(part)).alias("rank"))
+    # Added from the smallest, not as rows arrive: equal texts tie to the last bit, so that ids decide.
+    parts = F.sort_array(F.collect_list(part))
+    return scored.groupBy("chunk_id").agg(parts.alias("parts")).select("chunk_id", (-F.aggregate("parts", F.lit(0.0), lambda total, x: total + x)).alias("rank"))
 
 
 def full_text(index: DataFrame, lengths: DataFrame, query: str, limit: int) -> DataFrame:

@@ -11,6 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from vellum import catalog
 from vellum.config import Config, ConfigError, merge
 from vellum.functions import entities as E
 from vellum.functions.text import cjk_ngrams, exploded_terms, fnv1a, fnv1a_of, fold, index_content, index_terms, normalize_entity, prefix_terms, query_tokens, query_tokens_of, slugify, stable_id, token_estimate
@@ -120,6 +121,14 @@ def test_copies_score_the_same(spark):
     assert len(seen) == 1
 
 
+def test_texts_of_the_document_graph_are_not_shuffled(spark):
+    graph = catalog._document_graph(spark, "/root/testdata/sf0.001")
+    for table in (graph.chunks, graph.sections):
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    ids = {r.id for r in graph.documents.select("id").collect()}
+    assert len(ids) == graph.chunks.count() == graph.sections.count() and ids == {r.document_id for r in graph.chunks.select("document_id").collect()}
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("validated", "active"), ("untrusted", "deprecated"), ("authored", "draft"), ("other", "x")], "t string, s string")
     assert [r.x for r in rows.select(search.adjust(F.lit(10.0), F.col("t"), F.col("s")).alias("x")).collect()] == [18.0, -40.0, 7.0, 10.0]

@@ -236,9 +236,11 @@ def search_full(spark, d):
 
 def _document_graph(spark, d) -> graphs.Graph:
     """documents as a graph: one root section and one chunk each, an edge per entity in capitals."""
-    rows = _docs(spark, d).join(_tiers(spark, d).select("doc_id", "tier", "status"), "doc_id")
+    texts = _docs(spark, d).where("doc_id is not null")
+    rows = texts.join(_tiers(spark, d).select("doc_id", "tier", "status"), "doc_id")
     documents = rows.select("id", "path", F.col("doc_id").cast("string").alias("title"), F.lit("other").alias("type"), "status", content_hash(F.col("text")).alias("hash"), F.col("tier").alias("trust_tier"), F.struct(F.lit(None).cast("string").alias("declared_trust_tier")).alias("metadata"))
-    sections = rows.select(stable_id("section", F.concat("id", F.lit(":root"))).alias("id"), F.col("id").alias("document_id"), F.lit("").alias("anchor"), F.col("path").alias("heading"), F.lit(1).alias("level"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"))
+    # Texts go by no join: labels are needed for documents only.
+    sections = texts.select(stable_id("section", F.concat("id", F.lit(":root"))).alias("id"), F.col("id").alias("document_id"), F.lit("").alias("anchor"), F.col("path").alias("heading"), F.lit(1).alias("level"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"), F.col("text").alias("content"))
     chunks = sections.select(stable_id("chunk", F.concat("id", F.lit(":content"))).alias("id"), "document_id", F.col("id").alias("section_id"), "content", F.struct("heading", "anchor").alias("metadata"))
     caps = _caps(spark, d).join(_docs(spark, d).select("doc_id", F.col("id").alias("document_id")), "doc_id").select("document_id", "name", F.lit("config_key").alias("kind"), F.struct("doc_id", "pos").alias("emit_ord"))
     entities = graphs.first_spelling(caps).withColumn("namespace", F.lit(None).cast("string"))

@@ -129,6 +129,15 @@ def test_texts_of_the_document_graph_are_not_shuffled(spark):
     assert len(ids) == graph.chunks.count() == graph.sections.count() and ids == {r.document_id for r in graph.chunks.select("document_id").collect()}
 
 
+def test_bm25_reads_matching_words_once(spark):
+    graph = catalog._document_graph(spark, "/root/testdata/sf0.001")
+    index = search.term_rows(graph.chunks)
+    ranked = search.bm25(index, storage.cut(search.chunk_lengths(graph.chunks, index)), ["the", "license", "apache"])
+    assert ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("Scan parquet") == 2  # words, and n-grams of CJK
+
+
 def test_scores(spark):
     rows = spark.createDataFrame([("validated", "active"), ("untrusted", "deprecated"), ("authored", "draft"), ("other", "x")], "t string, s string")
     assert [r.x for r in rows.select(search.adjust(F.lit(10.0), F.col("t"), F.col("s")).alias("x")).collect()] == [18.0, -40.0, 7.0, 10.0]

@@ -60,8 +60,9 @@ def bm25(index: DataFrame, lengths: DataFrame, prefixes: Sequence[str]) -> DataF
     prefixes = [fold_text(p) for p in prefixes]
     hits = index.where(like_prefix(F.col("term"), prefixes))
     which = F.filter(F.array(*(F.lit(p) for p in prefixes)), lambda p: F.col("term").startswith(p))
-    per = hits.select("chunk_id", "tf", F.explode(which).alias("prefix")).groupBy("prefix", "chunk_id").agg(F.sum("tf").alias("tf"))
-    counts = per.groupBy("prefix").agg(F.count("*").alias("n"))
+    per = hits.select("chunk_id", "tf", F.explode(which).alias("prefix")).groupBy("prefix", "chunk_id").agg(F.sum("tf").alias("tf")).where("prefix is not null and chunk_id is not null")
+    # Counting tf, which is never null, keeps the plan of per as it is below, so that its exchange is reused.
+    counts = per.groupBy("prefix").agg(F.count("tf").alias("n"))
     corpus = lengths.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     idf = F.ln((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     # counts has a row per prefix of the query, corpus has one row.
